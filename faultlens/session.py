@@ -65,3 +65,18 @@ def unique_dir(spark: SparkSession, *parts: str) -> str:
 
 def is_local_path(path: str) -> bool:
     return path.startswith("file:") or os.path.isabs(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``faultlens`` importable in executor Python workers (once per
+    session), as ``--py-files`` would; needed by the ``mapInPandas`` stages."""
+    sc = spark.sparkContext
+    if getattr(sc, "_faultlens_shipped", False):
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="faultlens-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "faultlens"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="faultlens")
+    sc.addPyFile(archive)
+    sc._faultlens_shipped = True
