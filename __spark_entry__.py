@@ -70,6 +70,67 @@ def _write_read(spark, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+# Model stage on the per-order matrix (FIXTURES.md): signal features are
+# discount max/min/std + tax; ranking uses every column.
+SIGNAL_COLS = ["l_discount_max", "l_discount_min", "l_discount_std",
+               "l_tax_max", "l_tax_min", "l_tax_avg", "l_tax_std"]
+ALL_COLS = S.feature_columns(T.MATRIX_MEASURES)
+# Search budget of the registered tuning queries (the library defaults are
+# 10 trials over depth 2-10 / 50-1000 trees and depth 2-30 / 10-1000 trees).
+QUERY_TRIALS = 3
+QUERY_RANGES = {"boosted": {"max_depth": (2, 6), "n_trees": (20, 200)},
+                "forest": {"max_depth": (2, 8), "n_trees": (10, 40)}}
+FOREST = dict(kind="forest", max_depth=5, n_trees=20)
+
+
+def _split(spark, d, cols=SIGNAL_COLS):
+    from faultlens.plans.training import split_table
+    return split_table(_matrix(spark, d), cols, 0.2, 42)
+
+
+def _fit(spark, d, cols=SIGNAL_COLS, **spec):
+    from faultlens.operators import models as M
+    return M.fit(_split(spark, d, cols), cols, M.ModelSpec(**spec))
+
+
+def _tune(spark, d, kind):
+    from faultlens.operators import models as M
+    from faultlens.operators import tuning as TU
+    res = TU.tune(spark, _split(spark, d), SIGNAL_COLS, M.ModelSpec(kind=kind),
+                  QUERY_TRIALS, QUERY_RANGES[kind])
+    return res
+
+
+def _screen(spark, d):
+    from faultlens.plans.training import screen_features
+    return screen_features(spark, _matrix(spark, d), ALL_COLS, T.scenario())
+
+
+def _attribution(spark, d):
+    from faultlens.operators import attribution as A
+    split = _split(spark, d)
+    fm = _fit(spark, d, **FOREST)
+    return A.feature_attribution(spark, fm, split.filter("NOT holdout"))
+
+
+def _report(spark, d):
+    from faultlens.plans.training import train_and_report
+    from faultlens.operators import models as M
+    sc = T.scenario(max_depth=5, max_iterations=20)
+    reps = train_and_report(spark, _matrix(spark, d), SIGNAL_COLS, sc, mode="custom",
+                            kinds=(M.BOOSTED, M.FOREST), attribution=False)
+    return reps
+
+
+def _write_reports(spark, d):
+    from faultlens.session import unique_dir
+    from faultlens.sources.sinks import read_report, write_report_tables
+    path = unique_dir(spark, "reports")
+    for name, rep in _report(spark, d).items():
+        write_report_tables(rep.tables, path, "default", name)
+    return read_report(spark, path, "thresholds", "default", "XGBoost")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the feature table of the default scenario at sf0.001."""
     return _fused(spark, FLAGSHIP_DIR)
@@ -132,10 +193,50 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "build_feature_table": lambda s, d: _feature_table(s, d),
         "feature_table_fused": lambda s, d: _fused(s, d),
         "feature_table_grouped": lambda s, d: _fused(s, d, groups=True),
+        "check_not_empty": lambda s, d: FT.check_not_empty(_fused(s, d), "feature table"),
+        # 2.6 / 2.7 model stage (rows-only: no SQL engine trains trees)
+        "ranking_model": lambda s, d: _screen(s, d)[1],
+        "split_count_importance": lambda s, d: __import__(
+            "faultlens.operators.models", fromlist=["x"]).split_count_importance(
+            s, _fit(s, d, ALL_COLS, kind="boosted", max_depth=5, n_trees=1000)),
+        "rank_features": lambda s, d: _screen(s, d)[1],
+        "top_features": lambda s, d: _screen(s, d)[2],
+        "screen_features": lambda s, d: _screen(s, d)[2],
+        "train_boosted": lambda s, d: __import__(
+            "faultlens.operators.models", fromlist=["x"]).node_table(
+            s, _fit(s, d, kind="boosted", max_depth=5, n_trees=1000)),
+        "train_forest": lambda s, d: __import__(
+            "faultlens.operators.models", fromlist=["x"]).node_table(s, _fit(s, d, **FOREST)),
+        "score_positive": lambda s, d: _fit(s, d, **FOREST).score(
+            _split(s, d).filter("holdout")),
+        "model_roc_points": lambda s, d: R.roc_points(_fit(s, d, **FOREST).score(
+            _split(s, d).filter("holdout"))),
+        "model_threshold_table": lambda s, d: R.threshold_table(R.roc_points(
+            _fit(s, d, **FOREST).score(_split(s, d).filter("holdout")))),
+        "tune_boosted": lambda s, d: _tune(s, d, "boosted").trials,
+        "tune_forest": lambda s, d: _tune(s, d, "forest").trials,
+        "refit_best": lambda s, d: __import__(
+            "faultlens.operators.tuning", fromlist=["x"]).refit_best(
+            _split(s, d), SIGNAL_COLS, _tune(s, d, "forest")).score(
+            _split(s, d).filter("holdout")),
+        "feature_attribution": _attribution,
+        "attribution_summary": lambda s, d: __import__(
+            "faultlens.operators.attribution", fromlist=["x"]).attribution_summary(
+            _attribution(s, d)),
+        "train_and_report": lambda s, d: _union_metrics(_report(s, d)),
+        "write_report_tables": _write_reports,
     }
     return q
 
 
+def _union_metrics(reports) -> DataFrame:
+    out = None
+    for rep in reports.values():
+        m = rep.tables["metrics"]
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
 # --------------------------------------------------------------------------
 # DuckDB oracles (same mapping, plain SQL)
 # --------------------------------------------------------------------------
