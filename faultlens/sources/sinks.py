@@ -49,3 +49,17 @@ def read_report(spark: SparkSession, path: str, name: str, scenario_id: str,
     """Read one report table of one model; the filter prunes partitions."""
     return (spark.read.parquet(f"{path.rstrip('/')}/{name}")
             .filter((F.col("scenario_id") == scenario_id) & (F.col("model") == model)))
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once below the shared folder and continue from the files.
+
+    Cuts the lineage (a lost executor re-reads files instead of re-running
+    the upstream scans and joins), lets later reads prune columns and push
+    filters, and replaces repeated evaluation of the same subplan.
+    """
+    from faultlens.session import unique_dir
+    spark = df.sparkSession
+    path = unique_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -13,7 +13,7 @@ def _plan(df):
 
 def test_feature_plan_is_jvm_only_and_pruned(spark):
     cl, dp, tel = T.claims(spark, SF001), T.dispositions(spark, SF001), T.telemetry(spark, SF001)
-    ft = J.feature_table_from_sources(cl, dp, tel, T.scenario())
+    ft = J.feature_table_from_sources(cl, dp, tel, T.scenario(), materialize=False)
     plan = _plan(ft)
     assert "Python" not in plan and "ArrowEval" not in plan and "BatchEval" not in plan
     # events: only the used columns are read (event_id is never read)
@@ -35,8 +35,18 @@ def test_left_join_becomes_inner(spark):
 
 def test_time_bounds_reach_the_scan(spark):
     cl, dp, tel = T.claims(spark, SF001), T.dispositions(spark, SF001), T.telemetry(spark, SF001)
-    win = J.plan_cohort(cl, dp, tel, T.scenario()).window_rows
+    win = J.plan_cohort(cl, dp, tel, T.scenario(), materialize=False).window_rows
     plan = _plan(win)
     assert "PushedFilters: [IsNotNull(user_id), IsNotNull(ts), GreaterThanOrEqual(ts" in plan \
         or "GreaterThanOrEqual(ts" in plan
     assert "BroadcastHashJoin" in plan
+
+
+def test_materialized_cohort_scans_telemetry_once(spark):
+    cl, dp, tel = T.claims(spark, SF001), T.dispositions(spark, SF001), T.telemetry(spark, SF001)
+    rows = J.plan_cohort(cl, dp, tel, T.scenario(), materialize=True).rows
+    plan = _plan(rows)
+    assert "events.parquet" not in plan          # window rows come from the written table
+    assert "StringContains(Faultlist" in plan    # fault test pushed into the Parquet reader
+    lazy = _plan(J.plan_cohort(cl, dp, tel, T.scenario(), materialize=False).rows)
+    assert lazy.count("events.parquet") == 2     # what materializing saves
