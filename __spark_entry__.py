@@ -225,10 +225,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _attribution(s, d)),
         "train_and_report": lambda s, d: _union_metrics(_report(s, d)),
         "write_report_tables": _write_reports,
+        # 2.10 many scenarios, cause ranking, backward validation, history
+        "multi_scenario_cohort": _multi,
+        "rank_root_causes": lambda s, d: __import__(
+            "faultlens.plans.scenarios", fromlist=["x"]).rank_root_causes(
+            __import__("faultlens.plans.scenarios", fromlist=["x"]).claim_history_scores(
+                T.claims(s, d))),
+        "backward_validation": _backward,
+        "metrics_history": _history,
     }
     return q
 
 
+def _multi(spark, d):
+    from faultlens.plans.scenarios import multi_scenario_feature_table
+    cl, dp, tel = _inputs(spark, d)
+    return multi_scenario_feature_table(cl, dp, tel, T.scenarios(spark), T.FEATURES)
+
+
+def _backward(spark, d):
+    from faultlens.operators import models as M
+    from faultlens.plans.scenarios import backward_validation
+    table = T.model_matrix_source(spark, d, with_date=True)
+    return backward_validation(spark, table, SIGNAL_COLS, S.FAILURE_DATE, "2000-01-01",
+                               M.ModelSpec(**FOREST))
+
+
+def _history(spark, d):
+    from faultlens.plans.scenarios import append_metrics
+    from faultlens.session import unique_dir
+    path = unique_dir(spark, "history")
+    out = None
+    for _ in range(2):                     # two runs appended to one history
+        out = append_metrics(spark, _union_metrics(_report(spark, d)), path, "default")
+    return out
+
+
 def _union_metrics(reports) -> DataFrame:
     out = None
     for rep in reports.values():
@@ -371,6 +403,52 @@ _COHORT_COLS = ("Claim_number, ESN, ABO_FAILURE_PART, Failure_date, label, Occur
                 "engine_model_group, Faultlist, Faultlist2, value, k")
 
 
+def _scenarios_sql() -> str:
+    def lst(xs):
+        return "[" + ", ".join("'" + x + "'" for x in xs) + "]::VARCHAR[]"
+    rows = [(f"target={t}", T.CANDIDATES, (t,), T.FAULT_CODES, (), ()) for t in T.CANDIDATES]
+    rows.append(("grouped", T.CANDIDATES, T.TARGETS, T.FAULT_CODES, T.PLATFORMS, T.EMISSIONS))
+    vals = ",\n  ".join(f"('{r[0]}', {lst(r[1])}, {lst(r[2])}, {lst(r[3])}, {lst(r[4])}, "
+                        f"{lst(r[5])}, 7)" for r in rows)
+    return f"""
+scen(scenario_id, candidates, targets, fault_codes, platforms, emissions, window_days) AS (
+  VALUES {vals}),
+sparts AS (SELECT scenario_id, unnest(candidates) AS part, targets, window_days FROM scen),
+slab AS (SELECT scenario_id, part,
+                CASE WHEN list_contains(targets, part) THEN 1 ELSE 0 END AS label, window_days
+         FROM sparts),
+skept AS (SELECT c.Claim_number, c.ESN, c.ABO_FAILURE_PART, c.Failure_date
+          FROM claims c JOIN disp d ON c.Claim_number = d.Claim_number
+          WHERE c.ABO_FAILURE_PART IN (SELECT part FROM slab) AND d.TNF_Flag <> 'Y'),
+sclaims AS (SELECT p.scenario_id, k.*, p.label, p.window_days
+            FROM skept k JOIN slab p ON k.ABO_FAILURE_PART = p.part),
+sones AS (SELECT scenario_id, ESN FROM sclaims GROUP BY scenario_id, ESN HAVING count(ESN) = 1),
+ssingle AS (SELECT m.* FROM sclaims m
+            JOIN sones o ON m.scenario_id = o.scenario_id AND m.ESN = o.ESN),
+swin AS (SELECT s.scenario_id, s.ESN, s.label, t.Faultlist, t.Faultlist2, t.value, t.k
+         FROM ssingle s JOIN tel t ON s.ESN = t.ESN JOIN scen sc ON sc.scenario_id = s.scenario_id
+         WHERE s.Failure_date >= t.Occurrence_time
+           AND datediff('day', t.Occurrence_time, s.Failure_date) <= s.window_days
+           AND (len(sc.platforms) = 0 OR
+                (list_contains(sc.platforms, split_part(t.engine_model_group, '_', 1)) AND
+                 list_contains(sc.emissions, split_part(t.engine_model_group, '_', 2))))),
+scodes AS (SELECT scenario_id, unnest(fault_codes) AS code FROM scen),
+shit AS (SELECT w.*, EXISTS (SELECT 1 FROM scodes c WHERE c.scenario_id = w.scenario_id AND
+                   (contains(w.Faultlist, '[' || c.code || ']') OR
+                    contains(w.Faultlist2, '[' || c.code || ']'))) AS hit,
+                CAST(w.value AS DOUBLE) AS v, {_lenient("w.k")} AS kk
+         FROM swin w),
+sok AS (SELECT *, (v IS NOT NULL AND NOT isnan(v) AND kk IS NOT NULL AND NOT isnan(kk)) AS ok
+        FROM shit),
+sagg AS (SELECT scenario_id, ESN, label, max(CAST(hit AS INTEGER)) AS h, count_if(ok) AS n,
+           max(CASE WHEN ok THEN v END) AS value_max, min(CASE WHEN ok THEN v END) AS value_min,
+           avg(CASE WHEN ok THEN v END) AS value_avg, stddev_samp(CASE WHEN ok THEN v END) AS value_std,
+           max(CASE WHEN ok THEN kk END) AS k_max, min(CASE WHEN ok THEN kk END) AS k_min,
+           avg(CASE WHEN ok THEN kk END) AS k_avg, stddev_samp(CASE WHEN ok THEN kk END) AS k_std
+         FROM sok GROUP BY scenario_id, ESN, label),
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     w = _window_sql(False)
     wg = _window_sql(True)
@@ -421,5 +499,15 @@ def oracle_sql() -> dict[str, str]:
         "build_feature_table": _with(_BASE, w, _FEATS) + "SELECT * FROM ft",
         "feature_table_fused": _with(_BASE, w, _FEATS) + fused,
         "feature_table_grouped": _with(_BASE, wg, feats_g) + fused,
+        "multi_scenario_cohort": _with(_BASE, _scenarios_sql()) +
+            "SELECT scenario_id, ESN, value_max, value_min, value_avg, value_std, "
+            "k_max, k_min, k_avg, k_std, label FROM sagg WHERE h = 1 AND n > 0",
+        "rank_root_causes": _with(_BASE) + """
+, per AS (SELECT ESN, ABO_FAILURE_PART AS component, count(*) AS n FROM claims GROUP BY ALL),
+tot AS (SELECT ESN, count(*) AS total FROM claims GROUP BY ESN),
+sc AS (SELECT per.ESN, component, CAST(n AS DOUBLE) / CAST(total AS DOUBLE) AS score
+       FROM per JOIN tot ON per.ESN = tot.ESN)
+SELECT ESN, component, score,
+       row_number() OVER (PARTITION BY ESN ORDER BY score DESC, component ASC) AS rank FROM sc""",
     }
     return sql

@@ -81,13 +81,25 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def model_matrix_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+def model_matrix_source(spark: SparkSession, sf_dir: str, with_date: bool = False) -> DataFrame:
     """Per-order feature table in the same shape as a real one:
-    asset key, {measure}_{max,min,avg,std}, label (order discount > 0.05)."""
+    asset key, {measure}_{max,min,avg,std}, label (order discount > 0.05);
+    ``with_date`` adds the last ship date as ``Failure_date``."""
     li = table(spark, sf_dir, "lineitem")
     aggs = []
     for m in MATRIX_MEASURES:
         aggs += [F.max(m).alias(f"{m}_max"), F.min(m).alias(f"{m}_min"),
                  F.avg(m).alias(f"{m}_avg"), F.stddev_samp(m).alias(f"{m}_std")]
+    if with_date:
+        aggs.append(F.to_date(F.max("l_shipdate")).alias(S.FAILURE_DATE))
     return (li.groupBy(F.col("l_orderkey").alias(S.ASSET))
               .agg(*aggs, (F.avg("l_discount") > 0.05).cast("int").alias(S.LABEL)))
+
+
+def scenarios(spark: SparkSession):
+    """One scenario per candidate as target (same candidate list and codes),
+    plus the default target restricted to the P0/P1 x E0 groups."""
+    from faultlens.plans.scenarios import scenario_table
+    out = [scenario(targets=(t,), scenario_id=f"target={t}") for t in CANDIDATES]
+    out.append(scenario(with_groups=True, scenario_id="grouped"))
+    return scenario_table(spark, out)
