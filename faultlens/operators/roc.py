@@ -46,10 +46,15 @@ def totals(counts: DataFrame) -> Totals:
     return Totals(int(r["n"]), int(r["p"] or 0), int(r["q"] or 0))
 
 
+def n_buckets(n_scores: int, rows_per_bucket: int = ROWS_PER_BUCKET,
+              max_buckets: int = MAX_BUCKETS) -> int:
+    return max(1, min(max_buckets, -(-n_scores // rows_per_bucket)))
+
+
 def add_bucket(counts: DataFrame, n_scores: int, rows_per_bucket: int = ROWS_PER_BUCKET,
                max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """Add ``_b``: ordered bucket of the score, 0 = highest scores."""
-    nb = max(1, min(max_buckets, -(-n_scores // rows_per_bucket)))
+    nb = n_buckets(n_scores, rows_per_bucket, max_buckets)
     if nb == 1:
         return counts.withColumn("_b", F.lit(0))
     probs = [i / nb for i in range(1, nb)]
@@ -59,12 +64,21 @@ def add_bucket(counts: DataFrame, n_scores: int, rows_per_bucket: int = ROWS_PER
     return counts.withColumn("_b", (F.lit(len(qs)) - asc).cast("int"))
 
 
-def prefix_sums(df: DataFrame, cols, bucket: str = "_b", order=None, rn: str = "_rn") -> DataFrame:
+def prefix_sums(df: DataFrame, cols, bucket: str = "_b", order=None, rn: str = "_rn",
+                single_bucket: bool = False) -> DataFrame:
     """Inclusive running sums ``cum_<c>`` of ``cols`` in the global ``order``,
     the sums before the row's bucket ``_prev_<c>``, and a 1-based global row
     number ``rn``.  ``bucket`` must be monotone in ``order``."""
     cols = list(cols)
     order = order if order is not None else [F.col("score").desc()]
+    if single_bucket:
+        # At most ROWS_PER_BUCKET rows: one ordered window, nothing before it.
+        w_run = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(
+            *df.columns, *[F.sum(c).over(w_run).alias(f"cum_{c}") for c in cols],
+            *[F.lit(0).cast("long").alias(f"_prev_{c}") for c in cols],
+            F.lit(0).cast("long").alias("_prev_rn"),
+            F.row_number().over(Window.orderBy(*order)).cast("long").alias(rn))
     w_run = Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     w_rn = Window.partitionBy(bucket).orderBy(*order)
     local = df.select("*", *[F.sum(c).over(w_run).alias(f"_l_{c}") for c in cols],
@@ -84,21 +98,45 @@ def prefix_sums(df: DataFrame, cols, bucket: str = "_b", order=None, rn: str = "
         (F.col("_l_rn") + F.col("_prev_rn")).alias(rn))
 
 
+@dataclass
+class Counted:
+    counts: DataFrame    # (score, pos, neg), written once
+    totals: Totals
+
+
+def count_scores(scored: DataFrame, score: str = "score", label: str = "label") -> Counted:
+    """Class counts per distinct score, written once to the shared folder so
+    that totals, quantiles and the running sums do not re-score the rows."""
+    from faultlens.sources.sinks import materialize
+    counts = materialize(score_counts(scored, score, label), "roc/counts")
+    t = totals(counts)
+    if t.pos == 0 or t.neg == 0:
+        raise ValueError(f"ROC needs both classes: {t.pos} positive, {t.neg} negative rows")
+    return Counted(counts, t)
+
+
 def roc_points(scored: DataFrame, score: str = "score", label: str = "label",
                drop_intermediate: bool = True, rows_per_bucket: int = ROWS_PER_BUCKET,
                max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """(point, Threshold, FPR, TPR); point 0 is (+inf, 0, 0)."""
-    counts = score_counts(scored, score, label)
-    t = totals(counts)
-    if t.pos == 0 or t.neg == 0:
-        raise ValueError(f"ROC needs both classes: {t.pos} positive, {t.neg} negative rows")
-    cum = prefix_sums(add_bucket(counts, t.scores, rows_per_bucket, max_buckets), ["pos", "neg"])
+    return roc_from_counts(count_scores(scored, score, label), drop_intermediate,
+                           rows_per_bucket, max_buckets)
+
+
+def roc_from_counts(c: Counted, drop_intermediate: bool = True,
+                    rows_per_bucket: int = ROWS_PER_BUCKET,
+                    max_buckets: int = MAX_BUCKETS) -> DataFrame:
+    counts, t = c.counts, c.totals
+    one = n_buckets(t.scores, rows_per_bucket, max_buckets) == 1
+    cum = prefix_sums(add_bucket(counts, t.scores, rows_per_bucket, max_buckets), ["pos", "neg"],
+                      single_bucket=one)
     tps, fps = F.col("cum_pos"), F.col("cum_neg")
     if drop_intermediate and t.scores > 2:
         # Neighbours: lag/lead inside the bucket; before a bucket's first row
         # the running totals of earlier buckets; after a bucket's last row the
         # first row of the next bucket (one row per bucket, broadcast).
-        w = Window.partitionBy("_b").orderBy(F.col("score").desc())
+        w = (Window.orderBy(F.col("score").desc()) if one else
+             Window.partitionBy("_b").orderBy(F.col("score").desc()))
         heads = (cum.filter(F.col("_rn") == F.col("_prev_rn") + 1)
                     .select((F.col("_rn") - 1).alias("_hrn"), F.col("cum_pos").alias("_htp"),
                             F.col("cum_neg").alias("_hfp")))
@@ -107,12 +145,15 @@ def roc_points(scored: DataFrame, score: str = "score", label: str = "label",
                         F.coalesce(F.lag("cum_neg").over(w), F.col("_prev_neg")).alias("_fp0"),
                         F.lead("cum_pos").over(w).alias("_tp1"),
                         F.lead("cum_neg").over(w).alias("_fp1"))
-        nb = nb.join(F.broadcast(heads), nb["_rn"] == heads["_hrn"], "left")
-        tp1, fp1 = F.coalesce("_tp1", "_htp"), F.coalesce("_fp1", "_hfp")
+        if one:
+            tp1, fp1 = F.col("_tp1"), F.col("_fp1")
+        else:
+            nb = nb.join(F.broadcast(heads), nb["_rn"] == heads["_hrn"], "left")
+            tp1, fp1 = F.coalesce("_tp1", "_htp"), F.coalesce("_fp1", "_hfp")
         bend = ((F.col("_fp0") - 2 * fps + fp1) != 0) | ((F.col("_tp0") - 2 * tps + tp1) != 0)
         keep = (F.col("_rn") == 1) | (F.col("_rn") == t.scores) | F.coalesce(bend, F.lit(True))
         kept = nb.filter(keep).select("score", "_b", "cum_pos", "cum_neg", F.lit(1).alias("one"))
-        cum = prefix_sums(kept, ["one"], rn="point").select(
+        cum = prefix_sums(kept, ["one"], rn="point", single_bucket=one).select(
             "point", "score", F.col("cum_pos"), F.col("cum_neg"))
     else:
         cum = cum.select(F.col("_rn").alias("point"), "score", "cum_pos", "cum_neg")
@@ -120,7 +161,7 @@ def roc_points(scored: DataFrame, score: str = "score", label: str = "label",
                      F.col("score").alias("Threshold"),
                      (F.col("cum_neg") / F.lit(float(t.neg))).alias("FPR"),
                      (F.col("cum_pos") / F.lit(float(t.pos))).alias("TPR"))
-    first = scored.sparkSession.range(1).select(
+    first = counts.sparkSession.range(1).select(
         F.lit(0).cast("long").alias("point"), F.lit(float("inf")).alias("Threshold"),
         F.lit(0.0).alias("FPR"), F.lit(0.0).alias("TPR"))
     return first.unionByName(pts)
@@ -133,11 +174,13 @@ def roc_auc(scored: DataFrame, score: str = "score", label: str = "label") -> Da
     the trapezoid area exactly; the numerator is an integer sum, so the value
     does not depend on summation order.
     """
-    counts = score_counts(scored, score, label)
-    t = totals(counts)
-    if t.pos == 0 or t.neg == 0:
-        raise ValueError(f"AUC needs both classes: {t.pos} positive, {t.neg} negative rows")
-    cum = prefix_sums(add_bucket(counts, t.scores), ["pos"])
+    return auc_from_counts(count_scores(scored, score, label))
+
+
+def auc_from_counts(c: Counted) -> DataFrame:
+    counts, t = c.counts, c.totals
+    one = n_buckets(t.scores) == 1
+    cum = prefix_sums(add_bucket(counts, t.scores), ["pos"], single_bucket=one)
     num = F.sum(F.col("neg").cast("decimal(38,0)") *
                 (2 * F.col("cum_pos") - F.col("pos")).cast("decimal(38,0)"))
     return cum.agg((num.cast("double") / F.lit(2.0 * t.pos * t.neg)).alias("auc"))

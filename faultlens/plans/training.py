@@ -35,16 +35,31 @@ class ModelReport:
     tables: dict = field(default_factory=dict)
 
 
-def split_table(table: DataFrame, feature_cols, ratio: float, seed: int) -> DataFrame:
+# Tree training runs several small jobs per tree level; partitions of about
+# this size keep the per-task overhead low without losing parallelism.
+TARGET_PARTITION_BYTES = 32 << 20
+
+
+def split_table(table: DataFrame, feature_cols, ratio: float, seed: int,
+                right_size: bool = True) -> DataFrame:
+    """Model matrix + holdout flag, hash-partitioned on the asset into
+    partitions of about ``TARGET_PARTITION_BYTES`` (one count to measure)."""
     cols = [S.ASSET, S.LABEL] + list(feature_cols)
-    return M.holdout_split(FT.model_matrix(table, feature_cols), ratio, seed).select(*cols, "holdout")
+    out = M.holdout_split(FT.model_matrix(table, feature_cols), ratio, seed).select(*cols, "holdout")
+    if right_size:
+        rows = out.count()
+        row_bytes = 8 * len(cols) + 24
+        floor = max(2, out.sparkSession.sparkContext.defaultParallelism // 2)
+        n = max(floor, -(-rows * row_bytes // TARGET_PARTITION_BYTES))
+        out = out.repartition(int(n), S.ASSET)
+    return out
 
 
 def evaluate(fitted: M.FittedModel, split: DataFrame, max_fpr: float = 0.2) -> Evaluation:
-    scored = fitted.score(split.filter("holdout"))
-    pts = R.roc_points(scored)
-    return Evaluation(pts, R.threshold_table(pts, max_fpr), R.roc_annotations(pts),
-                      R.auc_value(scored))
+    counted = R.count_scores(fitted.score(split.filter("holdout")))
+    pts = R.roc_from_counts(counted)
+    auc = float(R.auc_from_counts(counted).first()["auc"])
+    return Evaluation(pts, R.threshold_table(pts, max_fpr), R.roc_annotations(pts), auc)
 
 
 def screen_features(spark: SparkSession, table: DataFrame, feature_cols, sc) -> tuple:
