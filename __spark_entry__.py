@@ -131,6 +131,13 @@ def _write_reports(spark, d):
     return read_report(spark, path, "thresholds", "default", "XGBoost")
 
 
+def _scan_feature_table(spark, d):
+    from faultlens.session import unique_dir
+    from faultlens.sources import scan_feature_table
+    from faultlens.sources.sinks import write_table
+    return scan_feature_table(spark, write_table(_fused(spark, d), unique_dir(spark, "features")))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the feature table of the default scenario at sf0.001."""
     return _fused(spark, FLAGSHIP_DIR)
@@ -145,6 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_telemetry": lambda s, d: T.telemetry(s, d),
         "write_cohort": lambda s, d: _write_read(s, _cohort(s, d), "cohort"),
         "write_feature_table": lambda s, d: _write_read(s, _fused(s, d), "features"),
+        "scan_feature_table": _scan_feature_table,
         # 2.2 projections and filters
         "candidate_filter": lambda s, d: C.candidate_filter(T.claims(s, d), sc.candidates),
         "label_claims": lambda s, d: C.label_claims(
@@ -460,6 +468,7 @@ def oracle_sql() -> dict[str, str]:
         "scan_telemetry": _with(_BASE) + "SELECT * FROM tel",
         "write_cohort": _with(_BASE, w) + f"SELECT {_COHORT_COLS} FROM cohort",
         "write_feature_table": _with(_BASE, w, _FEATS) + "SELECT * FROM ft",
+        "scan_feature_table": _with(_BASE, w, _FEATS) + "SELECT * FROM ft",
         "candidate_filter": _with(_BASE) + "SELECT * FROM cand",
         "label_claims": _with(_BASE) + "SELECT * FROM lab",
         "project_claims": _with(_BASE) + "SELECT * FROM proj",
