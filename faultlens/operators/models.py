@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens import schemas as S
-from faultlens.functions import in_holdout
+from faultlens.functions import holdout_bucket, in_holdout
 from faultlens.session import unique_dir
 
 BOOSTED = "boosted"
@@ -46,13 +46,30 @@ class ModelSpec:
 
 
 def holdout_split(table: DataFrame, ratio: float = 0.2, seed: int = 42,
-                  key: str = S.ASSET) -> DataFrame:
-    """Add boolean ``holdout``: a stable md5 bucket of the asset key.
+                  key: str = S.ASSET, validation_ratio: float = 0.0) -> DataFrame:
+    """Add boolean ``holdout`` (test rows): a stable md5 bucket of the asset key.
 
     Not stratified, like a plain random split; unlike ``randomSplit`` it does
-    not depend on partitioning or row order.
+    not depend on partitioning or row order.  With ``validation_ratio > 0`` a
+    disjoint bucket range becomes ``validation``: early stopping and trial
+    choice then use it, and the test rows are only used for the final report.
     """
-    return table.withColumn("holdout", in_holdout(key, seed, ratio))
+    out = table.withColumn("holdout", in_holdout(key, seed, ratio))
+    if validation_ratio > 0:
+        if ratio + validation_ratio >= 1:
+            raise ValueError("test and validation shares must leave training rows")
+        b = holdout_bucket(key, seed)
+        lo = int(round(ratio * 10000))
+        hi = lo + int(round(validation_ratio * 10000))
+        out = out.withColumn("validation", (b >= F.lit(lo)) & (b < F.lit(hi)))
+    return out
+
+
+def tuning_rows(split_table: DataFrame) -> DataFrame:
+    """Rows that judge early stopping and trials: validation if present, else test."""
+    if "validation" in split_table.columns:
+        return split_table.filter("validation")
+    return split_table.filter("holdout")
 
 
 @dataclass
@@ -109,13 +126,19 @@ def fit(split_table: DataFrame, feature_cols, spec: ModelSpec) -> FittedModel:
     The caller should persist ``split_table`` (trees read it once per level).
     """
     feature_cols = list(feature_cols)
+    three_way = "validation" in split_table.columns
     train = split_table.filter(~F.col("holdout"))
+    if three_way:
+        train = train.filter(~F.col("validation"))
     prep = _prep_model(train, feature_cols)
     use_val = spec.kind == BOOSTED and spec.early_stopping
-    data = split_table if use_val else train
-    data = prep.transform(data).select(S.LABEL, "features", "holdout")
     if use_val:
-        data = data.withColumn("holdout", F.col("holdout").cast("boolean"))
+        data = split_table.filter(~F.col("holdout")) if three_way else split_table
+        flag = "validation" if three_way else "holdout"
+        data = prep.transform(data).select(S.LABEL, "features",
+                                           F.col(flag).cast("boolean").alias("holdout"))
+    else:
+        data = prep.transform(train).select(S.LABEL, "features")
     model = _estimator(spec, use_val).fit(data)
     return FittedModel(spec, feature_cols, prep, model)
 

@@ -24,6 +24,7 @@ class Scenario:
     emissions: tuple[str, ...] = ()
     window_days: int = 7
     split_ratio: float = 0.2
+    validation_ratio: float = 0.0   # > 0: three-way split (train / validation / test)
     seed: int = 42
     early_stopping: int = 100
     max_depth: int = 5
@@ -54,3 +55,5 @@ class Scenario:
             raise ValueError("window_days must be >= 0")
         if not 0.0 < self.split_ratio < 1.0:
             raise ValueError("split_ratio must be in (0, 1)")
+        if self.validation_ratio < 0 or self.split_ratio + self.validation_ratio >= 1.0:
+            raise ValueError("validation_ratio must be >= 0 and leave training rows")

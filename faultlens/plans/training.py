@@ -41,11 +41,13 @@ TARGET_PARTITION_BYTES = 32 << 20
 
 
 def split_table(table: DataFrame, feature_cols, ratio: float, seed: int,
-                right_size: bool = True) -> DataFrame:
+                right_size: bool = True, validation_ratio: float = 0.0) -> DataFrame:
     """Model matrix + holdout flag, hash-partitioned on the asset into
     partitions of about ``TARGET_PARTITION_BYTES`` (one count to measure)."""
     cols = [S.ASSET, S.LABEL] + list(feature_cols)
-    out = M.holdout_split(FT.model_matrix(table, feature_cols), ratio, seed).select(*cols, "holdout")
+    flags = ["holdout"] + (["validation"] if validation_ratio > 0 else [])
+    out = M.holdout_split(FT.model_matrix(table, feature_cols), ratio, seed,
+                          validation_ratio=validation_ratio).select(*cols, *flags)
     if right_size:
         rows = out.count()
         row_bytes = 8 * len(cols) + 24
@@ -66,7 +68,8 @@ def screen_features(spark: SparkSession, table: DataFrame, feature_cols, sc) ->
     """ranking_model: boosted trees on all features, early stopping on the
     holdout; returns (fitted, ranking, top 10)."""
     FT.require_two_classes(table)
-    split = split_table(table, feature_cols, sc.split_ratio, sc.seed).persist()
+    split = split_table(table, feature_cols, sc.split_ratio, sc.seed,
+                        validation_ratio=sc.validation_ratio).persist()
     try:
         spec = M.ModelSpec(M.BOOSTED, sc.max_depth, sc.max_iterations, sc.seed,
                            early_stopping=sc.early_stopping > 0)
@@ -84,7 +87,8 @@ def train_and_report(spark: SparkSession, table: DataFrame, feature_cols, sc, mo
     (``custom``), each evaluated on the holdout, with attributions."""
     from faultlens.operators import attribution as A
     FT.require_two_classes(table)
-    split = split_table(table, feature_cols, sc.split_ratio, sc.seed).persist()
+    split = split_table(table, feature_cols, sc.split_ratio, sc.seed,
+                        validation_ratio=sc.validation_ratio).persist()
     out = {}
     try:
         for kind in kinds:
@@ -102,7 +106,10 @@ def train_and_report(spark: SparkSession, table: DataFrame, feature_cols, sc, mo
             ev = evaluate(fitted, split)
             rep = ModelReport(MODEL_NAMES[kind], fitted, ev, trials)
             if attribution:
-                rep.attribution = A.feature_attribution(spark, fitted, split.filter(~F.col("holdout")))
+                train_rows = split.filter(~F.col("holdout"))
+                if "validation" in split.columns:
+                    train_rows = train_rows.filter(~F.col("validation"))
+                rep.attribution = A.feature_attribution(spark, fitted, train_rows)
                 rep.attribution_summary = A.attribution_summary(rep.attribution)
             rep.tables = {"thresholds": ev.thresholds, "roc_points": ev.points,
                           "roc_annotations": ev.annotations,

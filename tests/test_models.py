@@ -119,3 +119,22 @@ def test_tree_shap_exact(spark, split, spec):
     assert sums.count() == 6 and attr.count() == 6 * len(cols)
     got = sorted(r.s + r.b for r in sums.collect())
     assert np.allclose(got, sorted(out), atol=1e-9)
+
+
+def test_three_way_split(spark):
+    from faultlens.plans.training import train_and_report
+    table = T.model_matrix_source(spark, SF001)
+    s = split_table(table, SIGNAL, 0.2, 42, validation_ratio=0.1)
+    n = s.count()
+    h, v = s.filter("holdout").count(), s.filter("validation").count()
+    assert s.filter("holdout AND validation").isEmpty()
+    assert abs(h / n - 0.2) < 0.02 and abs(v / n - 0.1) < 0.02
+    two = split_table(table, SIGNAL, 0.2, 42)
+    assert two.filter("holdout").select("ESN").exceptAll(s.filter("holdout").select("ESN")).isEmpty()
+    sc = T.scenario(validation_ratio=0.1, max_depth=4, max_iterations=30)
+    reps = train_and_report(spark, table, SIGNAL, sc, mode="auto", n_trials=1,
+                            ranges={"boosted": {"max_depth": (2, 3), "n_trees": (5, 10)},
+                                    "forest": {"max_depth": (2, 3), "n_trees": (5, 10)}},
+                            attribution=False)
+    assert set(reps) == {"XGBoost", "Random_Forest"}
+    assert all(r.evaluation.auc > 0.85 for r in reps.values())
