@@ -113,12 +113,11 @@ def _attribution(spark, d):
     return A.feature_attribution(spark, fm, split.filter("NOT holdout"))
 
 
-def _report(spark, d):
+def _report(spark, d, kinds=("boosted", "forest")):
     from faultlens.plans.training import train_and_report
-    from faultlens.operators import models as M
     sc = T.scenario(max_depth=5, max_iterations=20)
     reps = train_and_report(spark, _matrix(spark, d), SIGNAL_COLS, sc, mode="custom",
-                            kinds=(M.BOOSTED, M.FOREST), attribution=False)
+                            kinds=kinds, attribution=False)
     return reps
 
 
@@ -260,12 +259,15 @@ def _backward(spark, d):
 
 
 def _history(spark, d):
-    from faultlens.plans.scenarios import append_metrics
+    """Two runs registered in one registry: models saved, metrics appended."""
+    from faultlens.plans.scenarios import register_model
     from faultlens.session import unique_dir
-    path = unique_dir(spark, "history")
+    registry = unique_dir(spark, "registry")
     out = None
-    for _ in range(2):                     # two runs appended to one history
-        out = append_metrics(spark, _union_metrics(_report(spark, d)), path, "default")
+    for _ in range(2):
+        for name, rep in _report(spark, d, kinds=("forest",)).items():
+            _, out = register_model(spark, rep.fitted, rep.tables["metrics"], registry,
+                                    "default", name)
     return out
 
 

@@ -185,3 +185,19 @@ def rank_features(importance: DataFrame) -> DataFrame:
 
 def top_features(ranking: DataFrame, k: int = 10) -> DataFrame:
     return ranking.filter(F.col("rank") <= k)
+
+
+def save_model(fitted: FittedModel, path: str) -> str:
+    """Store the fitted preparation pipeline and the classifier under ``path``
+    (``prep`` and ``model``), overwriting an earlier version."""
+    fitted.prep.write().overwrite().save(f"{path.rstrip('/')}/prep")
+    fitted.model.write().overwrite().save(f"{path.rstrip('/')}/model")
+    return path
+
+
+def load_model(path: str, spec: ModelSpec, feature_cols) -> FittedModel:
+    from pyspark.ml.classification import (GBTClassificationModel,
+                                           RandomForestClassificationModel)
+    cls = GBTClassificationModel if spec.kind == BOOSTED else RandomForestClassificationModel
+    return FittedModel(spec, list(feature_cols), PipelineModel.load(f"{path.rstrip('/')}/prep"),
+                       cls.load(f"{path.rstrip('/')}/model"))
