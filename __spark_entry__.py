@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 from faultlens import schemas as S
 from faultlens.functions import NUMBER_PATTERN_SQL, in_holdout
+from faultlens.operators import attribution as A
 from faultlens.operators import cohort as C
 from faultlens.operators import features as FT
+from faultlens.operators import models as M
 from faultlens.operators import roc as R
+from faultlens.operators import tuning as TU
 from faultlens.plans import jobs as J
+from faultlens.plans import scenarios as SC
 from faultlens.sources import testmap as T
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
@@ -89,13 +93,10 @@ def _split(spark, d, cols=SIGNAL_COLS):
 
 
 def _fit(spark, d, cols=SIGNAL_COLS, **spec):
-    from faultlens.operators import models as M
     return M.fit(_split(spark, d, cols), cols, M.ModelSpec(**spec))
 
 
 def _tune(spark, d, kind):
-    from faultlens.operators import models as M
-    from faultlens.operators import tuning as TU
     res = TU.tune(spark, _split(spark, d), SIGNAL_COLS, M.ModelSpec(kind=kind),
                   QUERY_TRIALS, QUERY_RANGES[kind])
     return res
@@ -107,7 +108,6 @@ def _screen(spark, d):
 
 
 def _attribution(spark, d):
-    from faultlens.operators import attribution as A
     split = _split(spark, d)
     fm = _fit(spark, d, **FOREST)
     return A.feature_attribution(spark, fm, split.filter("NOT holdout"))
@@ -203,17 +203,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "check_not_empty": lambda s, d: FT.check_not_empty(_fused(s, d), "feature table"),
         # 2.6 / 2.7 model stage (rows-only: no SQL engine trains trees)
         "ranking_model": lambda s, d: _screen(s, d)[1],
-        "split_count_importance": lambda s, d: __import__(
-            "faultlens.operators.models", fromlist=["x"]).split_count_importance(
+        "split_count_importance": lambda s, d: M.split_count_importance(
             s, _fit(s, d, ALL_COLS, kind="boosted", max_depth=5, n_trees=1000)),
         "rank_features": lambda s, d: _screen(s, d)[1],
         "top_features": lambda s, d: _screen(s, d)[2],
         "screen_features": lambda s, d: _screen(s, d)[2],
-        "train_boosted": lambda s, d: __import__(
-            "faultlens.operators.models", fromlist=["x"]).node_table(
+        "train_boosted": lambda s, d: M.node_table(
             s, _fit(s, d, kind="boosted", max_depth=5, n_trees=1000)),
-        "train_forest": lambda s, d: __import__(
-            "faultlens.operators.models", fromlist=["x"]).node_table(s, _fit(s, d, **FOREST)),
+        "train_forest": lambda s, d: M.node_table(s, _fit(s, d, **FOREST)),
         "score_positive": lambda s, d: _fit(s, d, **FOREST).score(
             _split(s, d).filter("holdout")),
         "model_roc_points": lambda s, d: R.roc_points(_fit(s, d, **FOREST).score(
@@ -222,22 +219,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _fit(s, d, **FOREST).score(_split(s, d).filter("holdout")))),
         "tune_boosted": lambda s, d: _tune(s, d, "boosted").trials,
         "tune_forest": lambda s, d: _tune(s, d, "forest").trials,
-        "refit_best": lambda s, d: __import__(
-            "faultlens.operators.tuning", fromlist=["x"]).refit_best(
+        "refit_best": lambda s, d: TU.refit_best(
             _split(s, d), SIGNAL_COLS, _tune(s, d, "forest")).score(
             _split(s, d).filter("holdout")),
         "feature_attribution": _attribution,
-        "attribution_summary": lambda s, d: __import__(
-            "faultlens.operators.attribution", fromlist=["x"]).attribution_summary(
-            _attribution(s, d)),
+        "attribution_summary": lambda s, d: A.attribution_summary(_attribution(s, d)),
         "train_and_report": lambda s, d: _union_metrics(_report(s, d)),
         "write_report_tables": _write_reports,
         # 2.10 many scenarios, cause ranking, backward validation, history
         "multi_scenario_cohort": _multi,
-        "rank_root_causes": lambda s, d: __import__(
-            "faultlens.plans.scenarios", fromlist=["x"]).rank_root_causes(
-            __import__("faultlens.plans.scenarios", fromlist=["x"]).claim_history_scores(
-                T.claims(s, d))),
+        "rank_root_causes": lambda s, d: SC.rank_root_causes(
+            SC.claim_history_scores(T.claims(s, d))),
         "backward_validation": _backward,
         "metrics_history": _history,
     }
@@ -245,28 +237,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _multi(spark, d):
-    from faultlens.plans.scenarios import multi_scenario_feature_table
     cl, dp, tel = _inputs(spark, d)
-    return multi_scenario_feature_table(cl, dp, tel, T.scenarios(spark), T.FEATURES)
+    return SC.multi_scenario_feature_table(cl, dp, tel, T.scenarios(spark), T.FEATURES)
 
 
 def _backward(spark, d):
-    from faultlens.operators import models as M
-    from faultlens.plans.scenarios import backward_validation
     table = T.model_matrix_source(spark, d, with_date=True)
-    return backward_validation(spark, table, SIGNAL_COLS, S.FAILURE_DATE, "2000-01-01",
+    return SC.backward_validation(spark, table, SIGNAL_COLS, S.FAILURE_DATE, "2000-01-01",
                                M.ModelSpec(**FOREST))
 
 
 def _history(spark, d):
     """Two runs registered in one registry: models saved, metrics appended."""
-    from faultlens.plans.scenarios import register_model
     from faultlens.session import unique_dir
     registry = unique_dir(spark, "registry")
     out = None
     for _ in range(2):
         for name, rep in _report(spark, d, kinds=("forest",)).items():
-            _, out = register_model(spark, rep.fitted, rep.tables["metrics"], registry,
+            _, out = SC.register_model(spark, rep.fitted, rep.tables["metrics"], registry,
                                     "default", name)
     return out
 
