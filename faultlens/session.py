@@ -64,16 +64,17 @@ def unique_dir(spark: SparkSession, *parts: str) -> str:
     return shared_dir(spark, *parts, uuid.uuid4().hex[:12])
 
 
-def is_local_path(path: str) -> bool:
-    return path.startswith("file:") or os.path.isabs(path)
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``faultlens`` importable in executor Python workers (once per
-    session), as ``--py-files`` would; needed by the ``mapInPandas`` stages."""
+    session), as ``--py-files`` would; needed by the ``mapInPandas`` stages.
+    Set ``faultlens.shipPackage=false`` when the cluster already has it."""
     sc = spark.sparkContext
     if getattr(sc, "_faultlens_shipped", False):
         return
+    if spark.conf.get("faultlens.shipPackage", "true").lower() == "false":
+        return
     import shutil
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out = tempfile.mkdtemp(prefix="faultlens-pkg-")

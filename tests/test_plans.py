@@ -50,3 +50,17 @@ def test_materialized_cohort_scans_telemetry_once(spark):
     assert "StringContains(Faultlist" in plan    # fault test pushed into the Parquet reader
     lazy = _plan(J.plan_cohort(cl, dp, tel, T.scenario(), materialize=False).rows)
     assert lazy.count("events.parquet") == 2     # what materializing saves
+
+
+def test_group_filter_reaches_parquet_reader(spark, tmp_path):
+    import datetime as dt
+    rows = [("e1", dt.datetime(2024, 1, 9), g, "[1]", None, 1.0)
+            for g in ["X15_NSVI_A", "X15", "X15N_NSVI_A", "B6.7_CSIV_B"]]
+    path = str(tmp_path / "tel")
+    spark.createDataFrame(rows, "ESN string, Occurrence_time timestamp, engine_model_group string, "
+                                "Faultlist string, Faultlist2 string, v double").write.parquet(path)
+    from faultlens.sources import read_telemetry
+    tel = read_telemetry(spark, path, ["v"])
+    got = C.group_filter(tel, ["X15"], ["NSVI"])
+    assert "StringStartsWith(engine_model_group,X15_NSVI_)" in _plan(got)
+    assert [r.engine_model_group for r in got.collect()] == ["X15_NSVI_A"]
