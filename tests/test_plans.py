@@ -64,3 +64,33 @@ def test_group_filter_reaches_parquet_reader(spark, tmp_path):
     got = C.group_filter(tel, ["X15"], ["NSVI"])
     assert "StringStartsWith(engine_model_group,X15_NSVI_)" in _plan(got)
     assert [r.engine_model_group for r in got.collect()] == ["X15_NSVI_A"]
+
+
+def test_shuffle_join_path_equals_broadcast_path(spark):
+    """Above the broadcast bound the window join shuffles both sides (AQE may
+    split skewed assets); the rows must not change."""
+    cl, dp, tel = T.claims(spark, SF001), T.dispositions(spark, SF001), T.telemetry(spark, SF001)
+    sc = T.scenario()
+    bc = J.plan_cohort(cl, dp, tel, sc, materialize=False)
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sh = J.plan_cohort(cl, dp, tel, sc, broadcast_rows=0, materialize=False)
+        assert not sh.broadcast
+        rows = sh.rows.collect()
+        plan = _plan(sh.window_rows)
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        ft = J.feature_table_from_sources(cl, dp, tel, sc, broadcast_rows=0).collect()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert sorted(rows) == sorted(bc.rows.collect())
+    assert sorted(ft) == sorted(J.feature_table_from_sources(cl, dp, tel, sc).collect())
