@@ -67,12 +67,16 @@ def claims_per_asset(claims: DataFrame) -> DataFrame:
 def single_claim_assets(claims: DataFrame) -> DataFrame:
     """Keep claim rows of assets that have exactly one row left.
 
-    Grouping pre-aggregates per map task (a hot asset costs one row per task),
-    and the semi join on the same key reuses that partitioning.  A null asset
-    has count 0 and never survives.
+    One aggregation per asset carries the row's columns with ``first``, and
+    groups of size one keep them (there ``first`` has a single row to pick).
+    That is one pass over the claim pipeline (a count + semi join would run
+    it twice) and one shuffle of partial aggregates: a hot asset costs one
+    row per map task.  A null asset has count 0 and never survives.
     """
-    ones = claims_per_asset(claims).filter(F.col("count") == 1).select(S.ASSET)
-    return claims.join(ones, on=S.ASSET, how="left_semi")
+    others = [c for c in claims.columns if c != S.ASSET]
+    agg = claims.groupBy(S.ASSET).agg(F.count(S.ASSET).alias("_n"),
+                                      *[F.first(c).alias(c) for c in others])
+    return agg.filter(F.col("_n") == 1).select(*claims.columns)
 
 
 def labelled_claims(claims: DataFrame, dispositions: DataFrame, candidates, targets) -> DataFrame:
