@@ -29,14 +29,18 @@ class CohortPlan:
 
 def plan_cohort(claims: DataFrame, dispositions: DataFrame, telemetry: DataFrame,
                 sc: Scenario, broadcast_rows: int | None = C.DEFAULT_BROADCAST_ROWS,
-                materialize: bool = True) -> CohortPlan:
+                materialize: bool = True, materialize_window: bool | None = None) -> CohortPlan:
     """Lay out the cohort plan.
 
     ``materialize=True`` (for large runs) writes the claim cohort and the
     window rows once to the shared folder: the claim pipeline then runs once
     instead of three times (statistics, join, key set) and the telemetry is
     scanned once instead of twice (rows and fault key set).
+    ``materialize_window=False`` keeps only the claim cohort written, for
+    callers that read the window rows once.
     """
+    if materialize_window is None:
+        materialize_window = materialize
     cl = C.claim_cohort(claims, dispositions, sc.candidates, sc.targets)
     if materialize:
         cl = write_back(cl, f"{sc.scenario_id}/claims")
@@ -44,7 +48,7 @@ def plan_cohort(claims: DataFrame, dispositions: DataFrame, telemetry: DataFrame
     tel = C.group_filter(telemetry, sc.platforms, sc.emissions)
     bc = broadcast_rows is not None and stats.rows <= broadcast_rows
     win = C.telemetry_window_join(cl, tel, sc.window_days, broadcast_rows, stats)
-    if materialize:
+    if materialize_window:
         win = write_back(win, f"{sc.scenario_id}/window")
     rows = C.faulted_assets(win, sc.fault_codes, broadcast_keys=bc)
     return CohortPlan(cl, win, rows, stats, bc)
@@ -62,6 +66,7 @@ def build_feature_table(cohort_rows: DataFrame, sc: Scenario) -> DataFrame:
 def feature_table_from_sources(claims, dispositions, telemetry, sc: Scenario, **kw) -> DataFrame:
     """Feature table without materialising cohort rows: one telemetry scan
     feeding one partial+final aggregation."""
+    kw.setdefault("materialize_window", False)    # the window rows are read once
     p = plan_cohort(claims, dispositions, telemetry, sc, **kw)
     return FT.fused_feature_table(p.window_rows, sc.features, sc.fault_codes)
 
