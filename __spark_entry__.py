@@ -230,6 +230,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "multi_scenario_cohort": _multi,
         "rank_root_causes": lambda s, d: SC.rank_root_causes(
             SC.claim_history_scores(T.claims(s, d))),
+        "rank_causes_by_models": _rank_by_models,
         "backward_validation": _backward,
         "metrics_history": _history,
     }
@@ -241,6 +242,15 @@ def _multi(spark, d):
     return SC.multi_scenario_feature_table(cl, dp, tel, T.scenarios(spark), T.FEATURES)
 
 
+def _rank_by_models(spark, d):
+    """Likely causes per asset from one forest per target component."""
+    multi = _multi(spark, d).filter(F.col("scenario_id").startswith("target="))
+    comps = {f"target={t}": t for t in T.CANDIDATES}
+    scores, _ = SC.component_scores(spark, multi, S.feature_columns(T.FEATURES), comps,
+                                    M.ModelSpec(**FOREST))
+    return SC.rank_root_causes(scores)
+
+
 def _backward(spark, d):
     table = T.model_matrix_source(spark, d, with_date=True)
     return SC.backward_validation(spark, table, SIGNAL_COLS, S.FAILURE_DATE, "2000-01-01",

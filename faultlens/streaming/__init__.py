@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The reference reads batch tables only (no stream source, watermark or state),
+so nothing is built here; a stream of new claims would re-run the batch jobs
+on the new scenario window.
+"""

@@ -53,3 +53,12 @@ def test_backward_validation_and_history(spark):
     SC.append_metrics(spark, m, path, "s1")
     hist = SC.append_metrics(spark, m, path, "s1")
     assert hist.count() == 2
+
+
+def test_component_scores_rank_every_asset(spark):
+    import __spark_entry__ as E
+    ranked = E._rank_by_models(spark, SF001)
+    per = ranked.groupBy("ESN").agg(F.count("*").alias("n"), F.max("rank").alias("m"),
+                                    F.countDistinct("component").alias("c")).collect()
+    assert per and all(r.n == r.m == r.c == len(T.CANDIDATES) for r in per)
+    assert ranked.filter((F.col("score") < 0) | (F.col("score") > 1)).isEmpty()
