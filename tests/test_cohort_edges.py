@@ -141,3 +141,20 @@ def test_argument_errors(spark):
         FT.require_two_classes(single)
     with pytest.raises(FT.EmptyCohortError):
         FT.check_not_empty(single.filter("false"))
+
+
+def test_timestamp_failure_date(spark):
+    """A timestamp failure compares by time for '>=' and by calendar day for the
+    7-day bound (the reading at 16:00 on the failure day is after 15:00 -> out)."""
+    c = spark.createDataFrame([("c1", "e1", "A", TS(2024, 1, 10, 15, 0))],
+                              "Claim_number string, ESN string, ABO_FAILURE_PART string, "
+                              "Failure_date timestamp")
+    d = spark.createDataFrame([("c1", "N")], DISP_SCHEMA)
+    t = spark.createDataFrame(
+        [("e1", TS(2024, 1, 10, 14, 0), "X_Y_Z", "[1682]", None, "in: same day, earlier"),
+         ("e1", TS(2024, 1, 10, 16, 0), "X_Y_Z", "[1682]", None, "out: after failure"),
+         ("e1", TS(2024, 1, 3, 0, 1), "X_Y_Z", "[1682]", None, "in: 7 calendar days"),
+         ("e1", TS(2024, 1, 2, 23, 59), "X_Y_Z", "[1682]", None, "out: 8 calendar days")],
+        TEL_SCHEMA)
+    got = sorted(r.v for r in J.plan_cohort(c, d, t, sc()).window_rows.collect())
+    assert got == ["in: 7 calendar days", "in: same day, earlier"]
