@@ -40,6 +40,7 @@ class ModelSpec:
     step_size: float = 0.3          # boosted only
     validation_tol: float = 0.01    # boosted only
     feature_subset: str = "sqrt"    # forest only
+    missing_indicators: bool = False  # add a 0/1 "<feature>_missing" input per feature
 
     def with_params(self, **kw) -> "ModelSpec":
         return replace(self, **kw)
@@ -76,9 +77,25 @@ def tuning_rows(split_table: DataFrame) -> DataFrame:
 class FittedModel:
     spec: ModelSpec
     feature_cols: list[str]
-    prep: PipelineModel          # imputer + assembler, fitted on training rows
+    prep: PipelineModel          # [indicators +] imputer + assembler, fitted on training rows
     model: object                # GBTClassificationModel / RandomForestClassificationModel
 
+    @property
+    def inputs(self) -> list[str]:
+        """Columns the assembler packs, in vector order."""
+        out = [f"_imp_{c}" for c in self.feature_cols]
+        if self.spec.missing_indicators:
+            out += [f"_miss_{c}" for c in self.feature_cols]
+        return out
+
+    @property
+    def names(self) -> list[str]:
+        """Feature name of each vector slot (importance, attribution)."""
+        out = list(self.feature_cols)
+        if self.spec.missing_indicators:
+            out += [f"{c}_missing" for c in self.feature_cols]
+        return out
+
     def transform(self, df: DataFrame) -> DataFrame:
         return self.model.transform(self.prep.transform(df))
 
@@ -93,13 +110,21 @@ class FittedModel:
         return len(self.model.trees)
 
 
-def _prep_model(train: DataFrame, feature_cols) -> PipelineModel:
+def _prep_model(train: DataFrame, feature_cols, indicators: bool = False) -> PipelineModel:
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer
     feature_cols = list(feature_cols)
     imp_cols = [f"_imp_{c}" for c in feature_cols]
-    imputer = Imputer(strategy="median", inputCols=feature_cols, outputCols=imp_cols)
-    assembler = VectorAssembler(inputCols=imp_cols, outputCol="features", handleInvalid="error")
-    from pyspark.ml import Pipeline
-    return Pipeline(stages=[imputer, assembler]).fit(train)
+    stages, extra = [], []
+    if indicators:
+        flags = ", ".join(f"CAST(`{c}` IS NULL OR isnan(`{c}`) AS DOUBLE) AS `_miss_{c}`"
+                          for c in feature_cols)
+        stages.append(SQLTransformer(statement=f"SELECT *, {flags} FROM __THIS__"))
+        extra = [f"_miss_{c}" for c in feature_cols]
+    stages.append(Imputer(strategy="median", inputCols=feature_cols, outputCols=imp_cols))
+    stages.append(VectorAssembler(inputCols=imp_cols + extra, outputCol="features",
+                                  handleInvalid="error"))
+    return Pipeline(stages=stages).fit(train)
 
 
 def _estimator(spec: ModelSpec, with_validation: bool):
@@ -130,7 +155,7 @@ def fit(split_table: DataFrame, feature_cols, spec: ModelSpec) -> FittedModel:
     train = split_table.filter(~F.col("holdout"))
     if three_way:
         train = train.filter(~F.col("validation"))
-    prep = _prep_model(train, feature_cols)
+    prep = _prep_model(train, feature_cols, spec.missing_indicators)
     use_val = spec.kind == BOOSTED and spec.early_stopping
     if use_val:
         data = split_table.filter(~F.col("holdout")) if three_way else split_table
@@ -171,7 +196,7 @@ def split_count_importance(spark: SparkSession, fitted: FittedModel) -> DataFram
     (the "weight" importance); features never split on are absent."""
     nodes = node_table(spark, fitted).filter(F.col("leftChild") >= 0)
     counts = nodes.groupBy("featureIndex").agg(F.count(F.lit(1)).alias("importance"))
-    names = F.broadcast(_feature_names(spark, fitted.feature_cols))   # one row per feature
+    names = F.broadcast(_feature_names(spark, fitted.names))   # one row per feature
     return counts.join(names, "featureIndex").select("feature", "importance")
 
 

@@ -105,7 +105,7 @@ def test_tree_shap_exact(spark, split, spec):
     fm = M.fit(split, cols, spec)
     ens = A.ensemble_of(spark, fm)
     rows = split.filter("holdout").limit(6)
-    X = fm.prep.transform(rows).select(*[f"_imp_{c}" for c in cols]).toPandas().to_numpy(float)
+    X = fm.prep.transform(rows).select(*fm.inputs).toPandas().to_numpy(float)
     phi = A.shap_values(ens, X)
     for x, p in zip(X, phi):
         assert np.allclose(p, _brute(ens, x), atol=1e-12)
@@ -138,3 +138,16 @@ def test_three_way_split(spark):
                             attribution=False)
     assert set(reps) == {"XGBoost", "Random_Forest"}
     assert all(r.evaluation.auc > 0.85 for r in reps.values())
+
+
+def test_missing_indicators(spark, split):
+    cols = ["l_discount_max", "l_discount_min", "l_discount_std"]
+    fm = M.fit(split, cols, M.ModelSpec(M.FOREST, 4, 5, missing_indicators=True))
+    assert fm.names == cols + [f"{c}_missing" for c in cols]
+    out = fm.prep.transform(split).select("l_discount_std", "_miss_l_discount_std")
+    assert out.filter("l_discount_std IS NULL AND _miss_l_discount_std <> 1.0").isEmpty()
+    assert out.filter("l_discount_std IS NOT NULL AND _miss_l_discount_std <> 0.0").isEmpty()
+    assert out.filter("l_discount_std IS NULL").count() > 0
+    attr = A.feature_attribution(spark, fm, split.filter("holdout").limit(20))
+    assert {r.feature for r in attr.select("feature").distinct().collect()} == set(fm.names)
+    assert R.auc_value(fm.score(split.filter("holdout"))) > 0.85
