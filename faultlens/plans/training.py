@@ -13,6 +13,8 @@ from faultlens.operators import models as M
 from faultlens.operators import roc as R
 from faultlens.operators import tuning as TU
 
+# The model names a report is selected by (the boosted model is
+# Spark ML's GBTClassifier; the name is kept so existing selections still work).
 MODEL_NAMES = {M.BOOSTED: "XGBoost", M.FOREST: "Random_Forest"}
 
 
