@@ -130,6 +130,11 @@ def roc_from_counts(c: Counted, drop_intermediate: bool = True,
     one = n_buckets(t.scores, rows_per_bucket, max_buckets) == 1
     cum = prefix_sums(add_bucket(counts, t.scores, rows_per_bucket, max_buckets), ["pos", "neg"],
                       single_bucket=one)
+    if not one:
+        # Many distinct scores: the running sums feed three branches below
+        # (bucket heads, neighbours, kept points); write them once.
+        from faultlens.sources.sinks import materialize
+        cum = materialize(cum, "roc/cumulative")
     tps, fps = F.col("cum_pos"), F.col("cum_neg")
     if drop_intermediate and t.scores > 2:
         # Neighbours: lag/lead inside the bucket; before a bucket's first row
