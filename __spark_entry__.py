@@ -469,6 +469,7 @@ def oracle_sql() -> dict[str, str]:
         "write_cohort": _with(_BASE, w) + f"SELECT {_COHORT_COLS} FROM cohort",
         "write_feature_table": _with(_BASE, w, _FEATS) + "SELECT * FROM ft",
         "scan_feature_table": _with(_BASE, w, _FEATS) + "SELECT * FROM ft",
+        "check_not_empty": _with(_BASE, w, _FEATS) + fused,
         "candidate_filter": _with(_BASE) + "SELECT * FROM cand",
         "label_claims": _with(_BASE) + "SELECT * FROM lab",
         "project_claims": _with(_BASE) + "SELECT * FROM proj",
