@@ -33,3 +33,33 @@ def require_columns(df: DataFrame, cols, what: str) -> DataFrame:
     if missing:
         raise ValueError(f"{what}: missing column(s) {missing}; has {df.columns}")
     return df
+
+
+# Accepted types per input column (FIXTURES.md): keys are strings or integers,
+# dates are DATE or TIMESTAMP, packed lists and flags are strings, features are
+# strings or numbers (cast leniently later).
+_KEY = ("string", "int", "bigint", "smallint", "tinyint")
+_TIME = ("date", "timestamp", "timestamp_ntz")
+_NUMERIC_PREFIXES = ("string", "int", "bigint", "smallint", "tinyint", "float", "double", "decimal")
+EXPECTED_TYPES = {
+    CLAIM_ID: _KEY, ASSET: _KEY, PART: ("string",), FAILURE_DATE: _TIME, FLAG: ("string",),
+    OCCURRENCE: _TIME, GROUP: ("string",), FAULTS[0]: ("string",), FAULTS[1]: ("string",),
+}
+
+
+def require_types(df: DataFrame, cols, what: str, features=()) -> DataFrame:
+    """Fail early, with the column and its type, when an input column has a
+    type the jobs cannot use."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    bad = []
+    for c in cols:
+        ok = EXPECTED_TYPES.get(c)
+        if ok is not None and types.get(c) not in ok:
+            bad.append(f"{c}: {types.get(c)} (expected {' or '.join(ok)})")
+    for f in features:
+        t = types.get(f, "")
+        if not t.startswith(_NUMERIC_PREFIXES):
+            bad.append(f"{f}: {t} (expected a string or a number)")
+    if bad:
+        raise TypeError(f"{what}: " + "; ".join(bad))
+    return df

@@ -24,6 +24,7 @@ def read_claims(spark: SparkSession, source, fmt: str = "parquet") -> DataFrame:
     """scan_claims: claim id, asset, failed part, failure date."""
     df = read_table(spark, source, fmt)
     S.require_columns(df, S.CLAIM_COLUMNS, "claims")
+    S.require_types(df, S.CLAIM_COLUMNS, "claims")
     return df.select(*S.CLAIM_COLUMNS)
 
 
@@ -31,6 +32,7 @@ def read_dispositions(spark: SparkSession, source, fmt: str = "parquet") -> Data
     """scan_dispositions: claim id and flag, rows with a null in either dropped."""
     df = read_table(spark, source, fmt)
     S.require_columns(df, S.DISPOSITION_COLUMNS, "dispositions")
+    S.require_types(df, S.DISPOSITION_COLUMNS, "dispositions")
     return df.select(*S.DISPOSITION_COLUMNS).dropna(how="any")
 
 
@@ -39,6 +41,8 @@ def read_telemetry(spark: SparkSession, source, features, fmt: str = "parquet")
     df = read_table(spark, source, fmt)
     cols = list(S.TELEMETRY_FIXED) + [f for f in features if f not in S.TELEMETRY_FIXED]
     S.require_columns(df, cols, "telemetry")
+    S.require_types(df, S.TELEMETRY_FIXED, "telemetry",
+                    features=[f for f in features if f not in S.TELEMETRY_FIXED])
     return df.select(*cols)
 
 

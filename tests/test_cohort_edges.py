@@ -158,3 +158,19 @@ def test_timestamp_failure_date(spark):
         TEL_SCHEMA)
     got = sorted(r.v for r in J.plan_cohort(c, d, t, sc()).window_rows.collect())
     assert got == ["in: 7 calendar days", "in: same day, earlier"]
+
+
+def test_read_checks_types(spark, tmp_path):
+    from faultlens.sources import read_claims, read_telemetry
+    good = spark.createDataFrame([("c1", 7, "A", D(2024, 1, 1))],
+                                 "Claim_number string, ESN bigint, ABO_FAILURE_PART string, "
+                                 "Failure_date date")
+    assert read_claims(spark, good).count() == 1
+    bad = spark.createDataFrame([("c1", "e1", "A", "2024-01-01")], CLAIM_SCHEMA.replace(
+        "Failure_date date", "Failure_date string"))
+    with pytest.raises(TypeError, match="Failure_date"):
+        read_claims(spark, bad)
+    tel = spark.createDataFrame([("e1", TS(2024, 1, 1), "X_Y_Z", "[1]", None, "1.5")], TEL_SCHEMA)
+    assert read_telemetry(spark, tel, ["v"]).count() == 1
+    with pytest.raises(TypeError, match="v"):
+        read_telemetry(spark, tel.withColumn("v", F.array(F.lit(1.0))), ["v"])
