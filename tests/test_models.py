@@ -23,8 +23,8 @@ NOISE = ["l_tax_max", "l_tax_min", "l_tax_avg", "l_tax_std"]
 
 @pytest.fixture(scope="module")
 def split(spark):
-    s = split_table(T.model_matrix_source(spark, SF001), T.MATRIX_MEASURES and
-                    [c for m in T.MATRIX_MEASURES for c in (f"{m}_max", f"{m}_min", f"{m}_avg", f"{m}_std")],
+    from faultlens.schemas import feature_columns
+    s = split_table(T.model_matrix_source(spark, SF001), feature_columns(T.MATRIX_MEASURES),
                     0.2, 42).persist()
     yield s
     s.unpersist()
