@@ -94,6 +94,11 @@ def group_filter(telemetry: DataFrame, platforms, emissions) -> DataFrame:
     """Keep telemetry rows whose packed group has the platform and emission tokens."""
     if not platforms and not emissions:
         return telemetry
+    from faultlens.sources.layout import EMISSION, PLATFORM, has_layout
+    if has_layout(telemetry):
+        # Same tokens, stored as partition columns: the filter prunes directories.
+        return telemetry.filter(F.col(PLATFORM).isin(list(platforms)) &
+                                F.col(EMISSION).isin(list(emissions)))
     return telemetry.filter(group_match(S.GROUP, platforms, emissions))
 
 
@@ -130,8 +135,15 @@ def _time_bounds(telemetry: DataFrame, stats: ClaimStats, window_days: int):
     lo = stats.first_failure - dt.timedelta(days=window_days)
     hi = stats.last_failure + dt.timedelta(days=1)
     occ = F.col(S.OCCURRENCE)
-    return ((occ >= F.lit(lo.isoformat()).cast(tt)) &
+    cond = ((occ >= F.lit(lo.isoformat()).cast(tt)) &
             (occ < F.lit(hi.isoformat()).cast(tt)))
+    from faultlens.sources.layout import DAY
+    if DAY in telemetry.columns:
+        # Day-partitioned telemetry: the same bounds as partition filters.
+        day = F.col(DAY)
+        cond = cond & (day >= F.lit(lo.isoformat()).cast("date")) & \
+            (day < F.lit(hi.isoformat()).cast("date"))
+    return cond
 
 
 def telemetry_window_join(claims: DataFrame, telemetry: DataFrame, window_days: int = 7,

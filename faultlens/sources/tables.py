@@ -40,6 +40,8 @@ def read_telemetry(spark: SparkSession, source, features, fmt: str = "parquet")
     """scan_telemetry: the fixed columns plus the chosen features only."""
     df = read_table(spark, source, fmt)
     cols = list(S.TELEMETRY_FIXED) + [f for f in features if f not in S.TELEMETRY_FIXED]
+    from faultlens.sources.layout import LAYOUT_COLUMNS
+    cols += [c for c in LAYOUT_COLUMNS if c in df.columns]     # partition columns, if laid out
     S.require_columns(df, cols, "telemetry")
     S.require_types(df, S.TELEMETRY_FIXED, "telemetry",
                     features=[f for f in features if f not in S.TELEMETRY_FIXED])
