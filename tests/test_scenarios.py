@@ -62,3 +62,16 @@ def test_component_scores_rank_every_asset(spark):
                                     F.countDistinct("component").alias("c")).collect()
     assert per and all(r.n == r.m == r.c == len(T.CANDIDATES) for r in per)
     assert ranked.filter((F.col("score") < 0) | (F.col("score") > 1)).isEmpty()
+
+
+def test_multi_scenario_all_grouped_uses_union_prefilter(spark):
+    cl, dp, tel = T.claims(spark, SF001), T.dispositions(spark, SF001), T.telemetry(spark, SF001)
+    scs = [T.scenario(platforms=("P0",), emissions=("E0",), scenario_id="a"),
+           T.scenario(platforms=("P2", "P1"), emissions=("E1",), scenario_id="b")]
+    multi = SC.multi_scenario_feature_table(cl, dp, tel, SC.scenario_table(spark, scs), T.FEATURES)
+    plan = multi._jdf.queryExecution().executedPlan().toString()
+    assert "StartsWith" in plan                   # union of groups pre-filters the scan
+    for sc in scs:
+        one = J.feature_table_from_sources(cl, dp, tel, sc)
+        got = multi.filter(F.col("scenario_id") == sc.scenario_id).drop("scenario_id")
+        assert got.exceptAll(one).isEmpty() and one.exceptAll(got).isEmpty(), sc.scenario_id
