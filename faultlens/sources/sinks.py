@@ -51,15 +51,19 @@ def read_report(spark: SparkSession, path: str, name: str, scenario_id: str,
             .filter((F.col("scenario_id") == scenario_id) & (F.col("model") == model)))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by=None) -> DataFrame:
     """Write ``df`` once below the shared folder and continue from the files.
 
     Cuts the lineage (a lost executor re-reads files instead of re-running
     the upstream scans and joins), lets later reads prune columns and push
-    filters, and replaces repeated evaluation of the same subplan.
+    filters, and replaces repeated evaluation of the same subplan.  With
+    ``partition_by``, later filters on those columns read only their folders.
     """
     from faultlens.session import unique_dir
     spark = df.sparkSession
     path = unique_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
     return spark.read.parquet(path)
