@@ -1,6 +1,6 @@
 """Run one scenario end to end from a JSON argument file.
 
-    spark-submit --py-files faultlens.zip -m faultlens.plans.run args.json
+    spark-submit --py-files faultlens.zip faultlens/plans/run.py args.json
 
 ``args.json`` keys: claims, dispositions, telemetry (table names or paths),
 output (folder), candidates, targets, fault_codes, features, platforms,
