@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from faultlens import schemas as S
 from faultlens.functions import fault_code_match, group_match
 
-# A claims side above this many rows is not broadcast to the telemetry scan;
-# the join then shuffles both sides (AQE splits skewed asset keys).
+# A claims side above this many rows, or above this many bytes of data, is not
+# broadcast to the telemetry scan; the join then shuffles both sides (AQE splits
+# skewed asset keys).
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 256 << 20
 
 
 def candidate_filter(claims: DataFrame, candidates) -> DataFrame:
@@ -107,6 +109,10 @@ class ClaimStats:
     rows: int
     first_failure: dt.date | None
     last_failure: dt.date | None
+    data_bytes: int = 0          # measured: string lengths + 8 bytes per other value
+
+    def broadcastable(self, max_rows: int | None, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+        return max_rows is not None and self.rows <= max_rows and self.data_bytes <= max_bytes
 
 
 def claim_stats(claims: DataFrame) -> ClaimStats:
@@ -115,10 +121,21 @@ def claim_stats(claims: DataFrame) -> ClaimStats:
     The result is one row whatever the data size; it decides the join
     strategy and gives literal time bounds for the telemetry scan.
     """
+    def width(f):
+        t = f.dataType.simpleString()
+        if t == "string":
+            return F.coalesce(F.length(F.col(f.name)), F.lit(0))
+        if t == "array<string>":
+            return F.coalesce(F.length(F.concat_ws(",", F.col(f.name))), F.lit(0)) + 16
+        if t.startswith("array"):
+            return F.coalesce(F.size(F.col(f.name)), F.lit(0)) * 8 + 16
+        return F.lit(8)
+    size = sum(width(f) for f in claims.schema.fields)
     r = claims.agg(F.count(F.lit(1)).alias("n"),
                    F.min(F.to_date(S.FAILURE_DATE)).alias("lo"),
-                   F.max(F.to_date(S.FAILURE_DATE)).alias("hi")).first()
-    return ClaimStats(int(r["n"]), r["lo"], r["hi"])
+                   F.max(F.to_date(S.FAILURE_DATE)).alias("hi"),
+                   F.sum(size).alias("b")).first()
+    return ClaimStats(int(r["n"]), r["lo"], r["hi"], int(r["b"] or 0))
 
 
 def _time_bounds(telemetry: DataFrame, stats: ClaimStats, window_days: int):
@@ -156,13 +173,15 @@ def telemetry_window_join(claims: DataFrame, telemetry: DataFrame, window_days:
 
     Plan: one equi-join on the asset with the window as residual predicate.
     The claim side is broadcast only when its measured row count is at most
-    ``broadcast_rows`` (a proven bound), so the telemetry side is never
-    shuffled; above that both sides shuffle on the asset and AQE handles skew.
+    ``broadcast_rows`` and its measured data size at most
+    ``DEFAULT_BROADCAST_BYTES`` (a proven bound), so the telemetry side is
+    never shuffled; above that both sides shuffle on the asset and AQE
+    handles skew.
     """
     stats = stats or claim_stats(claims)
     tel = telemetry.filter(_time_bounds(telemetry, stats, window_days))
     side = claims
-    if broadcast_rows is not None and stats.rows <= broadcast_rows:
+    if stats.broadcastable(broadcast_rows):
         side = F.broadcast(claims)
     fail, occ = F.col(S.FAILURE_DATE), F.col(S.OCCURRENCE)
     return (side.join(tel, on=S.ASSET, how="inner")

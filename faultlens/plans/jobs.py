@@ -46,7 +46,7 @@ def plan_cohort(claims: DataFrame, dispositions: DataFrame, telemetry: DataFrame
         cl = write_back(cl, f"{sc.scenario_id}/claims")
     stats = C.claim_stats(cl)
     tel = C.group_filter(telemetry, sc.platforms, sc.emissions)
-    bc = broadcast_rows is not None and stats.rows <= broadcast_rows
+    bc = stats.broadcastable(broadcast_rows)
     win = C.telemetry_window_join(cl, tel, sc.window_days, broadcast_rows, stats)
     if materialize_window:
         win = write_back(win, f"{sc.scenario_id}/window")
