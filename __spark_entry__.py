@@ -192,6 +192,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             S.ASSET, S.LABEL, in_holdout(S.ASSET, 42, 0.2).alias("holdout")),
         "roc_points": lambda s, d: R.roc_points(T.scored_rows(s, d)),
         "roc_auc": lambda s, d: R.roc_auc(T.scored_rows(s, d)),
+        # Same results through the many-distinct-scores path (ordered buckets of
+        # 3 scores each instead of one window), checked against the same SQL.
+        "roc_points_bucketed": lambda s, d: R.roc_points(T.scored_rows(s, d), rows_per_bucket=3),
+        "roc_auc_bucketed": lambda s, d: R.roc_auc(T.scored_rows(s, d), rows_per_bucket=3),
         "threshold_table": lambda s, d: R.threshold_table(R.roc_points(T.scored_rows(s, d))),
         "roc_annotations": lambda s, d: R.roc_annotations(R.roc_points(T.scored_rows(s, d))),
         # 2.8 composite jobs
@@ -501,6 +505,7 @@ def oracle_sql() -> dict[str, str]:
             " / (2.0 * CAST(tot.P AS DOUBLE) * CAST(tot.N AS DOUBLE)) AS auc FROM cum, tot"
             " GROUP BY tot.P, tot.N",
         "threshold_table": _with(_ROC) + "SELECT * FROM pts WHERE FPR <= 0.2",
+        "roc_points_bucketed": _with(_ROC) + "SELECT * FROM pts",
         "roc_annotations": _with(_ROC) +
             "SELECT point, FPR, TPR, round_even(Threshold, 2) AS label FROM pts "
             "WHERE point % greatest(CAST(round_even((SELECT count(*) FROM pts) / 10.0, 0) AS BIGINT), 1) = 0",
@@ -520,4 +525,5 @@ sc AS (SELECT per.ESN, component, CAST(n AS DOUBLE) / CAST(total AS DOUBLE) AS s
 SELECT ESN, component, score,
        row_number() OVER (PARTITION BY ESN ORDER BY score DESC, component ASC) AS rank FROM sc""",
     }
+    sql["roc_auc_bucketed"] = sql["roc_auc"]
     return sql

@@ -172,20 +172,21 @@ def roc_from_counts(c: Counted, drop_intermediate: bool = True,
     return first.unionByName(pts)
 
 
-def roc_auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def roc_auc(scored: DataFrame, score: str = "score", label: str = "label",
+            rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Area under the ROC (trapezoid rule), one row ``auc``.
 
     Computed as the rank-sum statistic with ties counted one half, which is
     the trapezoid area exactly; the numerator is an integer sum, so the value
     does not depend on summation order.
     """
-    return auc_from_counts(count_scores(scored, score, label))
+    return auc_from_counts(count_scores(scored, score, label), rows_per_bucket)
 
 
-def auc_from_counts(c: Counted) -> DataFrame:
+def auc_from_counts(c: Counted, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     counts, t = c.counts, c.totals
-    one = n_buckets(t.scores) == 1
-    cum = prefix_sums(add_bucket(counts, t.scores), ["pos"], single_bucket=one)
+    one = n_buckets(t.scores, rows_per_bucket) == 1
+    cum = prefix_sums(add_bucket(counts, t.scores, rows_per_bucket), ["pos"], single_bucket=one)
     num = F.sum(F.col("neg").cast("decimal(38,0)") *
                 (2 * F.col("cum_pos") - F.col("pos")).cast("decimal(38,0)"))
     return cum.agg((num.cast("double") / F.lit(2.0 * t.pos * t.neg)).alias("auc"))
