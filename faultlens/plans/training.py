@@ -88,7 +88,7 @@ def train_and_report(spark: SparkSession, table: DataFrame, feature_cols, sc, mo
     """Both models: tuned (``auto``) or with the scenario's parameters
     (``custom``), each evaluated on the holdout, with attributions."""
     from faultlens.operators import attribution as A
-    FT.require_two_classes(table)
+    positives, negatives = FT.require_two_classes(table)
     split = split_table(table, feature_cols, sc.split_ratio, sc.seed,
                         validation_ratio=sc.validation_ratio).persist()
     out = {}
@@ -116,8 +116,9 @@ def train_and_report(spark: SparkSession, table: DataFrame, feature_cols, sc, mo
             rep.tables = {"thresholds": ev.thresholds, "roc_points": ev.points,
                           "roc_annotations": ev.annotations,
                           "metrics": spark.createDataFrame(
-                              [(rep.name, fitted.n_trees, ev.auc)],
-                              "model string, trees int, auc double")}
+                              [(rep.name, fitted.n_trees, ev.auc, positives, negatives)],
+                              "model string, trees int, auc double, positives long, "
+                              "negatives long")}
             if trials is not None:
                 rep.tables["trials"] = trials
             if rep.attribution_summary is not None:
