@@ -23,6 +23,14 @@ from faultlens.plans import jobs as J
 from faultlens.plans import scenarios as SC
 from faultlens.sources import testmap as T
 
+try:    # the corpus operators and their pipeline may have been taken out of the repository
+    import corpus_pipeline
+    from faultlens.llm import registry as LLM
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "faultlens.llm"):
+        raise
+    LLM = corpus_pipeline = None
+
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 
@@ -238,6 +246,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "backward_validation": _backward,
         "metrics_history": _history,
     }
+    if LLM:
+        q |= LLM.QUERIES | {"pipeline": corpus_pipeline.run}
     return q
 
 
@@ -526,4 +536,8 @@ SELECT ESN, component, score,
        row_number() OVER (PARTITION BY ESN ORDER BY score DESC, component ASC) AS rank FROM sc""",
     }
     sql["roc_auc_bucketed"] = sql["roc_auc"]
+    if LLM:
+        sql |= LLM.ORACLES
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
