@@ -359,8 +359,14 @@ def _send(held, windows, gone, buckets: int, length: int) -> Iterator[pa.RecordB
         yield from _step({"bucket": np.array([x[0] for x in blobs], np.int32), "blob": [x[1] for x in blobs]})
     if gone:
         kid, th, at = (np.array(x, dtype=np.int64) for x in zip(*gone, strict=True))
-        yield from _step({"bucket": np.zeros(len(at), np.int32), "kid": kid, "th": th, "begin": at.astype(np.int32),
-                          "end": (at + length).astype(np.int32)})
+        # Neighbouring windows of one document become one run.
+        order = np.lexsort((at, th, kid))
+        kid, th, at = kid[order], th[order], at[order]
+        new = np.append(True, (kid[1:] != kid[:-1]) | (th[1:] != th[:-1]) | (at[1:] > at[:-1] + length))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        yield from _step({"bucket": np.zeros(len(first), np.int32), "kid": kid[first], "th": th[first],
+                          "begin": at[first].astype(np.int32), "end": (at[last] + length).astype(np.int32)})
 
 
 def repeats(kid: np.ndarray, th: np.ndarray, start: np.ndarray, strings: list[bytes], length: int,
