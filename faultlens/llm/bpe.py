@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultlens.llm.common import session
+from faultlens.llm.common import session, tidy
 
 # Fixed value: the pattern by which byte-level BPE vocabularies split a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -209,6 +209,13 @@ def codec(spec: bytes) -> Codec:
     return _CODECS[key]
 
 
+def forget_pieces() -> None:
+    """Drop the piece and pair caches: later stages in the same worker need the memory."""
+    for c in _CODECS.values():
+        c.pieces.clear()
+        c.pairs.clear()
+
+
 def read_spec(tokenizer_path: str) -> bytes:
     with open(tokenizer_path, "rb") as f:
         spec = f.read(MAX_TOKENIZER_BYTES + 1)
@@ -250,7 +257,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     names=["doc", "n_tokens", "ids", "decoded"])
 
     rows = docs.select(F.struct("*").alias("doc"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *T.StructType.fromDDL(
+    return rows.mapInArrow(tidy(run, forget_pieces), T.StructType([rows.schema["doc"], *T.StructType.fromDDL(
         "n_tokens long, ids binary, decoded string").fields]))
 
 

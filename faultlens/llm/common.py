@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from faultlens.session import ship_package, unique_dir
@@ -32,3 +37,26 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
         hp.getFileSystem(conf).delete(hp, True)
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system; workers outlive tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):   # not glibc: nothing to trim
+        pass
+
+
+def tidy(run: Callable[..., Iterator], *after: Callable[[], None]) -> Callable[..., Iterator]:
+    """``run`` for ``mapInArrow``; ``after`` and :func:`give_back` follow at the task's end."""
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for f in after:
+                f()
+            give_back()
+
+    return wrapped

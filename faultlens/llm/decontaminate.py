@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultlens.llm.common import session, stored
+from faultlens.llm.common import session, stored, tidy
 
 WINDOW = 10
 SHINGLE = 3
@@ -175,7 +175,7 @@ def _shingle_counts(docs: DataFrame, block: Block) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n), pa.int32()), pa.array(at, pa.int32()),
                                               pa.array(c[at], pa.int64())], names=["n", "at", "c"])
 
-    rows = (docs.select("doc.text").mapInArrow(run, "n int, at int, c long")
+    rows = (docs.select("doc.text").mapInArrow(tidy(run), "n int, at int, c long")
             .groupBy("n", "at").agg(F.sum("c").alias("c")).collect())    # at most one row per item shingle
     shared.unpersist()
     counts = {n: np.zeros(len(c), dtype=np.int64) for n, c in block.codes.items()}
@@ -209,7 +209,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         b.index(_shingle_counts(packed, b) if b.windows else {})
         whole = T.StructType([packed.schema["doc"], *T.StructType.fromDDL(
             "n_words long, spans array<struct<begin:int,end:int>>, item_ids array<string>").fields])
-        parts.append(packed.mapInArrow(_searcher(spark.sparkContext.broadcast(b), only),
+        parts.append(packed.mapInArrow(tidy(_searcher(spark.sparkContext.broadcast(b), only)),
                                        whole if only else "row long, n_words long, begin int, end int, item_id string"))
         if later is None:
             break

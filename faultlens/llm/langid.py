@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultlens.llm.common import session
+from faultlens.llm.common import session, tidy
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -198,7 +198,7 @@ def train(docs: DataFrame, buckets: int = BUCKETS, sample_per_lang: int = SAMPLE
 
     # One pass; frequencies meet in one row per bucket, sampled rows pass through by their id.
     out = (rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "part", "sampled")
-           .mapInArrow(run, _TRAIN)
+           .mapInArrow(tidy(run), _TRAIN)
            .groupBy("bucket", "doc_id", "lang", "part", "at", "x").agg(F.sum("df").alias("df")).collect())
     idf, n_docs = np.zeros(buckets, dtype=np.float32), 0
     for r in out:
@@ -245,7 +245,7 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
                  pa.array([f[1] for f in found], pa.float64())], names=["doc", "lang_pred", "score"])
 
     rows = docs.select(F.struct("*").alias("doc"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *T.StructType.fromDDL(
+    return rows.mapInArrow(tidy(run), T.StructType([rows.schema["doc"], *T.StructType.fromDDL(
         "lang_pred string, score double").fields]))
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import discard, session, stored
+from faultlens.llm.common import discard, session, stored, tidy
 from faultlens.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), *batch.columns[1:]],
                                              names=["fp", *others])
 
-    return rows.mapInArrow(run, rows.select(F.lit(0).cast("long").alias("fp"), *others).schema)
+    return rows.mapInArrow(tidy(run), rows.select(F.lit(0).cast("long").alias("fp"), *others).schema)
 
 
 def _distance(f: np.ndarray, v: np.uint64) -> np.ndarray:

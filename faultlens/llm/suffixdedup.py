@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultlens.llm.common import discard, session, stored
+from faultlens.llm.common import discard, give_back, session, stored, tidy
 from faultlens.llm.induced import Workspace, suffix_array
 
 LENGTH = 100
 GRAM = 32                   # bytes of the strings whose least hash is a window's anchor
 HOT_PIECES = 64             # different pieces of one anchor, in a task or bucket, from which it is split
 CHUNK_BYTES = 1 << 20       # bytes hashed at once
-FLUSH_BYTES = 24 << 20      # text of a task held before its pieces are collapsed
+FLUSH_BYTES = 16 << 20      # text of a task held before its pieces are collapsed
 SPREAD = 4                  # buckets for each shuffle partition, so that partitions come out even
 OUT_ROWS = 50_000
 NO_ID = -(1 << 63)          # stands for a null doc_id, before every other
@@ -405,6 +405,7 @@ def _sort_shard(length: int):
         kid, th, start = (np.concatenate(c) for c in zip(*cols, strict=True))
         with Workspace() as space:
             found = repeats(kid, th, start, strings, length, space)
+        give_back()
         if not len(found):
             return pd.DataFrame({"kid": kid[:0], "th": th[:0], "begin": np.empty(0, np.int32), "end": np.empty(0, np.int32)})
         room = max(map(len, strings)) + length + 1
@@ -473,14 +474,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     yield from c.flush()
         yield from c.flush()
 
-    found, found_path = stored(texts.mapInArrow(collapse, _STEP).groupBy("bucket")
+    found, found_path = stored(texts.mapInArrow(tidy(collapse), _STEP).groupBy("bucket")
                                .applyInPandas(_compare_pieces(length), _FOUND), "suffix_found")
     spans = found.where("kind = 0").select("kid", "th", "begin", "end")
     # Documents with open pieces, each with its list of them (bounded by its own length).
     wanted = found.where("kind = 1").groupBy("kid", "th").agg(
         F.collect_list(F.struct("begin", "end", "anchor", "hot")).alias("open"))
     cut, cut_path = stored(texts.join(wanted.hint("shuffle_hash"), ["kid", "th"]).select("kid", "th", "text", "open")
-                           .mapInArrow(_cut_pieces(buckets, length), _STEP), "suffix_pieces")
+                           .mapInArrow(tidy(_cut_pieces(buckets, length)), _STEP), "suffix_pieces")
     sorted_out, sorted_path = stored(cut.where("blob is not null").groupBy("bucket")
                                      .applyInPandas(_sort_shard(length), _SPANS), "suffix_repeats")
     gone = spans.unionByName(cut.where("blob is null").select("kid", "th", "begin", "end")).unionByName(sorted_out)
@@ -488,7 +489,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         "suffix_runs")
     discard(spark, found_path, cut_path, sorted_path)
     joined = keyed.join(per_doc.hint("shuffle_hash"), ["kid", "th"], "left").select("doc", "runs")
-    return joined.mapInArrow(_apply, T.StructType([joined.schema["doc"], *T.StructType.fromDDL(
+    return joined.mapInArrow(tidy(_apply), T.StructType([joined.schema["doc"], *T.StructType.fromDDL(
         "removed array<struct<begin:int,end:int>>, kept binary").fields]))
 
 
