@@ -6,13 +6,14 @@ Every query reads the driver tables through the mapping in FIXTURES.md
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens import schemas as S
-from faultlens.functions import NUMBER_PATTERN_SQL, in_holdout
+from faultlens.functions import NUMBER_PATTERN_SQL
 from faultlens.operators import attribution as A
 from faultlens.operators import cohort as C
 from faultlens.operators import features as FT
@@ -21,6 +22,7 @@ from faultlens.operators import roc as R
 from faultlens.operators import tuning as TU
 from faultlens.plans import jobs as J
 from faultlens.plans import scenarios as SC
+from faultlens.sources import read_claims, read_dispositions, read_telemetry
 from faultlens.sources import testmap as T
 
 try:    # the corpus operators and their pipeline may have been taken out of the repository
@@ -31,7 +33,7 @@ except ModuleNotFoundError as missing:
         raise
     LLM = corpus_pipeline = None
 
-FLAGSHIP_DIR = "/root/testdata/sf0.001"
+FLAGSHIP_DIR = os.environ.get("FAULTLENS_FLAGSHIP_DIR", "/root/testdata/sf0.001")
 
 
 # --------------------------------------------------------------------------
@@ -39,7 +41,9 @@ FLAGSHIP_DIR = "/root/testdata/sf0.001"
 # --------------------------------------------------------------------------
 
 def _inputs(spark: SparkSession, d: str):
-    return T.claims(spark, d), T.dispositions(spark, d), T.telemetry(spark, d)
+    """The mapped tables through the library's own readers."""
+    return (read_claims(spark, T.claims(spark, d)), read_dispositions(spark, T.dispositions(spark, d)),
+            read_telemetry(spark, T.telemetry(spark, d), T.FEATURES))
 
 
 def _labelled(spark, d):
@@ -145,6 +149,32 @@ def _scan_feature_table(spark, d):
     return scan_feature_table(spark, write_table(_fused(spark, d), unique_dir(spark, "features")))
 
 
+def _line_name():
+    return F.concat(F.lit("line"), F.col("l_linenumber").cast("string"))
+
+
+def _importance(spark, d):
+    """A fixed importance table: lines per line number."""
+    return T.table(spark, d, "lineitem").groupBy(_line_name().alias("feature")).agg(
+        F.count(F.lit(1)).alias("importance"))
+
+
+def _phi(spark, d):
+    """A fixed attribution table, with a feature whose attribution is always zero."""
+    li = T.table(spark, d, "lineitem")
+    phi = F.when(F.col("l_linenumber") == 1, 0.0).otherwise((F.col("l_discount") - 0.05).cast("double"))
+    return li.select(F.col("l_orderkey").alias("asset"), _line_name().alias("feature"),
+                     F.col("l_quantity").cast("double").alias("value"), phi.alias("phi"),
+                     F.lit(0.5).alias("base_value"))
+
+
+def _dated_scores(spark, d):
+    li = T.table(spark, d, "lineitem")
+    return li.select(F.trunc("l_shipdate", "month").alias("period"),
+                     F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias(S.LABEL),
+                     F.col("l_discount").cast("double").alias("score"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the feature table of the default scenario at sf0.001."""
     return _fused(spark, FLAGSHIP_DIR)
@@ -154,9 +184,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     sc = T.scenario()
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         # 2.1 scans and sinks
-        "scan_claims": lambda s, d: T.claims(s, d),
-        "scan_dispositions": lambda s, d: T.dispositions(s, d).dropna(how="any"),
-        "scan_telemetry": lambda s, d: T.telemetry(s, d),
+        "scan_claims": lambda s, d: _inputs(s, d)[0],
+        "scan_dispositions": lambda s, d: _inputs(s, d)[1],
+        "scan_telemetry": lambda s, d: _inputs(s, d)[2],
         "write_cohort": lambda s, d: _write_read(s, _cohort(s, d), "cohort"),
         "write_feature_table": lambda s, d: _write_read(s, _fused(s, d), "features"),
         "scan_feature_table": _scan_feature_table,
@@ -179,7 +209,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "join_dispositions": lambda s, d: C.join_dispositions(
             C.project_claims(C.label_claims(C.candidate_filter(T.claims(s, d), sc.candidates),
                                             sc.targets)),
-            T.dispositions(s, d).dropna(how="any")),
+            _inputs(s, d)[1]),
         "single_claim_assets": _claim_cohort,
         "telemetry_window_join": lambda s, d: _window(s, d),
         "faulted_assets": lambda s, d: _cohort(s, d),
@@ -196,8 +226,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "asset_labels": lambda s, d: FT.asset_labels(_cohort(s, d)),
         "class_balance": lambda s, d: FT.class_balance(_fused(s, d)),
         # 2.7 split and evaluation
-        "holdout_split": lambda s, d: _matrix(s, d).select(
-            S.ASSET, S.LABEL, in_holdout(S.ASSET, 42, 0.2).alias("holdout")),
+        "holdout_split": lambda s, d: M.holdout_split(_matrix(s, d), 0.2, 42).select(
+            S.ASSET, S.LABEL, "holdout"),
         "roc_points": lambda s, d: R.roc_points(T.scored_rows(s, d)),
         "roc_auc": lambda s, d: R.roc_auc(T.scored_rows(s, d)),
         # Same results through the many-distinct-scores path (ordered buckets of
@@ -217,8 +247,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ranking_model": lambda s, d: _screen(s, d)[1],
         "split_count_importance": lambda s, d: M.split_count_importance(
             s, _fit(s, d, ALL_COLS, kind="boosted", max_depth=5, n_trees=1000)),
-        "rank_features": lambda s, d: _screen(s, d)[1],
-        "top_features": lambda s, d: _screen(s, d)[2],
+        "rank_features": lambda s, d: M.rank_features(_importance(s, d)),
+        "top_features": lambda s, d: M.top_features(M.rank_features(_importance(s, d)), 3),
         "screen_features": lambda s, d: _screen(s, d)[2],
         "train_boosted": lambda s, d: M.node_table(
             s, _fit(s, d, kind="boosted", max_depth=5, n_trees=1000)),
@@ -235,7 +265,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _split(s, d), SIGNAL_COLS, _tune(s, d, "forest")).score(
             _split(s, d).filter("holdout")),
         "feature_attribution": _attribution,
-        "attribution_summary": lambda s, d: A.attribution_summary(_attribution(s, d)),
+        "attribution_summary": lambda s, d: A.attribution_summary(_phi(s, d)).drop("value_quartiles"),
+        "model_attribution_summary": lambda s, d: A.attribution_summary(_attribution(s, d)),
+        "period_auc": lambda s, d: SC.period_auc(_dated_scores(s, d)),
         "train_and_report": lambda s, d: _union_metrics(_report(s, d)),
         "write_report_tables": _write_reports,
         # 2.10 many scenarios, cause ranking, backward validation, history
@@ -308,8 +340,8 @@ claims AS (
   FROM orders),
 disp_raw AS (
   SELECT l_orderkey AS Claim_number,
-         CASE WHEN l_returnflag = 'R' THEN 'Y' WHEN l_returnflag = 'A' THEN 'N' END AS TNF_Flag
-  FROM lineitem WHERE l_linenumber = 1),
+         min(CASE WHEN l_returnflag = 'R' THEN 'Y' WHEN l_returnflag = 'A' THEN 'N' END) AS TNF_Flag
+  FROM lineitem GROUP BY l_orderkey, l_linestatus),
 disp AS (SELECT * FROM disp_raw WHERE Claim_number IS NOT NULL AND TNF_Flag IS NOT NULL),
 tel AS (
   SELECT user_id AS ESN, ts AS Occurrence_time,
@@ -536,6 +568,24 @@ SELECT ESN, component, score,
        row_number() OVER (PARTITION BY ESN ORDER BY score DESC, component ASC) AS rank FROM sc""",
     }
     sql["roc_auc_bucketed"] = sql["roc_auc"]
+    ranked = ("SELECT 'line' || l_linenumber AS feature, count(*) AS importance, CAST(row_number() OVER "
+              "(ORDER BY count(*) DESC, 'line' || l_linenumber) AS INTEGER) AS rank FROM lineitem GROUP BY l_linenumber")
+    sql["rank_features"] = ranked
+    sql["top_features"] = f"SELECT * FROM ({ranked}) WHERE rank <= 3"
+    sql["attribution_summary"] = """
+WITH a AS (SELECT 'line' || l_linenumber AS feature, CAST(l_quantity AS DOUBLE) AS value,
+  CASE WHEN l_linenumber = 1 THEN 0.0 ELSE CAST(l_discount AS DOUBLE) - 0.05 END AS phi FROM lineitem),
+g AS (SELECT feature, avg(abs(phi)) AS mean_abs_phi, avg(phi) AS mean_phi, count(*) AS rows,
+  CASE WHEN var_pop(value) > 0 AND var_pop(phi) > 0 THEN corr(value, phi) END AS value_phi_corr FROM a GROUP BY feature)
+SELECT *, CAST(row_number() OVER (ORDER BY mean_abs_phi DESC, feature) AS INTEGER) AS rank FROM g"""
+    sql["period_auc"] = """
+WITH sc AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS period, CAST(l_discount AS DOUBLE) AS score,
+  CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem),
+cnt AS (SELECT period, score, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM sc GROUP BY period, score),
+cum AS (SELECT *, sum(pos) OVER (PARTITION BY period ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tps FROM cnt)
+SELECT period, CAST(sum(pos + neg) AS BIGINT) AS assets, CAST(sum(pos) AS BIGINT) AS positives,
+  CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN CAST(sum(neg * (2 * tps - pos)) AS DOUBLE)
+    / (2.0 * CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END AS auc FROM cum GROUP BY period"""
     if LLM:
         sql |= LLM.ORACLES
         if corpus_pipeline.ORACLE_SQL:

@@ -45,10 +45,13 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder every executor can reach, below ``spark.checkpoint.dir``.
 
     The cluster names the shared location; we only choose our own when the
-    setting is absent (local tests).
+    setting is absent and the master is local (tests).  On a cluster a folder
+    of our own would be on one machine only, so that is an error.
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="faultlens-ckpt-")
         sc.setCheckpointDir(base)

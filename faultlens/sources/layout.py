@@ -28,12 +28,12 @@ def with_layout_columns(telemetry: DataFrame) -> DataFrame:
 def write_telemetry_layout(telemetry: DataFrame, path: str) -> str:
     """Write telemetry partitioned by platform / emission / day.
 
-    No shuffle: each task sorts its own rows by the partition columns and
-    writes one file per partition value it holds, so a hot platform or day
-    is spread over all the tasks that read it.
+    Rows of one platform, emission and day are brought together first, so there
+    are few files per folder whatever the number of input tasks; the rebalance
+    hint lets the engine split a hot value over several tasks and merge small ones.
     """
     (with_layout_columns(telemetry)
-        .sortWithinPartitions(*LAYOUT_COLUMNS)
+        .hint("rebalance", *LAYOUT_COLUMNS)
         .write.mode("overwrite").partitionBy(*LAYOUT_COLUMNS).parquet(path))
     return path
 

@@ -48,12 +48,11 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # All lines: one row per order and line status, 'N' if any line of it has 'A', else 'Y' if any has 'R'.
     li = table(spark, sf_dir, "lineitem")
-    return li.filter(F.col("l_linenumber") == 1).select(
-        F.col("l_orderkey").alias(S.CLAIM_ID),
-        F.when(F.col("l_returnflag") == "R", "Y")
-         .when(F.col("l_returnflag") == "A", "N").alias(S.FLAG),
-    )
+    flag = F.when(F.col("l_returnflag") == "R", "Y").when(F.col("l_returnflag") == "A", "N")
+    return li.groupBy(F.col("l_orderkey").alias(S.CLAIM_ID), "l_linestatus").agg(
+        F.min(flag).alias(S.FLAG)).select(S.CLAIM_ID, S.FLAG)
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:

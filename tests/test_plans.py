@@ -124,7 +124,7 @@ def test_broadcast_needs_row_and_byte_bounds(spark):
     cl, dp = T.claims(spark, SF001), T.dispositions(spark, SF001)
     sc = T.scenario()
     stats = C.claim_stats(C.claim_cohort(cl, dp, sc.candidates, sc.targets))
-    assert stats.rows == 417 and stats.data_bytes > 417 * 8      # FIXTURES.md, sf0.01
+    assert stats.rows == 217 and stats.data_bytes > 217 * 8      # FIXTURES.md, sf0.01
     assert stats.broadcastable(1000) and not stats.broadcastable(100)
     assert not stats.broadcastable(1000, max_bytes=stats.data_bytes - 1)
     assert not stats.broadcastable(None)
