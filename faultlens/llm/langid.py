@@ -27,7 +27,7 @@ SAMPLE_PER_LANG = 400       # documented bound: expected training texts per lang
 MAX_LANGS = 1_000           # bounds the model's size: BUCKETS x MAX_LANGS weights
 UNDETERMINED = "und"
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 2e-3, 1e-3
-MIN_SCORE = 0.5             # a document whose best language is below this is rejected
+NEAR_CHANCE = 1.1           # a document is rejected if its best language is below this times an even share
 CHUNK_CHARS = 1 << 18       # long texts are counted in pieces of this size, so memory stays flat
 _TRAIN = "bucket int, df long, doc_id long, lang string, part int, at binary, x binary"
 _TRAIN_NAMES = [c.split()[0] for c in _TRAIN.split(", ")]
@@ -249,7 +249,10 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
         "lang_pred string, score double").fields]))
 
 
-def with_language(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents whose language is known with at least ``min_score``; their own columns."""
+def with_language(docs: DataFrame, model: Model, min_score: float | None = None) -> DataFrame:
+    """The documents whose language is known with at least ``min_score`` (default: clearly above an even
+    share of all languages, so that short but ordinary texts stay); their own columns."""
+    if min_score is None:
+        min_score = NEAR_CHANCE / max(2, len(model.langs))
     return predict_language(docs, model).where((F.col("lang_pred") != UNDETERMINED)
                                                & (F.col("score") >= min_score)).select("doc.*")
