@@ -230,10 +230,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             S.ASSET, S.LABEL, "holdout"),
         "roc_points": lambda s, d: R.roc_points(T.scored_rows(s, d)),
         "roc_auc": lambda s, d: R.roc_auc(T.scored_rows(s, d)),
-        # Same results through the many-distinct-scores path (ordered buckets of
-        # 3 scores each instead of one window), checked against the same SQL.
-        "roc_points_bucketed": lambda s, d: R.roc_points(T.scored_rows(s, d), rows_per_bucket=3),
-        "roc_auc_bucketed": lambda s, d: R.roc_auc(T.scored_rows(s, d), rows_per_bucket=3),
+        # Same results over four score ranges, checked against the same SQL.
+        "roc_points_bucketed": lambda s, d: R.roc_points(T.scored_rows(s, d), n_ranges=4),
+        "roc_auc_bucketed": lambda s, d: R.roc_auc(T.scored_rows(s, d), n_ranges=4),
         "threshold_table": lambda s, d: R.threshold_table(R.roc_points(T.scored_rows(s, d))),
         "roc_annotations": lambda s, d: R.roc_annotations(R.roc_points(T.scored_rows(s, d))),
         # 2.8 composite jobs

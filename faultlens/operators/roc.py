@@ -1,18 +1,18 @@
 """ROC points, AUC, threshold table and plot annotations as DataFrames.
 
 Scores are first reduced to one row per distinct score (class counts), so the
-work after that grows with the number of distinct scores, not rows.  Running
-sums in descending score order avoid a single-task global window: distinct
-scores are cut into ordered buckets at approximate quantiles, each bucket is
-summed on its own (window partitioned by bucket), and each bucket adds the
-totals of the buckets before it (a table of at most ``max_buckets`` rows,
-broadcast).  Bucketing is a pure function of the score, so the result equals
-one global window.
+work after that grows with the number of distinct scores, not rows.  Those rows
+are range-partitioned by score and written once with the number of their range.
+Each range is summed on its own (window partitioned by range) and adds the
+totals of the ranges above it (one row per range, broadcast).  The number of
+ranges is the session's shuffle partition count, which adaptive execution
+lowers for small tables; any number of ranges gives the same result as one
+global window.
 
 Semantics: one point per distinct score (ties merged), thresholds
 descending, a first point (+inf, 0, 0), collinear points dropped (second
 difference of both running counts zero), the first and last distinct-score
-points always kept.
+points always kept.  A null label and a null or NaN score are errors.
 """
 
 from __future__ import annotations
@@ -22,15 +22,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 1024
+from faultlens.sources.sinks import materialize
 
 
 def score_counts(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """(score, pos, neg): class counts per distinct score (partial + final aggregate)."""
-    return scored.groupBy(F.col(score).cast("double").alias("score")).agg(
+    """(score, pos, neg, bad): class counts per distinct score (partial + final
+    aggregate); ``bad`` counts rows without a label or a usable score."""
+    value = F.col(score).cast("double")
+    unusable = F.col(label).isNull() | value.isNull() | F.isnan(value)
+    return scored.groupBy(value.alias("score")).agg(
         F.count_if(F.col(label) == 1).cast("long").alias("pos"),
-        F.count_if(F.col(label) != 1).cast("long").alias("neg"))
+        F.count_if(F.col(label) != 1).cast("long").alias("neg"),
+        F.count_if(unusable).cast("long").alias("bad"))
 
 
 @dataclass(frozen=True)
@@ -40,56 +43,29 @@ class Totals:
     neg: int
 
 
-def totals(counts: DataFrame) -> Totals:
-    r = counts.agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("p"),
-                   F.sum("neg").alias("q")).first()
-    return Totals(int(r["n"]), int(r["p"] or 0), int(r["q"] or 0))
-
-
-def n_buckets(n_scores: int, rows_per_bucket: int = ROWS_PER_BUCKET,
-              max_buckets: int = MAX_BUCKETS) -> int:
-    return max(1, min(max_buckets, -(-n_scores // rows_per_bucket)))
-
+def with_ranges(counts: DataFrame, n_ranges: int | None = None) -> DataFrame:
+    """Add ``_b``, the number of the row's score range, 0 = highest scores.
+    Only meaningful when written at once: the number is the writing task's."""
+    by = [F.col("score").desc()]
+    ranged = counts.repartitionByRange(n_ranges, *by) if n_ranges else counts.repartitionByRange(*by)
+    return ranged.withColumn("_b", F.spark_partition_id())
 
-def add_bucket(counts: DataFrame, n_scores: int, rows_per_bucket: int = ROWS_PER_BUCKET,
-               max_buckets: int = MAX_BUCKETS) -> DataFrame:
-    """Add ``_b``: ordered bucket of the score, 0 = highest scores."""
-    nb = n_buckets(n_scores, rows_per_bucket, max_buckets)
-    if nb == 1:
-        return counts.withColumn("_b", F.lit(0))
-    probs = [i / nb for i in range(1, nb)]
-    qs = sorted(set(counts.approxQuantile("score", probs, 1.0 / (4 * nb))))
-    arr = ",".join(repr(float(q)) for q in qs)
-    asc = F.expr(f"size(filter(array({arr}), x -> x <= score))")
-    return counts.withColumn("_b", (F.lit(len(qs)) - asc).cast("int"))
 
-
-def prefix_sums(df: DataFrame, cols, bucket: str = "_b", order=None, rn: str = "_rn",
-                single_bucket: bool = False) -> DataFrame:
-    """Inclusive running sums ``cum_<c>`` of ``cols`` in the global ``order``,
-    the sums before the row's bucket ``_prev_<c>``, and a 1-based global row
-    number ``rn``.  ``bucket`` must be monotone in ``order``."""
+def prefix_sums(df: DataFrame, cols, rn: str = "_rn") -> DataFrame:
+    """Inclusive running sums ``cum_<c>`` of ``cols`` by descending score, the sums of the
+    ranges above ``_prev_<c>``, and a 1-based row number ``rn`` over all ranges."""
     cols = list(cols)
-    order = order if order is not None else [F.col("score").desc()]
-    if single_bucket:
-        # At most ROWS_PER_BUCKET rows: one ordered window, nothing before it.
-        w_run = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select(
-            *df.columns, *[F.sum(c).over(w_run).alias(f"cum_{c}") for c in cols],
-            *[F.lit(0).cast("long").alias(f"_prev_{c}") for c in cols],
-            F.lit(0).cast("long").alias("_prev_rn"),
-            F.row_number().over(Window.orderBy(*order)).cast("long").alias(rn))
-    w_run = Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    w_rn = Window.partitionBy(bucket).orderBy(*order)
-    local = df.select("*", *[F.sum(c).over(w_run).alias(f"_l_{c}") for c in cols],
-                      F.row_number().over(w_rn).alias("_l_rn"))
-    # One row per bucket: the ordered window and the broadcast are bounded by MAX_BUCKETS.
-    tot = df.groupBy(bucket).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols],
-                                 F.count(F.lit(1)).alias("_t_rn"))
-    w_off = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(bucket, *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_prev_{c}")
-                               for c in cols + ["rn"]])
-    out = local.join(F.broadcast(off), on=bucket, how="inner")
+    w = Window.partitionBy("_b").orderBy(F.col("score").desc())
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    local = df.select("*", *[F.sum(c).over(run).alias(f"_l_{c}") for c in cols],
+                      F.row_number().over(w).alias("_l_rn"))
+    # One row per range: the ordered window and the broadcast are bounded by the partition count.
+    tot = df.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols],
+                               F.count(F.lit(1)).alias("_t_rn"))
+    w_off = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_prev_{c}")
+                             for c in cols + ["rn"]])
+    out = local.join(F.broadcast(off), on="_b", how="inner")
     return out.select(
         *df.columns,
         *[(F.col(f"_l_{c}") + F.col(f"_prev_{c}")).alias(f"cum_{c}") for c in cols],
@@ -100,48 +76,41 @@ def prefix_sums(df: DataFrame, cols, bucket: str = "_b", order=None, rn: str = "
 
 @dataclass
 class Counted:
-    counts: DataFrame    # (score, pos, neg), written once
+    counts: DataFrame    # (score, pos, neg, bad, _b), written once
     totals: Totals
 
 
-def count_scores(scored: DataFrame, score: str = "score", label: str = "label") -> Counted:
+def count_scores(scored: DataFrame, score: str = "score", label: str = "label",
+                 n_ranges: int | None = None) -> Counted:
     """Class counts per distinct score, written once to the shared folder so
-    that totals, quantiles and the running sums do not re-score the rows."""
-    from faultlens.sources.sinks import materialize
-    counts = materialize(score_counts(scored, score, label), "roc/counts")
-    t = totals(counts)
+    that totals and the running sums do not re-score the rows."""
+    counts = materialize(with_ranges(score_counts(scored, score, label), n_ranges), "roc/counts")
+    r = counts.agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("p"),
+                   F.sum("neg").alias("q"), F.sum("bad").alias("bad")).first()
+    if r["bad"]:
+        raise ValueError(f"ROC: {r['bad']} rows have no label or no usable score")
+    t = Totals(int(r["n"]), int(r["p"] or 0), int(r["q"] or 0))
     if t.pos == 0 or t.neg == 0:
         raise ValueError(f"ROC needs both classes: {t.pos} positive, {t.neg} negative rows")
     return Counted(counts, t)
 
 
 def roc_points(scored: DataFrame, score: str = "score", label: str = "label",
-               drop_intermediate: bool = True, rows_per_bucket: int = ROWS_PER_BUCKET,
-               max_buckets: int = MAX_BUCKETS) -> DataFrame:
+               drop_intermediate: bool = True, n_ranges: int | None = None) -> DataFrame:
     """(point, Threshold, FPR, TPR); point 0 is (+inf, 0, 0)."""
-    return roc_from_counts(count_scores(scored, score, label), drop_intermediate,
-                           rows_per_bucket, max_buckets)
-
-
-def roc_from_counts(c: Counted, drop_intermediate: bool = True,
-                    rows_per_bucket: int = ROWS_PER_BUCKET,
-                    max_buckets: int = MAX_BUCKETS) -> DataFrame:
-    counts, t = c.counts, c.totals
-    one = n_buckets(t.scores, rows_per_bucket, max_buckets) == 1
-    cum = prefix_sums(add_bucket(counts, t.scores, rows_per_bucket, max_buckets), ["pos", "neg"],
-                      single_bucket=one)
-    if not one:
-        # Many distinct scores: the running sums feed three branches below
-        # (bucket heads, neighbours, kept points); write them once.
-        from faultlens.sources.sinks import materialize
-        cum = materialize(cum, "roc/cumulative")
+    return roc_from_counts(count_scores(scored, score, label, n_ranges), drop_intermediate)
+
+
+def roc_from_counts(c: Counted, drop_intermediate: bool = True) -> DataFrame:
+    t = c.totals
+    # The running sums feed two branches below (range heads, kept points); write them once.
+    cum = materialize(prefix_sums(c.counts, ["pos", "neg"]), "roc/cumulative")
     tps, fps = F.col("cum_pos"), F.col("cum_neg")
     if drop_intermediate and t.scores > 2:
-        # Neighbours: lag/lead inside the bucket; before a bucket's first row
-        # the running totals of earlier buckets; after a bucket's last row the
-        # first row of the next bucket (one row per bucket, broadcast).
-        w = (Window.orderBy(F.col("score").desc()) if one else
-             Window.partitionBy("_b").orderBy(F.col("score").desc()))
+        # Neighbours: lag/lead inside the range; before a range's first row
+        # the running totals of the ranges above; after its last row the
+        # first row of the next range (one row per range, broadcast).
+        w = Window.partitionBy("_b").orderBy(F.col("score").desc())
         heads = (cum.filter(F.col("_rn") == F.col("_prev_rn") + 1)
                     .select((F.col("_rn") - 1).alias("_hrn"), F.col("cum_pos").alias("_htp"),
                             F.col("cum_neg").alias("_hfp")))
@@ -150,15 +119,12 @@ def roc_from_counts(c: Counted, drop_intermediate: bool = True,
                         F.coalesce(F.lag("cum_neg").over(w), F.col("_prev_neg")).alias("_fp0"),
                         F.lead("cum_pos").over(w).alias("_tp1"),
                         F.lead("cum_neg").over(w).alias("_fp1"))
-        if one:
-            tp1, fp1 = F.col("_tp1"), F.col("_fp1")
-        else:
-            nb = nb.join(F.broadcast(heads), nb["_rn"] == heads["_hrn"], "left")
-            tp1, fp1 = F.coalesce("_tp1", "_htp"), F.coalesce("_fp1", "_hfp")
+        nb = nb.join(F.broadcast(heads), nb["_rn"] == heads["_hrn"], "left")
+        tp1, fp1 = F.coalesce("_tp1", "_htp"), F.coalesce("_fp1", "_hfp")
         bend = ((F.col("_fp0") - 2 * fps + fp1) != 0) | ((F.col("_tp0") - 2 * tps + tp1) != 0)
         keep = (F.col("_rn") == 1) | (F.col("_rn") == t.scores) | F.coalesce(bend, F.lit(True))
         kept = nb.filter(keep).select("score", "_b", "cum_pos", "cum_neg", F.lit(1).alias("one"))
-        cum = prefix_sums(kept, ["one"], rn="point", single_bucket=one).select(
+        cum = prefix_sums(kept, ["one"], rn="point").select(
             "point", "score", F.col("cum_pos"), F.col("cum_neg"))
     else:
         cum = cum.select(F.col("_rn").alias("point"), "score", "cum_pos", "cum_neg")
@@ -166,30 +132,29 @@ def roc_from_counts(c: Counted, drop_intermediate: bool = True,
                      F.col("score").alias("Threshold"),
                      (F.col("cum_neg") / F.lit(float(t.neg))).alias("FPR"),
                      (F.col("cum_pos") / F.lit(float(t.pos))).alias("TPR"))
-    first = counts.sparkSession.range(1).select(
+    first = c.counts.sparkSession.range(1).select(
         F.lit(0).cast("long").alias("point"), F.lit(float("inf")).alias("Threshold"),
         F.lit(0.0).alias("FPR"), F.lit(0.0).alias("TPR"))
     return first.unionByName(pts)
 
 
 def roc_auc(scored: DataFrame, score: str = "score", label: str = "label",
-            rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+            n_ranges: int | None = None) -> DataFrame:
     """Area under the ROC (trapezoid rule), one row ``auc``.
 
     Computed as the rank-sum statistic with ties counted one half, which is
     the trapezoid area exactly; the numerator is an integer sum, so the value
     does not depend on summation order.
     """
-    return auc_from_counts(count_scores(scored, score, label), rows_per_bucket)
+    return auc_from_counts(count_scores(scored, score, label, n_ranges))
 
 
-def auc_from_counts(c: Counted, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    counts, t = c.counts, c.totals
-    one = n_buckets(t.scores, rows_per_bucket) == 1
-    cum = prefix_sums(add_bucket(counts, t.scores, rows_per_bucket), ["pos"], single_bucket=one)
+def auc_from_counts(c: Counted) -> DataFrame:
+    t = c.totals
     num = F.sum(F.col("neg").cast("decimal(38,0)") *
                 (2 * F.col("cum_pos") - F.col("pos")).cast("decimal(38,0)"))
-    return cum.agg((num.cast("double") / F.lit(2.0 * t.pos * t.neg)).alias("auc"))
+    return prefix_sums(c.counts, ["pos"]).agg(
+        (num.cast("double") / F.lit(2.0 * t.pos * t.neg)).alias("auc"))
 
 
 def auc_value(scored: DataFrame, score: str = "score", label: str = "label") -> float:

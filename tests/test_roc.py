@@ -11,18 +11,20 @@ from faultlens.operators import roc as R
 
 
 def roc_reference(y, s):
-    """Plain computation: distinct scores descending, running counts,
-    drop points whose neighbours are collinear, prepend (+inf, 0, 0)."""
-    order = np.argsort(-s, kind="mergesort")
-    s, y = s[order], y[order]
-    distinct = np.r_[np.where(np.diff(s))[0], len(s) - 1]
-    tps = np.cumsum(y)[distinct]
-    fps = (1 + distinct) - tps
-    thr = s[distinct]
-    if len(fps) > 2:
-        keep = np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True]
-        tps, fps, thr = tps[keep], fps[keep], thr[keep]
-    return (np.r_[np.inf, thr], np.r_[0, fps] / fps[-1], np.r_[0, tps] / tps[-1])
+    """Every threshold counted on its own; a middle point goes when it continues
+    the step that led to it in both counts."""
+    pts = [(t, int(((s >= t) & (y == 0)).sum()), int(((s >= t) & (y == 1)).sum()))
+           for t in sorted(set(s.tolist()), reverse=True)]
+    kept = []
+    for i, (t, fp, tp) in enumerate(pts):
+        if 0 < i < len(pts) - 1:
+            before, after = pts[i - 1], pts[i + 1]
+            if (fp - before[1], tp - before[2]) == (after[1] - fp, after[2] - tp):
+                continue
+        kept.append((t, fp, tp))
+    kept = [(math.inf, 0, 0)] + kept
+    n, p = int((y == 0).sum()), int((y == 1).sum())
+    return [k[0] for k in kept], [k[1] / n for k in kept], [k[2] / p for k in kept]
 
 
 def rank_sum_auc(y, s):
@@ -38,12 +40,12 @@ def spark_roc(spark, y, s, **kw):
     return df, pts
 
 
-@pytest.mark.parametrize("rows_per_bucket", [200_000, 3])
-def test_roc_matches_reference(spark, rows_per_bucket):
+@pytest.mark.parametrize("n_ranges", [None, 1, 7])
+def test_roc_matches_reference(spark, n_ranges):
     rng = np.random.default_rng(7)
     y = rng.integers(0, 2, 300)
     s = np.round(rng.random(300) * 20) / 20 + 0.3 * y
-    df, pts = spark_roc(spark, y, s, rows_per_bucket=rows_per_bucket)
+    df, pts = spark_roc(spark, y, s, n_ranges=n_ranges)
     thr, fpr, tpr = roc_reference(y, s)
     assert [p.point for p in pts] == list(range(len(thr)))
     assert np.allclose([p.Threshold for p in pts][1:], thr[1:])
@@ -82,7 +84,7 @@ def test_auc_is_rank_sum(spark, rows):
         return
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "label int, score double")
     assert abs(R.auc_value(df) - rank_sum_auc(y, s)) < 1e-12
-    pts = sorted(R.roc_points(df, rows_per_bucket=2).collect(), key=lambda r: r.point)
+    pts = sorted(R.roc_points(df, n_ranges=5).collect(), key=lambda r: r.point)
     f = [p.FPR for p in pts]
     t = [p.TPR for p in pts]
     assert f == sorted(f) and t == sorted(t) and (f[-1], t[-1]) == (1.0, 1.0)
@@ -92,3 +94,10 @@ def test_single_class_raises(spark):
     df = spark.createDataFrame([(1, 0.2), (1, 0.4)], "label int, score double")
     with pytest.raises(ValueError):
         R.roc_points(df)
+
+
+@pytest.mark.parametrize("row", [(None, 0.3), (1, None), (0, float("nan"))])
+def test_rows_without_label_or_score_raise(spark, row):
+    df = spark.createDataFrame([(1, 0.2), (0, 0.4), row], "label int, score double")
+    with pytest.raises(ValueError, match="1 rows"):
+        R.roc_points(df)
