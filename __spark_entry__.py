@@ -100,8 +100,8 @@ FOREST = dict(kind="forest", max_depth=5, n_trees=20)
 
 
 def _split(spark, d, cols=SIGNAL_COLS):
-    from faultlens.plans.training import split_table
-    return split_table(_matrix(spark, d), cols, 0.2, 42)
+    from faultlens.plans.training import split_table, written_matrix
+    return split_table(written_matrix(_matrix(spark, d), cols, T.scenario()), cols, 0.2, 42)
 
 
 def _fit(spark, d, cols=SIGNAL_COLS, **spec):

@@ -36,9 +36,8 @@ class ModelSpec:
     max_depth: int = 5
     n_trees: int = 1000
     seed: int = 42
-    early_stopping: bool = True     # boosted only: stop on the holdout loss
+    early_stopping: int = 100       # boosted only: rounds without a better validation AUC, 0 = off
     step_size: float = 0.3          # boosted only
-    validation_tol: float = 0.01    # boosted only
     feature_subset: str = "sqrt"    # forest only
     missing_indicators: bool = False  # add a 0/1 "<feature>_missing" input per feature
 
@@ -127,14 +126,11 @@ def _prep_model(train: DataFrame, feature_cols, indicators: bool = False) -> Pip
     return Pipeline(stages=stages).fit(train)
 
 
-def _estimator(spec: ModelSpec, with_validation: bool):
+def _estimator(spec: ModelSpec):
     if spec.kind == BOOSTED:
-        kw = dict(maxDepth=spec.max_depth, maxIter=spec.n_trees, seed=spec.seed,
-                  stepSize=spec.step_size, labelCol=S.LABEL, featuresCol="features",
-                  lossType="logistic")
-        if with_validation:
-            kw.update(validationIndicatorCol="holdout", validationTol=spec.validation_tol)
-        return GBTClassifier(**kw)
+        return GBTClassifier(maxDepth=spec.max_depth, maxIter=spec.n_trees, seed=spec.seed,
+                             stepSize=spec.step_size, labelCol=S.LABEL, featuresCol="features",
+                             lossType="logistic")
     if spec.kind == FOREST:
         if spec.max_depth > MAX_TREE_DEPTH:
             raise ValueError(f"tree depth is capped at {MAX_TREE_DEPTH} in Spark ML")
@@ -145,8 +141,8 @@ def _estimator(spec: ModelSpec, with_validation: bool):
 
 
 def fit(split_table: DataFrame, feature_cols, spec: ModelSpec) -> FittedModel:
-    """Fit on rows with ``holdout = false``; a boosted model with early
-    stopping also sees the holdout rows, as validation set only.
+    """Fit on rows with ``holdout = false``; early stopping of a boosted model
+    judges its rounds on :func:`tuning_rows`.
 
     The caller should persist ``split_table`` (trees read it once per level).
     """
@@ -156,16 +152,16 @@ def fit(split_table: DataFrame, feature_cols, spec: ModelSpec) -> FittedModel:
     if three_way:
         train = train.filter(~F.col("validation"))
     prep = _prep_model(train, feature_cols, spec.missing_indicators)
-    use_val = spec.kind == BOOSTED and spec.early_stopping
-    if use_val:
-        data = split_table.filter(~F.col("holdout")) if three_way else split_table
-        flag = "validation" if three_way else "holdout"
-        data = prep.transform(data).select(S.LABEL, "features",
-                                           F.col(flag).cast("boolean").alias("holdout"))
-    else:
-        data = prep.transform(train).select(S.LABEL, "features")
-    model = _estimator(spec, use_val).fit(data)
-    return FittedModel(spec, feature_cols, prep, model)
+    data = prep.transform(train).select(S.LABEL, "features")
+
+    def fit_rounds(n_trees: int) -> FittedModel:
+        model = _estimator(spec.with_params(n_trees=n_trees)).fit(data)
+        return FittedModel(spec, feature_cols, prep, model)
+
+    if spec.kind == BOOSTED and spec.early_stopping:
+        from faultlens.operators.boosting import fit_with_patience
+        return fit_with_patience(fit_rounds, tuning_rows(split_table), spec.n_trees, spec.early_stopping)
+    return fit_rounds(spec.n_trees)
 
 
 def node_table(spark: SparkSession, fitted: FittedModel) -> DataFrame:

@@ -161,6 +161,34 @@ def auc_value(scored: DataFrame, score: str = "score", label: str = "label") ->
     return float(roc_auc(scored, score, label).first()["auc"])
 
 
+# Slices of the score's range in grouped_auc.
+SCORE_BUCKETS = 1024
+
+
+def grouped_auc(scored: DataFrame, key: str, label: str = "label") -> DataFrame:
+    """(key, rows, positives, auc) from (key, label, score in 0..1), all groups in one job.
+
+    Rows are counted by group and score.  Running positives are summed inside a score
+    bucket (a fixed slice of the score's range), and the buckets above add their totals, so no
+    task holds a whole group.  The AUC is the exact rank sum; null without both classes.
+    """
+    counts = scored.groupBy(key, "score").agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    counts = counts.withColumn("bucket", F.floor(F.col("score") * SCORE_BUCKETS))
+    totals = counts.groupBy(key, "bucket").agg(F.sum("pos").alias("bucket_pos"))
+    above = Window.partitionBy(key).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(key, "bucket", F.coalesce(F.sum("bucket_pos").over(above), F.lit(0)).alias("above"))
+    inside = Window.partitionBy(key, "bucket").orderBy(F.desc("score")) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("inside", F.sum("pos").over(inside)).join(totals, [key, "bucket"])
+    area = F.sum((F.col("neg") * (2 * (F.col("above") + F.col("inside")) - F.col("pos"))).cast("decimal(38,0)"))
+    out = ranked.groupBy(key).agg(
+        F.sum(F.col("pos") + F.col("neg")).alias("rows"), F.sum("pos").alias("positives"),
+        F.sum("neg").alias("_n"), area.cast("double").alias("_a"))
+    return out.select(key, "rows", "positives", F.try_divide(
+        F.col("_a"), 2.0 * F.col("positives").cast("double") * F.col("_n").cast("double")).alias("auc"))
+
+
 def threshold_table(points: DataFrame, max_fpr: float = 0.2) -> DataFrame:
     """ROC points with FPR <= max_fpr (the alarm thresholds worth reporting)."""
     return points.filter(F.col("FPR") <= F.lit(max_fpr))

@@ -29,6 +29,7 @@ class Scenario:
     early_stopping: int = 100
     max_depth: int = 5
     max_iterations: int = 1000
+    training_partitions: int = 16   # of the training rows; fixed so that models repeat
     scenario_id: str = "default"
 
     def __post_init__(self):
@@ -52,6 +53,8 @@ class Scenario:
             raise ValueError("platforms and emission levels go together: give both or neither")
         if self.window_days < 0:
             raise ValueError("window_days must be >= 0")
+        if self.early_stopping < 0 or self.training_partitions < 1:
+            raise ValueError("early_stopping must be >= 0 (0 = off) and training_partitions >= 1")
         if not 0.0 < self.split_ratio < 1.0:
             raise ValueError("split_ratio must be in (0, 1)")
         if self.validation_ratio < 0 or self.split_ratio + self.validation_ratio >= 1.0:

@@ -5,7 +5,7 @@
 ``args.json`` keys: claims, dispositions, telemetry (table names or paths),
 output (folder), candidates, targets, fault_codes, features, platforms,
 emissions, and optionally window_days, split_ratio, validation_ratio, seed,
-max_depth, max_iterations, early_stopping, mode ("auto" | "custom"),
+max_depth, max_iterations, early_stopping, training_partitions, mode ("auto" | "custom"),
 n_trials, scenario_id, top_k (features kept after screening), selected_features
 (these are used as they are and nothing is screened), feature_table (a stored
 table to train on; the cohort is then not built) and format (of path inputs).
@@ -29,7 +29,7 @@ from faultlens.sources.sinks import write_report_tables, write_table
 
 SCENARIO_KEYS = ("candidates", "targets", "fault_codes", "features", "platforms", "emissions",
                  "window_days", "split_ratio", "validation_ratio", "seed", "early_stopping",
-                 "max_depth", "max_iterations", "scenario_id")
+                 "max_depth", "max_iterations", "training_partitions", "scenario_id")
 
 
 def run(args: dict, spark=None) -> dict:

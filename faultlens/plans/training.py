@@ -12,6 +12,7 @@ from faultlens.operators import features as FT
 from faultlens.operators import models as M
 from faultlens.operators import roc as R
 from faultlens.operators import tuning as TU
+from faultlens.sources.sinks import materialize
 
 # The model names a report is selected by (the boosted model is
 # Spark ML's GBTClassifier; the name is kept so existing selections still work).
@@ -37,26 +38,26 @@ class ModelReport:
     tables: dict = field(default_factory=dict)
 
 
-# Tree training runs several small jobs per tree level; partitions of about
-# this size keep the per-task overhead low without losing parallelism.
-TARGET_PARTITION_BYTES = 32 << 20
+# Partitions of the training rows.  A parameter, not a measure of the data or the cluster: the
+# partitions seed the trees' sampling, so another number gives another (equally good) model.
+TRAIN_PARTITIONS = 16
 
 
 def split_table(table: DataFrame, feature_cols, ratio: float, seed: int,
-                right_size: bool = True, validation_ratio: float = 0.0) -> DataFrame:
-    """Model matrix + holdout flag, hash-partitioned on the asset into
-    partitions of about ``TARGET_PARTITION_BYTES`` (one count to measure)."""
+                partitions: int = TRAIN_PARTITIONS, validation_ratio: float = 0.0) -> DataFrame:
+    """Model matrix + holdout flag, hash-partitioned on the asset into ``partitions``
+    partitions and sorted in them, so that equal rows and parameters give equal models."""
     cols = [S.ASSET, S.LABEL] + list(feature_cols)
     flags = ["holdout"] + (["validation"] if validation_ratio > 0 else [])
     out = M.holdout_split(FT.model_matrix(table, feature_cols), ratio, seed,
                           validation_ratio=validation_ratio).select(*cols, *flags)
-    if right_size:
-        rows = out.count()
-        row_bytes = 8 * len(cols) + 24
-        floor = max(2, out.sparkSession.sparkContext.defaultParallelism // 2)
-        n = max(floor, -(-rows * row_bytes // TARGET_PARTITION_BYTES))
-        out = out.repartition(int(n), S.ASSET)
-    return out
+    return out.repartition(partitions, S.ASSET).sortWithinPartitions(*cols)
+
+
+def written_matrix(table: DataFrame, feature_cols, sc) -> DataFrame:
+    """The model matrix, written once: the (lazy) feature table behind it is evaluated
+    here and nowhere else, and later stages, the lazy attribution too, read the copy."""
+    return materialize(FT.model_matrix(table, feature_cols), f"{sc.scenario_id}/matrix")
 
 
 def evaluate(fitted: M.FittedModel, split: DataFrame, max_fpr: float = 0.2) -> Evaluation:
@@ -69,12 +70,13 @@ def evaluate(fitted: M.FittedModel, split: DataFrame, max_fpr: float = 0.2) -> E
 def screen_features(spark: SparkSession, table: DataFrame, feature_cols, sc) -> tuple:
     """ranking_model: boosted trees on all features, early stopping on the
     holdout; returns (fitted, ranking, top 10)."""
+    table = written_matrix(table, feature_cols, sc)
     FT.require_two_classes(table)
-    split = split_table(table, feature_cols, sc.split_ratio, sc.seed,
-                        validation_ratio=sc.validation_ratio).persist()
+    split = split_table(table, feature_cols, sc.split_ratio, sc.seed, sc.training_partitions,
+                        sc.validation_ratio).persist()
     try:
         spec = M.ModelSpec(M.BOOSTED, sc.max_depth, sc.max_iterations, sc.seed,
-                           early_stopping=sc.early_stopping > 0)
+                           early_stopping=sc.early_stopping)
         fitted = M.fit(split, feature_cols, spec)
         ranking = M.rank_features(M.split_count_importance(spark, fitted))
     finally:
@@ -88,14 +90,15 @@ def train_and_report(spark: SparkSession, table: DataFrame, feature_cols, sc, mo
     """Both models: tuned (``auto``) or with the scenario's parameters
     (``custom``), each evaluated on the holdout, with attributions."""
     from faultlens.operators import attribution as A
+    table = written_matrix(table, feature_cols, sc)
     positives, negatives = FT.require_two_classes(table)
-    split = split_table(table, feature_cols, sc.split_ratio, sc.seed,
-                        validation_ratio=sc.validation_ratio).persist()
+    split = split_table(table, feature_cols, sc.split_ratio, sc.seed, sc.training_partitions,
+                        sc.validation_ratio).persist()
     out = {}
     try:
         for kind in kinds:
             base = M.ModelSpec(kind, sc.max_depth, sc.max_iterations, sc.seed,
-                               early_stopping=sc.early_stopping > 0)
+                               early_stopping=sc.early_stopping)
             trials = None
             if mode == "auto":
                 res = TU.tune(spark, split, feature_cols, base, n_trials,

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from faultlens import schemas as S
 from faultlens.operators import attribution as A
+from faultlens.operators import boosting as BO
 from faultlens.operators import models as M
+from faultlens.operators import roc as R
 from faultlens.operators import tuning as TU
 from faultlens.plans import scenarios as SC
 from faultlens.plans.training import split_table
@@ -24,7 +26,7 @@ def test_summary_of_constant_value_or_attribution(spark):
     assert got["unused"] is None and got["flat"] is None and got["used"] == pytest.approx(1.0)
 
 
-@pytest.mark.parametrize("spec", [M.ModelSpec(M.FOREST, 4, 5), M.ModelSpec(M.BOOSTED, 3, 4, early_stopping=False)])
+@pytest.mark.parametrize("spec", [M.ModelSpec(M.FOREST, 4, 5), M.ModelSpec(M.BOOSTED, 3, 4, early_stopping=0)])
 def test_attribution_in_blocks_equals_one_block(spark, spec):
     split = split_table(T.model_matrix_source(spark, SF0001), COLS, 0.2, 42).persist()
     fitted = M.fit(split, COLS, spec)
@@ -77,3 +79,34 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session(), "x")
+
+
+def test_best_round_by_patience():
+    assert BO.best_round([0.5, 0.7, 0.6, 0.65, 0.9], 3) == (5, False)
+    assert BO.best_round([0.5, 0.7, 0.6, 0.65, 0.9], 2) == (2, True)
+    assert BO.best_round([0.5, 0.5, 0.5], 2) == (1, True)
+
+
+def test_patience_keeps_the_best_round(spark):
+    split = split_table(T.model_matrix_source(spark, SF0001), COLS, 0.2, 42).persist()
+    judged = split.filter("holdout")
+    full = M.fit(split, COLS, M.ModelSpec(M.BOOSTED, 3, 14, early_stopping=0))
+    aucs = BO.staged_auc(spark, full, judged)
+    assert BO.staged_scores(spark, full, judged, block_nodes=20).exceptAll(
+        BO.staged_scores(spark, full, judged)).isEmpty()
+    trees = [t.toDebugString.split("\n", 1)[1] for t in full.model.trees]
+    for patience in (2, 20):
+        best = BO.best_round(aucs, patience)[0]
+        got = M.fit(split, COLS, M.ModelSpec(M.BOOSTED, 3, 14, early_stopping=patience))
+        assert got.n_trees == best
+        assert [t.toDebugString.split("\n", 1)[1] for t in got.model.trees] == trees[:best]
+        assert R.auc_value(got.score(judged)) == pytest.approx(aucs[best - 1], abs=1e-12)
+    split.unpersist()
+
+
+def test_saved_model_scores_alike(spark, tmp_path):
+    split = split_table(T.model_matrix_source(spark, SF0001), COLS, 0.2, 42)
+    spec = M.ModelSpec(M.FOREST, 4, 5)
+    fitted = M.fit(split, COLS, spec)
+    again = M.load_model(M.save_model(fitted, str(tmp_path / "model")), spec, COLS)
+    assert again.score(split).exceptAll(fitted.score(split)).isEmpty()

@@ -47,8 +47,8 @@ def test_forest_signal_and_noise(spark, split):
 
 
 def test_boosted_same_seed_same_trees(spark, split):
-    a = M.fit(split, SIGNAL, M.ModelSpec(M.BOOSTED, 3, 5, early_stopping=False))
-    b = M.fit(split, SIGNAL, M.ModelSpec(M.BOOSTED, 3, 5, early_stopping=False))
+    a = M.fit(split, SIGNAL, M.ModelSpec(M.BOOSTED, 3, 5, early_stopping=0))
+    b = M.fit(split, SIGNAL, M.ModelSpec(M.BOOSTED, 3, 5, early_stopping=0))
     body = lambda m: m.model.toDebugString.split("\n", 1)[1]   # noqa: E731 (header has the uid)
     assert body(a) == body(b)
     imp = {r.feature: r.importance for r in M.split_count_importance(spark, a).collect()}
@@ -98,7 +98,7 @@ def _brute(ens, x):
     return phi
 
 
-@pytest.mark.parametrize("spec", [M.ModelSpec(M.BOOSTED, 3, 4, early_stopping=False),
+@pytest.mark.parametrize("spec", [M.ModelSpec(M.BOOSTED, 3, 4, early_stopping=0),
                                   M.ModelSpec(M.FOREST, 4, 3)])
 def test_tree_shap_exact(spark, split, spec):
     cols = SIGNAL[:4]

@@ -75,3 +75,40 @@ def test_multi_scenario_all_grouped_uses_union_prefilter(spark):
         one = J.feature_table_from_sources(cl, dp, tel, sc)
         got = multi.filter(F.col("scenario_id") == sc.scenario_id).drop("scenario_id")
         assert got.exceptAll(one).isEmpty() and one.exceptAll(got).isEmpty(), sc.scenario_id
+
+
+def test_telemetry_is_aggregated_before_scenarios_join(spark):
+    """Many scenarios on the same claims leave the scan and the window aggregate as they are."""
+    cl, dp, tel = T.claims(spark, SF001), T.dispositions(spark, SF001), T.telemetry(spark, SF001)
+    scs = [T.scenario(targets=(T.CANDIDATES[i % 5],), scenario_id=f"s{i}") for i in range(200)]
+    table = SC.scenario_table(spark, scs)
+    claims = SC.multi_scenario_claims(cl, dp, table)
+    one = SC.multi_scenario_claims(cl, dp, SC.scenario_table(spark, scs[:1]))
+    keys = SC.window_parts(claims, tel, table, T.FEATURES).drop("_codes")
+    assert keys.count() == SC.window_parts(one, tel, table, T.FEATURES).count()
+    got = SC.multi_scenario_feature_table(cl, dp, tel, table, T.FEATURES)
+    per = got.groupBy("scenario_id").count().select("count").distinct().collect()
+    assert len(per) == 1 and got.count() == 200 * per[0]["count"]
+
+
+def test_parts_of_several_groups_merge_and_codes_with_brackets(spark):
+    """An asset with two groups in its window: the merged deviation is that of all its rows."""
+    tel = spark.createDataFrame(
+        [(1, dt.datetime(2024, 1, 2), "P0_E0_M", "[a]", None, 1.0), (1, dt.datetime(2024, 1, 3), "P1_E1_M", "[b]", "", 5.0),
+         (1, dt.datetime(2024, 1, 4), "P1_E1_M", "x[c]]", "[a", 9.5), (1, dt.datetime(2024, 1, 5), None, None, "b]", 2.0)],
+        "ESN long, Occurrence_time timestamp, engine_model_group string, Faultlist string, Faultlist2 string, v double")
+    cl = spark.createDataFrame([(7, 1, "A", dt.date(2024, 1, 6))],
+                               "Claim_number long, ESN long, ABO_FAILURE_PART string, Failure_date date")
+    dp = spark.createDataFrame([(7, "N")], "Claim_number long, TNF_Flag string")
+    mk = lambda i, codes, p=(), e=(): T.scenario(candidates=("A", "B"), targets=("A",), fault_codes=codes,
+                                                 features=("v",), platforms=p, emissions=e, scenario_id=i)
+    scs = [mk("all", ("a",)), mk("odd", ("c]",)), mk("none", ("a]",)), mk("one", ("b",), ("P1",), ("E1",))]
+    got = {r["scenario_id"]: r for r in SC.multi_scenario_feature_table(
+        cl, dp, tel, SC.scenario_table(spark, scs), ["v"]).collect()}
+    import statistics as st
+    assert set(got) == {"all", "odd", "one"}
+    assert abs(got["all"]["v_std"] - st.stdev([1.0, 5.0, 9.5, 2.0])) < 1e-12 and got["all"]["v_avg"] == 17.5 / 4
+    assert abs(got["one"]["v_std"] - st.stdev([5.0, 9.5])) < 1e-12 and got["one"]["v_max"] == 9.5
+    for sc in scs:
+        single = J.feature_table_from_sources(cl, dp, tel, sc).collect()
+        assert len(single) == (sc.scenario_id in got)
