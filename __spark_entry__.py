@@ -276,12 +276,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rank_causes_by_models": _rank_by_models,
         "backward_validation": _backward,
         "metrics_history": _history,
+        # Invariants of fitted models over all rows; the expected counts come from SQL.
+        "score_check": _score_check,
+        "attribution_check": _attribution_check,
+        "backward_periods": lambda s, d: _backward(s, d).select(
+            "period", "assets", "positives", F.coalesce(F.col("auc").between(0, 1), F.lit(True)).alias("auc_ok")),
+        "ranked_components": lambda s, d: _rank_by_models(s, d).select(S.ASSET, "component"),
     }
     if LLM:
         q |= LLM.QUERIES | {"pipeline": corpus_pipeline.run}
     return q
 
 
+def _score_check(spark, d):
+    """Scored holdout rows, positives among them, and scores outside 0..1 (none)."""
+    scored = _fit(spark, d, **FOREST).score(_split(spark, d).filter("holdout"))
+    return scored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(S.LABEL) == 1).alias("positives"),
+                      F.count_if(~F.coalesce(F.col("score").between(0, 1), F.lit(False))).alias("outside"))
+
+
+def _attribution_check(spark, d):
+    """Per training asset: its attributed features, and whether they add up to the model's output."""
+    train = _split(spark, d).filter("NOT holdout")
+    fitted = _fit(spark, d, **FOREST)
+    total = A.feature_attribution(spark, fitted, train).groupBy(F.col("asset").alias(S.ASSET)).agg(
+        F.count(F.lit(1)).alias("features"), (F.sum("phi") + F.first("base_value")).alias("total"))
+    return total.join(fitted.score(train), S.ASSET, "full").select(
+        S.ASSET, "features", (F.abs(F.col("total") - F.col("score")) < 1e-9).alias("adds_up"))
+
+
 def _multi(spark, d):
     cl, dp, tel = _inputs(spark, d)
     return SC.multi_scenario_feature_table(cl, dp, tel, T.scenarios(spark), T.FEATURES)
@@ -567,6 +590,18 @@ SELECT ESN, component, score,
        row_number() OVER (PARTITION BY ESN ORDER BY score DESC, component ASC) AS rank FROM sc""",
     }
     sql["roc_auc_bucketed"] = sql["roc_auc"]
+    held = _holdout("ESN", 42, 0.2)
+    sql["score_check"] = _with(_BASE, _matrix_sql()) + f"""
+SELECT count(*) AS rows, count_if(label = 1) AS positives, 0 AS outside FROM mm WHERE {held}"""
+    sql["attribution_check"] = _with(_BASE, _matrix_sql()) + f"""
+SELECT ESN, {len(SIGNAL_COLS)} AS features, true AS adds_up FROM mm WHERE NOT {held}"""
+    sql["backward_periods"] = """
+WITH o AS (SELECT l_orderkey, CAST(date_trunc('month', max(l_shipdate)) AS DATE) AS period, max(l_shipdate) AS last,
+  avg(l_discount) > 0.05 AS label FROM lineitem GROUP BY l_orderkey)
+SELECT period, count(*) AS assets, count_if(label) AS positives, true AS auc_ok
+FROM o WHERE last >= DATE '2000-01-01' GROUP BY period"""
+    sql["ranked_components"] = _with(_BASE, _scenarios_sql()) + """
+SELECT ESN, substr(scenario_id, 8) AS component FROM sagg WHERE scenario_id LIKE 'target=%' AND h = 1 AND n > 0"""
     ranked = ("SELECT 'line' || l_linenumber AS feature, count(*) AS importance, CAST(row_number() OVER "
               "(ORDER BY count(*) DESC, 'line' || l_linenumber) AS INTEGER) AS rank FROM lineitem GROUP BY l_linenumber")
     sql["rank_features"] = ranked

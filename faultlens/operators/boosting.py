@@ -8,6 +8,8 @@ and the search ends once the best round is ``patience`` rounds old.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +24,16 @@ from faultlens.operators.roc import grouped_auc
 FIRST_BLOCK = 1.25
 
 
-def best_round(aucs: list[float], patience: int) -> tuple[int, bool]:
-    """(best round, stopped): the first round of the highest AUC, counted from 1, as
-    known when it first was ``patience`` rounds old or when the rounds ended."""
+def best_round(aucs: list[float], patience: int) -> tuple[int, int, bool]:
+    """(best round, last round, stopped): the first round of the highest AUC, counted from 1,
+    as known when it first was ``patience`` rounds old or when the rounds ended."""
     best = 1
     for i, a in enumerate(aucs, start=1):
         if a > aucs[best - 1]:
             best = i
         elif i - best >= patience:
-            return best, True
-    return best, False
+            return best, i, True
+    return best, len(aucs), False
 
 
 def staged_scores(spark: SparkSession, fitted: M.FittedModel, rows: DataFrame,
@@ -79,12 +81,14 @@ def staged_auc(spark: SparkSession, fitted: M.FittedModel, rows: DataFrame) -> l
 
 
 def fit_with_patience(fit_rounds, judged: DataFrame, n_trees: int, patience: int) -> M.FittedModel:
-    """The boosted model of the best round.  ``fit_rounds(n)`` fits ``n`` rounds."""
+    """The boosted model of the best round, with the rounds grown until the stop beside it
+    (``grown``, ``grown_trees``).  ``fit_rounds(n)`` fits ``n`` rounds."""
     spark = judged.sparkSession
     size = min(n_trees, int(FIRST_BLOCK * patience) + 1)
     while True:
         fitted = fit_rounds(size)
-        best, stopped = best_round(staged_auc(spark, fitted, judged), patience)
+        best, last, stopped = best_round(staged_auc(spark, fitted, judged), patience)
         if stopped or size == n_trees:
-            return fitted if best == fitted.n_trees else fit_rounds(best)
+            kept = fitted if best == fitted.n_trees else fit_rounds(best)
+            return replace(kept, grown=fitted, grown_trees=last)
         size = min(n_trees, 2 * size)

@@ -78,6 +78,8 @@ class FittedModel:
     feature_cols: list[str]
     prep: PipelineModel          # [indicators +] imputer + assembler, fitted on training rows
     model: object                # GBTClassificationModel / RandomForestClassificationModel
+    grown: FittedModel | None = None   # early stopping: the longer model the best rounds were taken from,
+    grown_trees: int = 0               # of which these first trees were grown before the stop
 
     @property
     def inputs(self) -> list[str]:
@@ -189,8 +191,12 @@ def _feature_names(spark: SparkSession, feature_cols) -> DataFrame:
 
 def split_count_importance(spark: SparkSession, fitted: FittedModel) -> DataFrame:
     """(feature, importance): number of splits on each feature over all trees
-    (the "weight" importance); features never split on are absent."""
-    nodes = node_table(spark, fitted).filter(F.col("leftChild") >= 0)
+    (the "weight" importance); features never split on are absent.  With early stopping
+    the trees grown after the best round and before the stop count too, though they do not score."""
+    nodes = node_table(spark, fitted.grown or fitted)
+    if fitted.grown:
+        nodes = nodes.filter(F.col("treeID") < fitted.grown_trees)
+    nodes = nodes.filter(F.col("leftChild") >= 0)
     counts = nodes.groupBy("featureIndex").agg(F.count(F.lit(1)).alias("importance"))
     names = F.broadcast(_feature_names(spark, fitted.names))   # one row per feature
     return counts.join(names, "featureIndex").select("feature", "importance")

@@ -29,7 +29,7 @@ class Scenario:
     early_stopping: int = 100
     max_depth: int = 5
     max_iterations: int = 1000
-    training_partitions: int = 16   # of the training rows; fixed so that models repeat
+    training_partitions: int = 8    # of the training rows; fixed so that models repeat, more for large tables
     scenario_id: str = "default"
 
     def __post_init__(self):

@@ -40,7 +40,7 @@ class ModelReport:
 
 # Partitions of the training rows.  A parameter, not a measure of the data or the cluster: the
 # partitions seed the trees' sampling, so another number gives another (equally good) model.
-TRAIN_PARTITIONS = 16
+TRAIN_PARTITIONS = 8
 
 
 def split_table(table: DataFrame, feature_cols, ratio: float, seed: int,

@@ -82,9 +82,9 @@ def test_a_cluster_needs_a_shared_folder():
 
 
 def test_best_round_by_patience():
-    assert BO.best_round([0.5, 0.7, 0.6, 0.65, 0.9], 3) == (5, False)
-    assert BO.best_round([0.5, 0.7, 0.6, 0.65, 0.9], 2) == (2, True)
-    assert BO.best_round([0.5, 0.5, 0.5], 2) == (1, True)
+    assert BO.best_round([0.5, 0.7, 0.6, 0.65, 0.9], 3) == (5, 5, False)
+    assert BO.best_round([0.5, 0.7, 0.6, 0.65, 0.9], 2) == (2, 4, True)
+    assert BO.best_round([0.5, 0.5, 0.5], 2) == (1, 3, True)
 
 
 def test_patience_keeps_the_best_round(spark):
@@ -96,9 +96,11 @@ def test_patience_keeps_the_best_round(spark):
         BO.staged_scores(spark, full, judged)).isEmpty()
     trees = [t.toDebugString.split("\n", 1)[1] for t in full.model.trees]
     for patience in (2, 20):
-        best = BO.best_round(aucs, patience)[0]
+        best, last, _ = BO.best_round(aucs, patience)
         got = M.fit(split, COLS, M.ModelSpec(M.BOOSTED, 3, 14, early_stopping=patience))
-        assert got.n_trees == best
+        assert got.n_trees == best and got.grown_trees == last <= 14
+        counts = sum(r["importance"] for r in M.split_count_importance(spark, got).collect())
+        assert counts == sum(t.numNodes // 2 for t in full.model.trees[:last])
         assert [t.toDebugString.split("\n", 1)[1] for t in got.model.trees] == trees[:best]
         assert R.auc_value(got.score(judged)) == pytest.approx(aucs[best - 1], abs=1e-12)
     split.unpersist()
