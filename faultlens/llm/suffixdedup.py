@@ -15,7 +15,8 @@ with a smaller id, or earlier in the same one).  Equal strings must meet in one
 4. Each document takes its removed runs.
 
 An anchor with very many different pieces (a passage that a third of all documents
-hold, in as many contexts) is split: its windows are dealt by their own hash.
+hold, in as many contexts) is split: its windows are dealt by their own hash, and of them only
+those that share their hash with another one are sorted.
 """
 
 from __future__ import annotations
@@ -348,14 +349,16 @@ def _cut_pieces(buckets: int, length: int):
 
 
 def _send(held, windows, gone, buckets: int, length: int) -> Iterator[pa.RecordBatch]:
+    loose: dict[int, list[tuple[int, int, int, bytes]]] = {}
     for w, (kid, th, at) in windows.items():
-        held.setdefault(xxhash.xxh3_64_intdigest(w) % buckets, []).append((kid, th, at, w))
-    if held:
+        loose.setdefault(xxhash.xxh3_64_intdigest(w) % buckets, []).append((kid, th, at, w))
+    if held or loose:
         blobs = []
-        for b, rows in held.items():
+        for b, rows, split in [(*x, False) for x in held.items()] + [(*x, True) for x in loose.items()]:
             cols = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
             sizes = np.array([len(r[3]) for r in rows], dtype=np.int64)
-            blobs.append((b, _framed(_pack(*cols, sizes)) + _framed(_pack(np.frombuffer(b"".join(r[3] for r in rows), np.uint8)))))
+            blobs.append((b, _framed(_pack(*cols, sizes, np.full(len(rows), split)))
+                          + _framed(_pack(np.frombuffer(b"".join(r[3] for r in rows), np.uint8)))))
         yield from _step({"bucket": np.array([x[0] for x in blobs], np.int32), "blob": [x[1] for x in blobs]})
     if gone:
         kid, th, at = (np.array(x, dtype=np.int64) for x in zip(*gone, strict=True))
@@ -394,15 +397,29 @@ def repeats(kid: np.ndarray, th: np.ndarray, start: np.ndarray, strings: list[by
     return np.stack([which, offset], axis=1)[~lead & ~same]
 
 
+def _met(strings: list[bytes], split: np.ndarray) -> np.ndarray:
+    """Places of the strings to sort: all but the windows of split anchors whose hash no other one has.  (An anchor
+    is split in every document or in none, and equal windows share their shard, so those occur once.)"""
+    loose = np.flatnonzero(split)
+    code = np.array([xxhash.xxh3_64_intdigest(strings[i]) for i in loose.tolist()], dtype=np.uint64)
+    _, where, count = np.unique(code, return_inverse=True, return_counts=True)
+    keep = ~split
+    keep[loose[count[where] > 1]] = True
+    return np.flatnonzero(keep)
+
+
 def _sort_shard(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cols, strings = [], []
         for blob in pdf["blob"]:
-            (kid, th, start, sizes), (raw,) = _frames(bytes(blob))
+            (*col, sizes, split), (raw,) = _frames(bytes(blob))
             ends, data = np.cumsum(sizes).tolist(), raw.tobytes()
             strings += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            cols.append((kid, th, start))
-        kid, th, start = (np.concatenate(c) for c in zip(*cols, strict=True))
+            cols.append((*col, split))
+        kid, th, start, split = (np.concatenate(c) for c in zip(*cols, strict=True))
+        met = _met(strings, split)
+        strings = [strings[i] for i in met.tolist()]
+        kid, th, start = kid[met], th[met], start[met]
         with Workspace() as space:
             found = repeats(kid, th, start, strings, length, space)
         give_back()
