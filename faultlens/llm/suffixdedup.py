@@ -134,13 +134,15 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def _step(*parts: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+    missing = lambda n, t: pa.nulls(n, t) if t == pa.binary() else pa.array(np.zeros(n, np.int64), t)
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("kid", pa.int64()), ("th", pa.int64()),
                         ("begin", pa.int32()), ("end", pa.int32())])
     for p in parts:
         for lo in range(0, len(p["bucket"]), OUT_ROWS):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(p[f.name][lo:lo + OUT_ROWS], f.type) if f.name in p
-                 else pa.nulls(len(p["bucket"][lo:lo + OUT_ROWS]), f.type) for f in schema], schema=schema)
+                [pa.array(p[f.name][lo:lo + OUT_ROWS], f.type) if f.name in p else
+                 # No null numbers: pandas would read the column as floats, which do not hold large ids.
+                 missing(len(p["bucket"][lo:lo + OUT_ROWS]), f.type) for f in schema], schema=schema)
 
 
 # ---- 1 and 2: hashes of pieces ---------------------------------------------
@@ -239,7 +241,7 @@ class _Collapse:
                 continue
             d, local = np.unique(doc[at], return_inverse=True)
             out.append((b, b"".join(_framed(x) for x in (
-                _pack(kid[d], th[d].astype(np.uint32)),
+                _pack(kid[d], th[d]),
                 _pack(np.diff(local, prepend=0).astype(np.uint32), start[at].astype(np.int32), windows[at].astype(np.int32),
                       anchor[at], (code[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
                       (code[at] >> np.uint64(32)).astype(np.uint16), hot[at], inner[at]),
@@ -283,7 +285,7 @@ def _compare_pieces(length: int):
         for blob in pdf["blob"].dropna():
             (kid, th), (local, start, windows, anchor, low, high, hot, inner), (mark,) = _frames(bytes(blob))
             doc = np.cumsum(local.astype(np.int64))
-            rows.append((kid[doc], th[doc].astype(np.int64), start.astype(np.int64), windows.astype(np.int64), anchor,
+            rows.append((kid[doc], th[doc], start.astype(np.int64), windows.astype(np.int64), anchor,
                          low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), hot, inner))
             marks.append(mark)
         if not rows or not sum(len(r[0]) for r in rows):
@@ -468,7 +470,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     One output row per input row; extra columns stay inside ``doc`` whatever their names.  A null
     text counts as empty.  A null doc_id stands before every other.  Rows that repeat in doc_id and
     text count as one document and get the same result; rows with one doc_id and different texts are
-    ordered by the text's CRC-32.  Texts below ``length`` bytes keep all.  An empty table gives
+    ordered by the text's signed XXH64 (seed 42).  Texts below ``length`` bytes keep all.  An empty table gives
     an empty result.
     """
     if not GRAM <= length < 255:
@@ -476,9 +478,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = session(docs)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = SPREAD * partitions
-    # Only repeated ids need the text's checksum to tell their rows apart.
+    # Only repeated ids need the text's hash to tell their rows apart.
     ids = docs.select(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
-    th = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) if ids["n"] != ids["d"] else F.lit(0)
+    th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary")) if ids["n"] != ids["d"] else F.lit(0)
     kid = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     keyed = docs.select(kid.alias("kid"), th.cast("long").alias("th"), F.struct("*").alias("doc"))
     texts = keyed.select("kid", "th", F.col("doc.text").alias("text")).where(F.octet_length("text") >= length)

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -102,9 +103,9 @@ def test_suffix_array_in_memory_and_on_disk():
 
 
 def _brute_removed(rows, length):
-    """(bytes, removed, runs, kept) of each row by its place in (doc_id, checksum) order."""
-    import zlib
-    key = lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()))
+    """(bytes, removed, runs, kept) of each row by its place in (doc_id, hash) order."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    key = lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)))
     seen, out = set(), {}
     for k in sorted({(*key(r), r[1]) for r in rows}, key=lambda k: k[:3]):
         raw = (k[3] or "").encode()
@@ -131,7 +132,9 @@ def test_suffix_dedup_equals_brute_force(shared, monkeypatch, hot):
     base = text(2500)
     rows += [(100 + i, base[:i * 200] + "#" + base[i * 200:]) for i in range(8)]
     rows += [(200, "ab" * 400), (201, "x" * 900), (202, "ab" * 60 + "x" * 300), (203, None), (204, ""), (205, "short"),
-             (None, base), (206, base), (206, base), (207, passage), (207, base), (208, "é" * 400)]
+             (None, base), (None, base[::-1]), (None, "q" * 150), (206, base), (206, base), (207, passage), (207, base), (208, "é" * 400)]
+    # Ids beyond what a float holds, and a negative one.
+    rows += [((1 << 60) + i, text(150) + base[300 * i:300 * i + 400]) for i in range(4)] + [((1 << 60) + 1, passage), (-5, passage + "!")]
     got = suffixdedup.remove_repeats(frame(shared, rows)).collect()
     assert len(got) == len(rows)
     want = {(r[0], r[1]): w for r, w in zip(rows, _brute_removed(rows, 100), strict=True)}
@@ -145,7 +148,6 @@ def test_suffix_dedup_equals_brute_force(shared, monkeypatch, hot):
 
 
 def _brute_fingerprint(text):
-    import xxhash
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
     s = [" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))] if w else []
