@@ -165,7 +165,8 @@ def train(docs: DataFrame, buckets: int = BUCKETS, sample_per_lang: int = SAMPLE
         return Model([], np.zeros(buckets, np.float32), np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0)
     share = F.create_map([x for k, v in per_lang.items()
                           for x in (F.lit(k), F.lit(min(1.0, sample_per_lang / v)))])
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # By id and text: an id (or null) that many rows hold is not drawn as a whole; repeated rows are drawn once.
+    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = rows.withColumn("sampled", draw < share[F.col("lang")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +224,6 @@ def train(docs: DataFrame, buckets: int = BUCKETS, sample_per_lang: int = SAMPLE
     return model
 
 
-
-
 def predict_language(docs: DataFrame, model: Model) -> DataFrame:
     """doc (struct of the input row), lang_pred, score.
 
