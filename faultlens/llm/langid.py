@@ -9,12 +9,12 @@ sample, and one temperature is fitted on a part of the sample that the weights n
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +31,7 @@ NEAR_CHANCE = 1.1           # a document is rejected if its best language is bel
 CHUNK_CHARS = 1 << 18       # long texts are counted in pieces of this size, so memory stays flat
 _TRAIN = "bucket int, df long, doc_id long, lang string, part int, at binary, x binary"
 _TRAIN_NAMES = [c.split()[0] for c in _TRAIN.split(", ")]
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
 

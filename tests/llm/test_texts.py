@@ -206,9 +206,9 @@ def test_language_held_out_accuracy_and_odd_rows(shared):
     right = out.where("lang = lang_pred").count() / out.count()
     assert right >= 0.97 and out.where("score < 0 or score > 1").count() == 0
     assert (model.weights == 0).mean() > 0.3 and model.temperature > 0
-    rows = [(1, None), (2, ""), (3, "12 !! 34"), (4, "é"), (None, "the of and"), (4, "é")]
+    rows = [(1, None), (2, ""), (3, "12 !! 34"), (5, "½ ² ③"), (4, "é"), (None, "the of and"), (4, "é")]
     got = langid.predict_language(frame(shared, rows), model).select("doc.doc_id", "doc.text", "lang_pred", "score").collect()
-    assert {r["lang_pred"] == "und" for r in got if r["doc_id"] in (1, 2, 3)} == {True}
+    assert {r["lang_pred"] == "und" for r in got if r["doc_id"] in (1, 2, 3, 5)} == {True}
     assert all(r["lang_pred"] in model.langs for r in got if r["doc_id"] in (4, None))
     none = langid.train(docs.limit(0))
     assert none.predict("text") == ("und", 0.0) and none.langs == []
