@@ -10,7 +10,7 @@ n_trials, scenario_id, top_k (features kept after screening), selected_features
 (these are used as they are and nothing is screened), feature_table (a stored
 table to train on; the cohort is then not built) and format (of path inputs).
 Writes cohort, feature table, ranking and the report tables under ``output``; an
-empty feature table stops the job.
+empty feature table stops the job. Scratch tables go when the job ends.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from faultlens import Scenario, make_session
 from faultlens.operators import features as FT
 from faultlens.plans import jobs
 from faultlens.plans.training import screen_features, train_and_report
+from faultlens.session import scratch_scope
 from faultlens.sources import read_claims, read_dispositions, read_telemetry, scan_feature_table
 from faultlens.sources.sinks import write_report_tables, write_table
 
@@ -34,6 +35,11 @@ SCENARIO_KEYS = ("candidates", "targets", "fault_codes", "features", "platforms"
 
 def run(args: dict, spark=None) -> dict:
     spark = spark or make_session()
+    with scratch_scope(spark):      # everything to keep is written under the output folder
+        return _run(args, spark)
+
+
+def _run(args: dict, spark) -> dict:
     sc = Scenario(**{k: args[k] for k in SCENARIO_KEYS if k in args})
     out = args["output"].rstrip("/")
     fmt = args.get("format", "parquet")

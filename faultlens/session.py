@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -64,9 +66,31 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
 
 def unique_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh sub-folder of :func:`shared_dir` (one per write)."""
-    return shared_dir(spark, *parts, uuid.uuid4().hex[:12])
+    path = shared_dir(spark, *parts, uuid.uuid4().hex[:12])
+    made = getattr(spark.sparkContext, "_faultlens_scratch", None)
+    if made is not None:
+        made.append(path)
+    return path
+
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables that the block made when it ends, also after an error.
 
+    For jobs that write their results elsewhere: a lazy result of the block
+    must not be read after it.
+    """
+    sc = spark.sparkContext
+    outer = getattr(sc, "_faultlens_scratch", None)
+    made = sc._faultlens_scratch = []
+    try:
+        yield
+    finally:
+        sc._faultlens_scratch = outer
+        conf = sc._jsc.hadoopConfiguration()
+        for p in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:
