@@ -1,16 +1,17 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Pass 1 reads every page as tokens: its elements by their place in the page (the path of tag
-and class names) and its text blocks by place and content.  Over all pages of a host,
-tokens that share one occurrence vector (the same count on every page) form an equivalence
-class.  The vector is summed into a fingerprint, so a host of any size is a partial aggregate
+and class names) and its text blocks by place and content.  Over all distinct pages of a host
+(copies count once, so a repeated article does not become template), tokens that share one
+occurrence vector (the same count on every page) form an equivalence class.  The vector is summed into a fingerprint, so a host of any size is a partial aggregate
 and never a list of pages.  Classes on most pages of the host are valid; nested by their
 paths they are the host's template, the remaining positions are its slots.
 
 Pass 2 reads every page against its host's template.  The article is a slot: the element
 marked as article or main content if there is one, else the element of the template
 with the most text that is not template text.  Inside it, blocks of menus, adverts,
-notices, forms, comments and the like, and text that belongs to the template, are left out.
+notices, forms, comments and the like are left out.  Text of the template is left out where the
+article is not marked; inside a marked article nothing goes only because it repeats.
 """
 
 from __future__ import annotations
@@ -30,9 +31,8 @@ from pyspark.sql import types as T
 from faultlens.llm.common import discard, session, stored
 from faultlens.llm.urlfilter import host_of
 
-MIN_SHARE = 0.9             # of a host's pages that a valid class must be on
-MIN_PAGES = 3               # pages from which a host has a template
-MIN_TEXT_PAGES = 10         # pages from which a repeated text inside an article counts as template
+MIN_SHARE = 0.9             # of a host's distinct pages that a valid class must be on
+MIN_PAGES = 3               # distinct pages from which a host has a template
 BROADCAST_BYTES = 32 << 20  # templates together; beyond it they are joined by host
 OUT_BYTES = 8 << 20
 
@@ -237,14 +237,16 @@ def _nest(host: str, n_pages: int, rows: list[tuple[str, int, int, int]]) -> dic
 
 
 def deduce_templates(pages: DataFrame, min_share: float = MIN_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, n_pages, classes: each host's template, from all its pages (page_id, url, html).
+    """host, n_pages, classes: each host's template, from all its distinct pages (page_id, url, html).
 
     A class holds the tokens with one occurrence vector; ``parent`` is the index of the class
-    that encloses it (-1: none).  Hosts with fewer than ``min_pages`` pages have no template.
+    that encloses it (-1: none).  Hosts with fewer than ``min_pages`` distinct pages have no template.
     """
     session(pages)
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-                        F.xxhash64("page_id", "url", "html").alias("page"))
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    # Each html of a host counts once; a map task sends one copy of it, so repeated pages stay small.
+    rows = (rows.groupBy("host", F.sha2("html", 256).alias("digest")).agg(F.first("html").alias("html"))
+            .select("host", "html", F.xxhash64("digest").alias("page")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per batch, one row for each host and token: pages, total and the summed vector."""
@@ -291,7 +293,6 @@ class Template:
 
     def __init__(self, row: dict | None):
         classes = row["classes"] if row else []
-        self.n_pages = row["n_pages"] if row else 0
         self.once = {t for c in classes if c["per_page"] == 1 for t in c["tokens"]}
         self.text = {t for c in classes for t in c["tokens"] if "#" in t}
 
@@ -321,10 +322,7 @@ def extract(page: str | None, template: Template) -> str:
     tops = [e for e in articles if not any(o is not e and _inside(e, o) for o in articles)]
     if tops:
         keep = [(b, t, next((o for o in tops if _inside(b, o)), None)) for b, t in blocks]
-        keep = [(b, t) for b, t, o in keep if o is not None and not _left_out(b, o)]
-        if template.n_pages >= MIN_TEXT_PAGES:
-            keep = [(b, t) for b, t in keep if text_token(b.path, t) not in template.text]
-        return "\n".join(t for _, t in keep)
+        return "\n".join(t for b, t, o in keep if o is not None and not _left_out(b, o))
     keep = [(b, t) for b, t in blocks if not _left_out(b, None) and text_token(b.path, t) not in template.text]
     slot = _largest_slot([(b, t) for b, t in keep], elements, template)
     return "\n".join(t for b, t in keep if slot is None or _inside(b, slot))

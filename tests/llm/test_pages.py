@@ -96,6 +96,21 @@ def test_html_template_classes(shared):
     assert htmltext.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_copies_count_once_and_repeated_article_text_stays(shared):
+    page = "<body><div>Site</div><article><h1>One</h1><p>story of a day</p></article></body>"
+    plain = "<body><div class=x><p>plain story</p></div></body>"
+    part = "<body><article><p>Series</p><p>part {}</p></article></body>"
+    rows = [(i, "http://copies.net/%d" % i, page) for i in range(12)] + [(100 + i, None, plain) for i in range(12)]
+    for host, n in (("nine", 9), ("ten", 10)):
+        rows += [(1000 * n + i, f"http://{host}.net/{i}", part.format(i)) for i in range(n)]
+    pages = shared.createDataFrame(rows, "page_id long, url string, html string")
+    templates = {r["host"]: r["n_pages"] for r in htmltext.deduce_templates(pages).collect()}
+    assert templates == {"nine.net": 9, "ten.net": 10}
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(pages).collect()}
+    assert all(got[i] == "One\nstory of a day" and got[100 + i] == "plain story" for i in range(12))
+    assert got[9003] == got[10003] == "Series\npart 3"
+
+
 def test_warc_round_trip(shared):
     big = "<p>" + "é" * 200_000
     rows = [(1, "http://a/", "x" * 99), (2, "http://b/", "x" * 99), (3, None, "y" * 100), (4, "http://c/\r\nX: 1", "y" * 100), (5, "u", None),
