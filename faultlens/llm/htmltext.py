@@ -61,7 +61,10 @@ _STOP = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": f
          "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]),
          "option": frozenset(["select"])}
 _HEADER = 1     # what an element is: page header; other boilerplate; main content; comments
-_BOILER, _CONTENT, _COMMENTS = 2, 4, 8
+_BOILER, _CONTENT, _COMMENTS, _NAMED = 2, 4, 8, 16     # _NAMED: boilerplate by a word of class or id only
+_PURE = 32      # and class and id hold no other words
+# Words that make a name one of a state ("comments-open", "has-sidebar").
+_STATES = frozenset("has with without no open opened closed enabled disabled on off allowed".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                      r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -71,23 +74,24 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Element:
-    __slots__ = ("tag", "path", "kind", "parent")
+    __slots__ = ("tag", "path", "kind", "parent", "linked")
 
     def __init__(self, tag: str, path: str, kind: int, parent: Element | None):
         self.tag, self.path, self.kind, self.parent = tag, path, kind, parent
+        self.linked = 0     # characters of its own text that are links
 
 
 def _attributes(raw: str) -> tuple[str, int]:
     """Name for the path (from class), and what the attributes say the element is."""
-    kind, shown = 0, ""
+    kind, shown, names = 0, "", set()
     for name, a, b, c in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & _OUT_WORDS:
-                kind |= _BOILER
-            if words & _COMMENT_WORDS:
-                kind |= _COMMENTS
+            for part in value.split():
+                words = {w.lower() for w in _WORD.findall(part)}
+                names |= words
+                if words & _COMMENT_WORDS and not words & _STATES:
+                    kind |= _COMMENTS
             if name == "class" and value:
                 shown = "." + ".".join(sorted(value.lower().split()))
         elif name == "role":
@@ -103,6 +107,8 @@ def _attributes(raw: str) -> tuple[str, int]:
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" \
                 or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             kind |= _BOILER
+    if names & _OUT_WORDS:
+        kind |= _NAMED if names - _OUT_WORDS else _NAMED | _PURE
     return shown, kind
 
 
@@ -117,6 +123,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     elements, blocks, at = [], [], root
     pieces: list[str] = []
     place = muted = 0       # muted: depth inside an inline advert
+    link = False
 
     def flush() -> None:
         if pieces:
@@ -142,16 +149,19 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
             break
         if m.start() > place and not muted:
             pieces.append(page[place:m.start()])
+            at.linked += (m.start() - place) * link
         place = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if tag == "a":
+            link = not m[1]
         if m[1]:
             if tag == "span":
                 muted -= muted > 0
             if tag not in _BLOCK:
                 continue
-            muted = 0
+            muted, link = 0, False
             e = up_to(frozenset([tag]), frozenset())
             flush()
             if e is not None and e.parent is not None:
@@ -172,17 +182,22 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
             continue
         name, kind = _attributes(m[3]) if m[3].strip() else ("", 0)
         if tag == "span":
-            muted += bool(muted or kind & _BOILER)
+            muted += bool(muted or kind & (_BOILER | _NAMED))
             continue
         if tag not in _BLOCK:
             continue
         muted = 0
         flush()
+        if tag in ("article", "main", "body", "html"):      # no class word makes these boilerplate
+            if kind & _COMMENTS and tag == "article" and up_to(frozenset(["article"]), frozenset()):
+                kind |= _BOILER     # but an article within an article can be a comment
+            else:
+                kind &= ~(_NAMED | _PURE | (0 if kind & _BOILER else _COMMENTS))
         if tag in _MAIN:
             kind |= _CONTENT
             e, outer = at, None
             while e is not None:        # a menu or advert that was never closed ends here
-                if e.kind & (_BOILER | _HEADER) and not e.kind & _COMMENTS:
+                if e.kind & (_BOILER | _NAMED | _HEADER) and not e.kind & _COMMENTS:
                     outer = e
                 e = e.parent
             if outer is not None and outer.tag not in _OUT - {"nav", "head"} and outer.parent is not None:
@@ -299,7 +314,7 @@ class Template:
 
 def _left_out(e: Element, until: Element | None) -> bool:
     while e is not None and e is not until:
-        if e.kind & _BOILER or e.kind & _HEADER and until is None:
+        if e.kind & (_BOILER | _NAMED) or e.kind & _HEADER and until is None:
             return True
         e = e.parent
     return False
@@ -313,9 +328,44 @@ def _inside(e: Element, outer: Element) -> bool:
     return False
 
 
+def _unname(elements: list[Element], blocks: list[tuple[Element, str]], template: Template) -> None:
+    """Class and id words do not exclude an element that holds most of the page's text.
+
+    Text of the template, of boilerplate by tag or role, and of comments does not count.  Lists of
+    links stay excluded, and so do comments and elements named by nothing but such words
+    ("ad", "cookie-notice"), unless a main heading or the marked article is inside.
+    """
+    if not any(e.kind & _NAMED for e in elements):
+        return
+    own: Counter = Counter()
+    for b, t in blocks:
+        if text_token(b.path, t) not in template.text:
+            own[b] += len(t)
+    text, counted, linked, out, holds = {}, {}, {}, {}, set()
+    for e in elements:      # parents come before what they hold
+        up = out.get(e.parent, False)
+        out[e] = up or bool(e.kind & _BOILER or e.kind & _NAMED and e.kind & _COMMENTS)
+        text[e], counted[e], linked[e] = own[e], 0 if out[e] else own[e], e.linked
+    total = sum(counted.values()) + sum(n for e, n in own.items() if e not in text)
+    for e in reversed(elements):
+        if e.tag == "h1" or e.kind & _CONTENT and not e.kind & _BOILER:
+            holds.add(e)
+        if e.parent in text:
+            text[e.parent] += text[e]
+            counted[e.parent] += counted[e]
+            linked[e.parent] += linked[e]
+            if e in holds:
+                holds.add(e.parent)
+    for e in elements:
+        if e.kind & _NAMED and 2 * (text[e] if e in holds else counted[e]) > total and 2 * linked[e] <= text[e] \
+                and (e in holds or not e.kind & (_COMMENTS | _PURE)):
+            e.kind &= ~(_NAMED | _COMMENTS)
+
+
 def extract(page: str | None, template: Template) -> str:
     """The page's main text: one line per block; empty if there is none."""
     elements, blocks = parse(page or "")
+    _unname(elements, blocks, template)
     marked = [e for e in elements if e.kind & _CONTENT and not _left_out(e, None)]
     # The innermost kind of mark counts: articles within a main element, else the main element.
     articles = [e for e in marked if e.tag == "article"] or marked
@@ -329,8 +379,8 @@ def extract(page: str | None, template: Template) -> str:
 
 
 def _largest_slot(blocks: list[tuple[Element, str]], elements: list[Element], template: Template) -> Element | None:
-    """The innermost element (of the template's once-a-page class, if it has one) that holds most of the
-    text; elements named as content come first."""
+    """The innermost element (of the template's once-a-page classes, if it has one) that holds most of the
+    text; in pages without such a slot, elements named as content come first."""
     total = sum(len(t) for _, t in blocks)
     held: Counter = Counter()
     for b, t in blocks:
@@ -342,7 +392,7 @@ def _largest_slot(blocks: list[tuple[Element, str]], elements: list[Element], te
              and e.tag in ("div", "section", "td")]
     fitting = [e for e in elements if e.tag in ("div", "section", "td", "body") and 2 * held[e] > total
                and (not template.once or e.path in template.once)]
-    best = [e for e in named if 2 * held[e] > total] or fitting
+    best = template.once and fitting or [e for e in named if 2 * held[e] > total] or fitting
     return max(best, key=lambda e: e.path.count("/")) if best else None
 
 

@@ -96,6 +96,31 @@ def test_html_template_classes(shared):
     assert htmltext.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_class_words_do_not_exclude_the_article():
+    t = htmltext.Template(None)
+    for name in ("post category-social", "story promo", "post comments-open"):
+        assert htmltext.extract(f"<body><nav>m</nav><article class='{name}'><p>the story</p></article></body>", t) == "the story"
+        assert htmltext.extract(f"<body><div class='{name}'><p>the story</p></div><div class=ad>buy</div></body>", t) == "the story"
+    for name in ("comments-open", "has-sidebar", "content-with-sidebar"):
+        inner = "<div class=x><p>the long story</p><p>goes on</p></div><div class=sidebar>side</div>"
+        assert htmltext.extract(f"<body class='{name}'>{inner}</body>", t) == "the long story\ngoes on"
+        assert htmltext.extract(f"<body><div class='{name}'>{inner}</div></body>", t) == "the long story\ngoes on"
+        assert htmltext.extract(f"<body><div class='{name}'><article><p>a story</p></article></div></body>", t) == "a story"
+    reader = "<p>a reader's comment, longer than the article</p>"
+    for comments in (f"<div class=comments>{reader}</div>", f"<section id=comment-list>{reader}</section>", f"<article class=comment>{reader}</article>"):
+        assert htmltext.extract(f"<body><article><p>short</p>{comments}</article></body>", t) == "short"
+    menu = "<div class='top menu'>" + "".join(f"<a href=/{i}>a long entry {i}</a>" for i in range(9)) + "</div>"
+    assert htmltext.extract(f"<body>{menu}<div class=x><p>short</p></div><div class=ad>a long advert here</div></body>", t) == "short"
+
+
+def test_html_slots_of_the_template_come_before_names(shared):
+    page = "<body><div class=top>Site</div><div class=x><p>the story {0} of a day</p><div class=body><p>{0} inset of the page, with more words</p></div></div></body>"
+    pages = shared.createDataFrame([(i, f"http://s.net/{i}", page.format(i)) for i in range(5)], "page_id long, url string, html string")
+    template = htmltext.deduce_templates(pages).first().asDict(recursive=True)
+    template["classes"] = [c | {"tokens": [t for t in c["tokens"] if "div.body" not in t]} for c in template["classes"]]
+    assert htmltext.extract(page.format(3), htmltext.Template(template)) == "the story 3 of a day\n3 inset of the page, with more words"
+
+
 def test_html_copies_count_once_and_repeated_article_text_stays(shared):
     page = "<body><div>Site</div><article><h1>One</h1><p>story of a day</p></article></body>"
     plain = "<body><div class=x><p>plain story</p></div></body>"
