@@ -38,7 +38,8 @@ OUT_BYTES = 8 << 20
 
 # Element names by their role in HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template svg iframe textarea select button object audio video canvas math title".split())
+_RAW = frozenset("script style noscript template svg iframe textarea select button audio video canvas annotation "
+                 "annotation-xml title".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
                    "figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre "
                    "section summary table tbody td tfoot th thead tr ul".split())
@@ -52,6 +53,7 @@ _OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense
                        "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead topbar toolbar comment "
                        "comments disqus reply replies respond share sharing social related recommended widget login search "
                        "pagination pager skip".split())
+_AD_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion".split())
 _COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
 _MAIN_WORDS = frozenset("article articlebody main maincontent content entry story post body".split())
 _CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
@@ -62,7 +64,7 @@ _STOP = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": f
          "option": frozenset(["select"])}
 _HEADER = 1     # what an element is: page header; other boilerplate; main content; comments
 _BOILER, _CONTENT, _COMMENTS, _NAMED = 2, 4, 8, 16     # _NAMED: boilerplate by a word of class or id only
-_PURE = 32      # and class and id hold no other words
+_PURE, _ADVERT = 32, 64     # class and id hold no other words; an advert by such a word
 # Words that make a name one of a state ("comments-open", "has-sidebar").
 _STATES = frozenset("has with without no open opened closed enabled disabled on off allowed".split())
 
@@ -109,6 +111,8 @@ def _attributes(raw: str) -> tuple[str, int]:
             kind |= _BOILER
     if names & _OUT_WORDS:
         kind |= _NAMED if names - _OUT_WORDS else _NAMED | _PURE
+    if names & _AD_WORDS:
+        kind |= _ADVERT
     return shown, kind
 
 
@@ -122,7 +126,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     root = Element("", "", 0, None)
     elements, blocks, at = [], [], root
     pieces: list[str] = []
-    place = muted = 0       # muted: depth inside an inline advert
+    place = muted = 0       # muted: depth inside an inline advert or hidden span
     link = False
 
     def flush() -> None:
@@ -182,7 +186,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
             continue
         name, kind = _attributes(m[3]) if m[3].strip() else ("", 0)
         if tag == "span":
-            muted += bool(muted or kind & (_BOILER | _NAMED))
+            muted += bool(muted or kind & (_BOILER | _ADVERT))
             continue
         if tag not in _BLOCK:
             continue

@@ -113,6 +113,14 @@ def test_html_class_words_do_not_exclude_the_article():
     assert htmltext.extract(f"<body>{menu}<div class=x><p>short</p></div><div class=ad>a long advert here</div></body>", t) == "short"
 
 
+def test_html_words_of_sentences_stay():
+    t = htmltext.Template(None)
+    page = ("<article><p>the <span class=search-hit>hit</span> and <span class=social>social</span> <span class=ad>buy</span>words, "
+            "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=tex>x=1</annotation></math> and <object data=f>a film</object></p>"
+            "<p><svg><text>s</text></svg><button>b</button><span hidden>h</span>end</p></article>")
+    assert htmltext.extract(page, t) == "the hit and social words, x=1 and a film\nend"
+
+
 def test_html_slots_of_the_template_come_before_names(shared):
     page = "<body><div class=top>Site</div><div class=x><p>the story {0} of a day</p><div class=body><p>{0} inset of the page, with more words</p></div></div></body>"
     pages = shared.createDataFrame([(i, f"http://s.net/{i}", page.format(i)) for i in range(5)], "page_id long, url string, html string")
