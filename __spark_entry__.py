@@ -91,11 +91,6 @@ def _write_read(spark, df: DataFrame, name: str) -> DataFrame:
 SIGNAL_COLS = ["l_discount_max", "l_discount_min", "l_discount_std",
                "l_tax_max", "l_tax_min", "l_tax_avg", "l_tax_std"]
 ALL_COLS = S.feature_columns(T.MATRIX_MEASURES)
-# Search budget of the registered tuning queries (the library defaults are
-# 10 trials over depth 2-10 / 50-1000 trees and depth 2-30 / 10-1000 trees).
-QUERY_TRIALS = 3
-QUERY_RANGES = {"boosted": {"max_depth": (2, 6), "n_trees": (20, 200)},
-                "forest": {"max_depth": (2, 8), "n_trees": (10, 40)}}
 FOREST = dict(kind="forest", max_depth=5, n_trees=20)
 
 
@@ -109,9 +104,7 @@ def _fit(spark, d, cols=SIGNAL_COLS, **spec):
 
 
 def _tune(spark, d, kind):
-    res = TU.tune(spark, _split(spark, d), SIGNAL_COLS, M.ModelSpec(kind=kind),
-                  QUERY_TRIALS, QUERY_RANGES[kind])
-    return res
+    return TU.tune(spark, _split(spark, d), SIGNAL_COLS, M.ModelSpec(kind=kind))
 
 
 def _screen(spark, d):
