@@ -118,12 +118,9 @@ def _attribution(spark, d):
     return A.feature_attribution(spark, fm, split.filter("NOT holdout"))
 
 
-def _report(spark, d, kinds=("boosted", "forest")):
+def _report(spark, d, mode="auto"):
     from faultlens.plans.training import train_and_report
-    sc = T.scenario(max_depth=5, max_iterations=20)
-    reps = train_and_report(spark, _matrix(spark, d), SIGNAL_COLS, sc, mode="custom",
-                            kinds=kinds, attribution=False)
-    return reps
+    return train_and_report(spark, _matrix(spark, d), SIGNAL_COLS, T.scenario(), mode=mode)
 
 
 def _write_reports(spark, d):
@@ -261,6 +258,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "model_attribution_summary": lambda s, d: A.attribution_summary(_attribution(s, d)),
         "period_auc": lambda s, d: SC.period_auc(_dated_scores(s, d)),
         "train_and_report": lambda s, d: _union_metrics(_report(s, d)),
+        # The same with the scenario's own parameters instead of tuned ones.
+        "train_and_report_custom": lambda s, d: _union_metrics(_report(s, d, mode="custom")),
         "write_report_tables": _write_reports,
         # 2.10 many scenarios, cause ranking, backward validation, history
         "multi_scenario_cohort": _multi,
@@ -324,7 +323,7 @@ def _history(spark, d):
     registry = unique_dir(spark, "registry")
     out = None
     for _ in range(2):
-        for name, rep in _report(spark, d, kinds=("forest",)).items():
+        for name, rep in _report(spark, d).items():
             _, out = SC.register_model(spark, rep.fitted, rep.tables["metrics"], registry,
                                     "default", name)
     return out

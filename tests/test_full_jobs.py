@@ -5,6 +5,9 @@ import inspect
 import __spark_entry__ as E
 
 from faultlens.operators import tuning as TU
+from faultlens.plans import scenarios as SC
+from faultlens.plans import training
+from faultlens.sources import testmap as T
 
 
 def _calls(monkeypatch, module, name, result):
@@ -27,3 +30,21 @@ def test_tuning_queries_search_the_whole_space(monkeypatch):
     for kind in ("boosted", "forest"):
         E.queries()[f"tune_{kind}"](None, "")
     assert [(c["base"].kind, c["n_trials"], c["ranges"]) for c in calls] == [("boosted", 10, None), ("forest", 10, None)]
+
+
+def test_report_queries_tune_both_models_and_attribute(monkeypatch):
+    class Report:
+        fitted, tables = None, {"metrics": None}
+
+    monkeypatch.setattr(E, "_matrix", lambda *a: None)
+    monkeypatch.setattr("faultlens.session.unique_dir", lambda *a: "")
+    monkeypatch.setattr("faultlens.sources.sinks.write_report_tables", lambda *a: None)
+    monkeypatch.setattr("faultlens.sources.sinks.read_report", lambda *a: None)
+    monkeypatch.setattr(SC, "register_model", lambda *a: (None, None))
+    calls = _calls(monkeypatch, training, "train_and_report", {"XGBoost": Report()})
+    for name in ("train_and_report", "write_report_tables", "metrics_history", "train_and_report_custom"):
+        E.queries()[name](None, "")
+    assert [c["mode"] for c in calls] == ["auto"] * 4 + ["custom"]       # the history registers two runs
+    for c in calls:
+        assert c["kinds"] == ("boosted", "forest") and c["attribution"] and c["n_trials"] == 10 and c["ranges"] is None
+        assert c["sc"] == T.scenario()
