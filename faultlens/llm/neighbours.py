@@ -211,22 +211,44 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES,
     ``rows`` and ``queries`` hold vec_id and embedding.  The measure is the Euclidean distance in
     double precision on the original vectors; ties go to the smaller vec_id; rows with the query's
     own vec_id are no candidates.  Vectors that are null, zero, or hold a null or non-finite
-    component take no part, nor do null vec_ids or vectors of another length than the most
-    frequent one (of equally frequent ones the shorter).  A repeated vec_id is listed once, at its
-    nearest vector; a repeated query counts once, with its smallest vector.  Fewer candidates
-    than ``k`` give fewer rows; no rows or no queries give none.  Other columns are not read.
+    component take no part, nor do null vec_ids.  Vectors are compared with those of their own
+    length, by one search for each length.  A repeated vec_id is listed once, at its nearest
+    vector; a repeated query counts once, with its smallest vector of the length most frequent in
+    ``rows`` (of equally frequent ones the shorter).  Fewer candidates than ``k`` give fewer rows;
+    no rows or no queries give none.  Other columns are not read.
     """
     spark = session(rows)
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"),
                                  F.col("embedding").cast("array<double>").alias("v")) \
         .where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     rows, queries = clean(rows), clean(queries)
-    sizes = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if sizes is None:
+    counts = {r["size"]: r["count"] for r in rows.groupBy(F.size("v").alias("size")).count().collect()}
+    sizes = sorted(counts, key=lambda s: (-counts[s], s))
+    queries = queries.where(F.size("v").isin(sizes))
+    if len(sizes) > 1:
+        place = F.array_position(F.array(*[F.lit(s) for s in sizes]), F.size("v"))
+        queries = queries.groupBy("vec_id").agg(F.min(F.struct(place.alias("place"), "v")).alias("first")).select("vec_id", "first.v")
+        asked = {r["size"] for r in queries.select(F.size("v").alias("size")).distinct().collect()}
+        sizes = [s for s in sizes if s in asked]
+    else:
+        queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    parts = []
+    for s in sizes:
+        of_size = F.size("v") == s
+        parts += _found(rows.where(of_size), counts[s], queries.where(of_size), k, trees, leaf_rows, search_share, block_queries)
+    if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n = rows.where(F.size("v") == sizes["size"]).count()
-    rows = rows.where(F.size("v") == sizes["size"])
-    queries = queries.where(F.size("v") == sizes["size"]).groupBy("vec_id").agg(F.min("v").alias("v"))
+    found = spark.read.schema("query_id long, vec_id long, score double").parquet(*parts)
+    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+
+
+def _found(rows: DataFrame, n: int, queries: DataFrame, k: int, trees: int, leaf_rows: int, search_share: float,
+           block_queries: int) -> list[str]:
+    """Paths of the tables of candidates of ``queries`` among the ``n`` rows, all vectors of one length."""
+    spark = rows.sparkSession
     f = build_forest(rows, n, trees, leaf_rows)
     budget = max(MIN_LEAVES, int(np.ceil(search_share * trees * (1 << f.depth))))
     forest = spark.sparkContext.broadcast(f)
@@ -238,13 +260,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES,
                                                       "query_id long, vec_id long, score double")
         parts.append(stored(found, "ann_found")[1])
     discard(spark, probed_path)
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = spark.read.schema("query_id long, vec_id long, score double").parquet(*parts)
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    return parts
 
 
 def _blocks(probed: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:

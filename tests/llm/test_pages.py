@@ -194,3 +194,15 @@ def test_neighbours_recall_and_odd_rows(shared):
     few = neighbours.nearest(df.where("vec_id < 3"), df.where("vec_id = 0")).collect()
     assert [r["rank"] for r in few] == [1, 2]
     assert neighbours.nearest(df.limit(0), df).count() == neighbours.nearest(df, df.limit(0)).count() == 0
+
+
+def test_neighbours_of_every_vector_length(shared):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(60)] + [(100 + i, rng.standard_normal(5).tolist()) for i in range(20)]
+    rows += [(200, [1.0, 2.0]), (201, [1.0] * 3), (100, rng.standard_normal(8).tolist())]
+    df = shared.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.where("vec_id in (0, 100, 105, 200)"), k=3).collect()
+    for q, v in (rows[0], rows[-1], rows[65]):
+        best = sorted((float(np.linalg.norm(np.array(w) - v)), i) for i, w in rows if i != q and len(w) == len(v))[:3]
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [i for _, i in best]
+    assert {r["query_id"] for r in got} == {0, 100, 105}     # 200 has no other vector of its length
