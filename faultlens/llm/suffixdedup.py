@@ -41,6 +41,7 @@ HOT_PIECES = 64             # different pieces of one anchor, in a task or bucke
 CHUNK_BYTES = 1 << 20       # bytes hashed at once
 FLUSH_BYTES = 16 << 20      # text of a task held before its pieces are collapsed
 SPREAD = 4                  # buckets for each shuffle partition, so that partitions come out even
+SHARD_BYTES = 16 << 20      # open pieces of a shard, on average; a shard is sorted in a task's memory
 OUT_ROWS = 50_000
 NO_ID = -(1 << 63)          # stands for a null doc_id, before every other
 
@@ -317,6 +318,14 @@ def _compare_pieces(length: int):
 
 # ---- 3: bytes of pieces, suffix arrays -------------------------------------
 
+def _shards(found: DataFrame, buckets: int, length: int) -> int:
+    """How many shards the open pieces go to: ``buckets``, or as many as their measured bytes need."""
+    size = F.col("end").cast("long") - F.col("begin")
+    held = F.when(F.col("hot"), F.greatest(size - length + 1, F.lit(0)) * (length + 24)).otherwise(size + 24)
+    total = found.where("kind = 1").agg(F.sum(held)).first()[0] or 0
+    return max(buckets, -(-total // SHARD_BYTES))
+
+
 def _cut_pieces(buckets: int, length: int):
     """Send the bytes of the documents' open pieces to their shards."""
 
@@ -496,11 +505,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found, found_path = stored(texts.mapInArrow(tidy(collapse), _STEP).groupBy("bucket")
                                .applyInPandas(_compare_pieces(length), _FOUND), "suffix_found")
     spans = found.where("kind = 0").select("kid", "th", "begin", "end")
+    shards = _shards(found, buckets, length)
     # Documents with open pieces, each with its list of them (bounded by its own length).
     wanted = found.where("kind = 1").groupBy("kid", "th").agg(
         F.collect_list(F.struct("begin", "end", "anchor", "hot")).alias("open"))
     cut, cut_path = stored(texts.join(wanted.hint("shuffle_hash"), ["kid", "th"]).select("kid", "th", "text", "open")
-                           .mapInArrow(tidy(_cut_pieces(buckets, length)), _STEP), "suffix_pieces")
+                           .mapInArrow(tidy(_cut_pieces(shards, length)), _STEP), "suffix_pieces")
     sorted_out, sorted_path = stored(cut.where("blob is not null").groupBy("bucket")
                                      .applyInPandas(_sort_shard(length), _SPANS), "suffix_repeats")
     gone = spans.unionByName(cut.where("blob is null").select("kid", "th", "begin", "end")).unionByName(sorted_out)

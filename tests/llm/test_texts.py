@@ -213,3 +213,15 @@ def test_language_held_out_accuracy_and_odd_rows(shared):
     none = langid.train(docs.limit(0))
     assert none.predict("text") == ("und", 0.0) and none.langs == []
     assert langid.predict_language(frame(shared, []), model).count() == 0
+
+
+def test_suffix_shards_follow_the_bytes_of_the_open_pieces(shared, monkeypatch):
+    run = "".join(chr(97 + i * i % 23) + str(i) for i in range(80))
+    docs = shared.createDataFrame([(i, f"{i} head {'xyz'[i % 3] * i} " + run + f" tail {i * 7919}") for i in range(12)], "doc_id long, text string")
+    cut, counts = suffixdedup._cut_pieces, []
+    monkeypatch.setattr(suffixdedup, "_cut_pieces", lambda n, length: counts.append(n) or cut(n, length))
+    want = {r["doc_id"]: r["text"] for r in suffixdedup.without_repeats(docs).collect()}
+    monkeypatch.setattr(suffixdedup, "SHARD_BYTES", 16)
+    assert {r["doc_id"]: r["text"] for r in suffixdedup.without_repeats(docs).collect()} == want
+    assert run in want[0] and all(run not in want[i] for i in range(1, 12))
+    assert counts[1] > counts[0] == suffixdedup.SPREAD * int(shared.conf.get("spark.sql.shuffle.partitions"))
