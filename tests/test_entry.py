@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF0001
+from fixture_paths import SF0001
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()

@@ -13,7 +13,7 @@ from faultlens.plans import scenarios as SC
 from faultlens.plans.training import split_table
 from faultlens.session import shared_dir
 from faultlens.sources import testmap as T
-from conftest import SF0001
+from fixture_paths import SF0001
 
 COLS = ["l_discount_max", "l_discount_min", "l_tax_max"]
 

@@ -14,7 +14,7 @@ from faultlens.operators import tuning as TU
 from faultlens.plans.training import split_table
 from faultlens.sources import testmap as T
 
-from conftest import SF001
+from fixture_paths import SF001
 
 SIGNAL = ["l_discount_max", "l_discount_min", "l_discount_std",
           "l_tax_max", "l_tax_min", "l_tax_avg", "l_tax_std"]

@@ -4,7 +4,7 @@ from faultlens.operators import cohort as C
 from faultlens.plans import jobs as J
 from faultlens.sources import testmap as T
 
-from conftest import SF001
+from fixture_paths import SF001
 
 
 def _plan(df):

@@ -11,7 +11,7 @@ from faultlens.plans import scenarios as SC
 from faultlens.session import unique_dir
 from faultlens.sources import testmap as T
 
-from conftest import SF001
+from fixture_paths import SF001
 
 
 def test_multi_scenario_equals_single_runs(spark):
