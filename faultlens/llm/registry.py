@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import bpe, decontaminate, htmltext, langid, neighbours, sharding, simhash, suffixdedup, urlfilter, warc
+from faultlens.llm import bpe, decontaminate, filteraudit, htmltext, langid, neighbours, sharding, simhash, suffixdedup, urlfilter, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -74,6 +74,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_filters(_read(spark, sf_dir, "documents", "doc_id", "text", "source"),
+                                     _read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_simhash": op2_simhash,
@@ -85,8 +90,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_html": op9_html,
     "op10_warc": op10_warc,
+    "op12_filter_audit": op12_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op8_urls": urlfilter.oracle(),
     "op10_warc": warc.ORACLE,
+    "op12_filter_audit": filteraudit.ORACLE,
 }
