@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import bpe, decontaminate, filteraudit, htmltext, langid, neighbours, sharding, simhash, suffixdedup, urlfilter, warc
+from faultlens.llm import (bpe, conversation, decontaminate, filteraudit, htmltext, langid, neighbours, sharding, simhash,
+                           suffixdedup, urlfilter, warc)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -79,6 +80,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      _read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.audit_conversations(_read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_simhash": op2_simhash,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_warc": op10_warc,
     "op12_filter_audit": op12_filter_audit,
+    "op13_conversations": op13_conversations,
 }
 ORACLES: dict[str, str] = {
     "op8_urls": urlfilter.oracle(),
