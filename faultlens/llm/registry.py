@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import (bpe, conversation, decontaminate, filteraudit, htmltext, langid, neighbours, sharding, simhash,
-                           suffixdedup, urlfilter, warc)
+from faultlens.llm import (bpe, conversation, credentials, decontaminate, filteraudit, htmltext, langid, neighbours, sharding,
+                           simhash, suffixdedup, urlfilter, warc)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -75,6 +75,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = credentials.find_secrets(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *map(count, credentials.KINDS), F.sha2(credentials.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                      credentials.joined(F.concat("base", "added")).alias("spans"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit_filters(_read(spark, sf_dir, "documents", "doc_id", "text", "source"),
                                      _read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
@@ -95,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_html": op9_html,
     "op10_warc": op10_warc,
+    "op11_secrets": op11_secrets,
     "op12_filter_audit": op12_filter_audit,
     "op13_conversations": op13_conversations,
 }
