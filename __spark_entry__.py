@@ -91,7 +91,7 @@ def _write_read(spark, df: DataFrame, name: str) -> DataFrame:
 SIGNAL_COLS = ["l_discount_max", "l_discount_min", "l_discount_std",
                "l_tax_max", "l_tax_min", "l_tax_avg", "l_tax_std"]
 ALL_COLS = S.feature_columns(T.MATRIX_MEASURES)
-FOREST = dict(kind="forest", max_depth=5, n_trees=20)
+FOREST = dict(kind="forest", max_depth=5, n_trees=1000)
 
 
 def _split(spark, d, cols=SIGNAL_COLS):
@@ -104,7 +104,7 @@ def _fit(spark, d, cols=SIGNAL_COLS, **spec):
 
 
 def _tune(spark, d, kind):
-    return TU.tune(spark, _split(spark, d), SIGNAL_COLS, M.ModelSpec(kind=kind))
+    return TU.tune(spark, _split(spark, d), SIGNAL_COLS, M.ModelSpec(kind=kind, early_stopping=M.AUTO_PATIENCE))
 
 
 def _screen(spark, d):

@@ -1,27 +1,44 @@
-"""Early stopping of boosted trees by patience on the validation AUC.
+"""Boosted trees: second-order logistic boosting with early stopping, for many models at once.
 
-Spark ML's own rule stops at the first round that gains little.  Here the fit
-grows in doubling blocks of rounds (the same seed and partitions give the same
-first trees), every round is judged by its exact AUC on the validation rows,
-and the search ends once the best round is ``patience`` rounds old.
+Models (tuning trials, scenarios) are fitted together.  A model whose training table has at most
+``task_rows`` rows is one group of a Spark job: all such models take one job, however many they are.
+A larger one is grown level by level over its chunks: tasks add up histograms keyed by (model, node),
+the sums meet per node, the best split of a node is found where they meet, and only splits reach
+the driver; one job per level serves all large models.  Margins are kept as the state of the chunks
+and advance by one tree per round, so each round is fitted once and a fit can go on from its trees.
+Both ways give the same trees: sums are exact (:mod:`faultlens.operators.growth`).
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
+import json
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens import schemas as S
-from faultlens.operators import attribution as A
-from faultlens.operators import models as M
-from faultlens.operators.roc import grouped_auc
+from faultlens.operators import growth as G
+from faultlens.operators.binning import JUDGED, TRAIN
+from faultlens.operators.roc import grouped_auc_of_counts
+from faultlens.session import ship_package
+from faultlens.sources.sinks import materialize
 
-# Rounds of the first block, in units of the patience (a block must be longer than that to stop in it).
-FIRST_BLOCK = 1.25
+# Training tables of up to this many rows (of one byte per feature) are one task's group.
+TASK_ROWS = 1 << 18
+# Rounds after which the state of a large fit is written, which cuts its lineage.
+WRITE_ROUNDS = 16
+TREES = "model int, tree int, " + ", ".join(f"{c} array<{t}>" for c, t in G.ARRAYS.items()) + ", auc double"
+
+
+@dataclass(frozen=True)
+class Member:
+    """One model of a joint fit: its number, the unit (training table) of its chunks, and its ModelSpec."""
+    model: int
+    unit: str
+    spec: object
 
 
 def best_round(aucs: list[float], patience: int) -> tuple[int, int, bool]:
@@ -31,64 +48,289 @@ def best_round(aucs: list[float], patience: int) -> tuple[int, int, bool]:
     for i, a in enumerate(aucs, start=1):
         if a > aucs[best - 1]:
             best = i
-        elif i - best >= patience:
+        elif patience and i - best >= patience:
             return best, i, True
     return best, len(aucs), False
 
 
-def staged_scores(spark: SparkSession, fitted: M.FittedModel, rows: DataFrame,
-                  block_nodes: int = A.BLOCK_NODES) -> DataFrame:
-    """(round, label, score): the probability of class 1 after each round, for every row.
+def rule_of(spec) -> G.Boosted:
+    return G.Boosted(spec.step_size, spec.l2, spec.min_child_weight)
+
+
+def unit_rows(chunks: DataFrame) -> dict[str, int]:
+    """Rows of every unit (one row per unit reaches the driver)."""
+    return {r["unit"]: r["n"] for r in chunks.groupBy("unit").agg(F.sum("n").alias("n")).collect()}
+
 
-    The trees are broadcast in blocks of ``block_nodes`` nodes; each block extends a row's margins.
+def fit_boosted(chunks: DataFrame, members: list[Member], width: int, task_rows: int = TASK_ROWS,
+                start: DataFrame | None = None) -> DataFrame:
+    """The trees table of all members (a row per model and tree), written once.
+
+    ``auc`` is the model's validation AUC after the tree (null without judged rows of both
+    classes; with early stopping that is an error).  ``start`` holds trees of earlier rounds of the
+    same members; the fit goes on after them and returns them too.
     """
-    from faultlens.session import ship_package
-    ship_package(spark)
-    inputs = fitted.inputs
-    out = fitted.prep.transform(rows).select(
-        F.col(S.LABEL).cast("int").alias("label"), F.array(*inputs).alias("x"),
-        F.array().cast("array<double>").alias("margins"))
-    for ens in A.ensembles_of(spark, fitted, block_nodes):
-        out = out.mapInPandas(_extend_margins(spark.sparkContext.broadcast(ens)),
-                              "label int, x array<double>, margins array<double>")
-    staged = out.select("label", F.posexplode("margins").alias("pos", "margin"))
-    return staged.select((F.col("pos") + 1).alias("round"), "label",
-                         (1.0 / (1.0 + F.exp(-F.col("margin")))).alias("score"))
-
-
-def _extend_margins(trees):
-    def run(batches):
-        ens = trees.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf["x"].to_list()).astype(float)
-            steps = np.stack([w * A.predict_tree(t, x) for t, w in zip(ens.trees, ens.weights)], axis=1)
-            before = [np.asarray(m, dtype=float) for m in pdf["margins"]]
-            start = np.array([m[-1] if len(m) else 0.0 for m in before])
-            grown = start[:, None] + np.cumsum(steps, axis=1)
-            yield pd.DataFrame({"label": pdf["label"], "x": pdf["x"],
-                                "margins": [np.concatenate(p) for p in zip(before, grown)]})
-    return run
-
-
-def staged_auc(spark: SparkSession, fitted: M.FittedModel, rows: DataFrame) -> list[float]:
-    """Validation AUC after each round (one row per round reaches the driver)."""
-    got = grouped_auc(staged_scores(spark, fitted, rows), "round").collect()
-    if any(r["auc"] is None for r in got) or not got:
-        raise ValueError("early stopping needs validation rows of both classes")
-    return [r["auc"] for r in sorted(got, key=lambda r: r["round"])]
-
-
-def fit_with_patience(fit_rounds, judged: DataFrame, n_trees: int, patience: int) -> M.FittedModel:
-    """The boosted model of the best round, with the rounds grown until the stop beside it
-    (``grown``, ``grown_trees``).  ``fit_rounds(n)`` fits ``n`` rounds."""
-    spark = judged.sparkSession
-    size = min(n_trees, int(FIRST_BLOCK * patience) + 1)
-    while True:
-        fitted = fit_rounds(size)
-        best, last, stopped = best_round(staged_auc(spark, fitted, judged), patience)
-        if stopped or size == n_trees:
-            kept = fitted if best == fitted.n_trees else fit_rounds(best)
-            return replace(kept, grown=fitted, grown_trees=last)
-        size = min(n_trees, 2 * size)
+    ship_package(chunks.sparkSession)
+    rows = unit_rows(chunks)
+    small = [m for m in members if rows.get(m.unit, 0) <= task_rows]
+    large = [m for m in members if rows.get(m.unit, 0) > task_rows]
+    parts = []
+    if small:
+        parts.append(_fit_in_tasks(chunks, small, width, start))
+    if large:
+        parts.append(_Levels(chunks, large, width, start).fit())
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return materialize(out, "model/trees")
+
+
+# ---------------------------------------------------------------------------------- one model, one group
+
+def members_frame(chunks: DataFrame, members: list[Member]) -> DataFrame:
+    rows = [(m.model, m.unit, json.dumps(asdict(m.spec))) for m in members]
+    return chunks.sparkSession.createDataFrame(rows, "model int, unit string, spec string")
+
+
+def _fit_in_tasks(chunks: DataFrame, members: list[Member], width: int, start: DataFrame | None) -> DataFrame:
+    # More partitions than models, so that few models share a task; groups of different models are independent.
+    n = min(4 * len(members), 4096)
+    rows = chunks.join(members_frame(chunks, members), "unit").repartition(n, "model")
+    fit = _group_fit(width)
+    if start is None:
+        return rows.groupBy("model").applyInPandas(lambda pdf: fit(pdf, None), TREES)
+    known = start.filter(F.col("model").isin([m.model for m in members])).repartition(n, "model")
+    return rows.groupBy("model").cogroup(known.groupBy("model")).applyInPandas(fit, TREES)
+
+
+def joined_codes(codes: list[bytes], sizes: list[int]) -> np.ndarray:
+    """[feature, row] codes of several chunks side by side."""
+    return np.concatenate([np.frombuffer(c, np.uint8).reshape(-1, n) for c, n in zip(codes, sizes)], axis=1)
+
+
+def _group_fit(width: int):
+    def fit(pdf: pd.DataFrame, known: pd.DataFrame | None) -> pd.DataFrame:
+        from faultlens.operators.models import ModelSpec
+        if pdf.empty:
+            return known
+        spec = ModelSpec(**json.loads(pdf["spec"].iloc[0]))
+        codes = joined_codes(pdf["codes"].tolist(), pdf["n"].tolist())
+        y = np.frombuffer(b"".join(pdf["labels"]), np.uint8).astype(float)
+        part = np.frombuffer(b"".join(pdf["parts"]), np.uint8)
+        before = [] if known is None or known.empty else known.sort_values("tree").to_dict("records")
+        rows = [{**r, "model": int(pdf["model"].iloc[0])} for r in boost(codes, y, part, spec, width, before)]
+        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in TREES.split(", ")])
+    return fit
+
+
+def boost(codes: np.ndarray, y: np.ndarray, part: np.ndarray, spec, width: int, before=()) -> Iterator[dict]:
+    """Rows (tree, arrays, auc) of a model fitted in memory, the given earlier trees first."""
+    rule, margin = rule_of(spec), np.zeros(codes.shape[1])
+    train, judged = part == TRAIN, part == JUDGED
+    own, aucs = codes[:, train], []
+    for t in range(spec.n_trees):
+        if _stopped(aucs, spec):
+            return
+        if t < len(before):
+            row = {c: before[t][c] for c in ("tree", *G.ARRAYS)}
+            tree = G.tree_of(row)
+        else:
+            tree = G.grow(own, *G.gradients(margin[train], y[train]), spec.max_depth, width, rule)
+            row = {"tree": t, **tree.columns()}
+        margin += tree.value[tree.leaves(codes)]
+        auc = G.exact_auc(margin[judged], y[judged]) if judged.any() else None
+        if auc is None and spec.early_stopping:
+            raise ValueError("early stopping needs validation rows of both classes")
+        aucs.append(auc)
+        yield {**row, "auc": auc}
+
+
+def _stopped(aucs: list, spec) -> bool:
+    return bool(spec.early_stopping and aucs and best_round(aucs, spec.early_stopping)[2])
+
+
+# ---------------------------------------------------------------------------------- large models, level by level
+
+_STATE = "unit string, n int, labels binary, parts binary, codes binary, margins binary"
+_HIST = "model int, node long, hist binary"
+_SPLIT = "model int, node long, gain double, feature int, code int, missing_left boolean, a double, b double, a_left double, b_left double"
+
+
+class _Levels:
+    """Joint level-by-level fit.  ``margins`` of a chunk holds one row of doubles per model of its unit."""
+
+    def __init__(self, chunks: DataFrame, members: list[Member], width: int, start: DataFrame | None):
+        self.spark, self.width = chunks.sparkSession, width
+        self.members = {m.model: m for m in members}
+        self.units: dict[str, list[int]] = {}
+        for m in members:
+            self.units.setdefault(m.unit, []).append(m.model)
+        units = self.units
+        self.state = chunks.filter(F.col("unit").isin(list(units))).drop("keys").mapInPandas(
+            lambda it: (p.assign(margins=[np.zeros((len(units[u]), n)).tobytes() for u, n in zip(p["unit"], p["n"])]) for p in it), _STATE)
+        self.trees: dict[int, list[G.Tree]] = {m: [] for m in self.members}
+        self.aucs: dict[int, list[float]] = {m: [] for m in self.members}
+        self.held: list[DataFrame] = []
+        self.start = start
+
+    def fit(self) -> DataFrame:
+        try:
+            if self.start is not None:
+                self._resume()
+            rounds = max(len(t) for t in self.trees.values())
+            while True:
+                active = [m for m, x in self.members.items()
+                          if len(self.trees[m]) == rounds < x.spec.n_trees and not _stopped(self.aucs[m], x.spec)]
+                if not active:
+                    break
+                new = self._round(active)
+                self._advance(new, write=(rounds + 1) % WRITE_ROUNDS == 0)
+                for m, auc in self._judge(active).items():
+                    if auc is None and self.members[m].spec.early_stopping:
+                        raise ValueError("early stopping needs validation rows of both classes")
+                    self.aucs[m].append(auc)
+                rounds += 1
+        finally:
+            for df in self.held:
+                df.unpersist()
+        rows = [(m, t, *[x.tolist() for x in tree.columns().values()], self.aucs[m][t])
+                for m, trees in self.trees.items() for t, tree in enumerate(trees)]
+        return self.spark.createDataFrame(rows, TREES)
+
+    def _resume(self) -> None:
+        rows = self.start.filter(F.col("model").isin(list(self.members))).orderBy("model", "tree").collect()
+        new: dict[int, list[G.Tree]] = {}
+        for r in rows:
+            new.setdefault(r["model"], []).append(G.tree_of(r))
+            self.aucs[r["model"]].append(r["auc"])
+        self._advance(new, write=True)
+
+    def _round(self, active: list[int]) -> dict[int, list[G.Tree]]:
+        """One more tree of every active model, all of them one job per level."""
+        fronts: dict[int, G.Frontier] = {}
+        depth = 0
+        while True:
+            growing = {m: fronts.get(m) for m in active if m not in fronts or
+                       len(fronts[m].node) and depth < self.members[m].spec.max_depth}
+            if not growing:
+                break
+            got = self._level(growing)
+            for m in growing:
+                s = got[m]
+                if m not in fronts:
+                    fronts[m] = G.Frontier(rule_of(self.members[m].spec), float(s["a"].iloc[0]), float(s["b"].iloc[0]))
+                front = fronts[m]
+                ends = ~front.rule.open(front.a, front.b)
+                front.close(ends)
+                s = s.set_index("node").loc[front.node]
+                front.split(G.Splits(*(s[c].to_numpy() for c in ("gain", "feature", "code", "missing_left", "a_left", "b_left"))))
+            depth += 1
+        for f in fronts.values():
+            f.close()
+        return {m: [f.tree()] for m, f in fronts.items()}
+
+    def _level(self, growing: dict[int, G.Frontier | None]) -> dict[int, pd.DataFrame]:
+        """Best split of every open node (a row per node reaches the driver)."""
+        partial = {m: (_unfinished(f), f.node) if f else None for m, f in growing.items()}
+        shared = self.spark.sparkContext.broadcast((partial, self.units, {m: rule_of(self.members[m].spec) for m in growing}))
+        width = self.width
+
+        def sums(it):
+            partial, units, _ = shared.value
+            held: dict[int, np.ndarray] = {}
+            for pdf in it:
+                for unit, n, labels, parts, codes, margins in zip(*(pdf[c] for c in (
+                        "unit", "n", "labels", "parts", "codes", "margins"))):
+                    train = np.frombuffer(parts, np.uint8) == TRAIN
+                    c = np.frombuffer(codes, np.uint8).reshape(-1, n)[:, train]
+                    y = np.frombuffer(labels, np.uint8)[train].astype(float)
+                    margin = np.frombuffer(margins).reshape(-1, n)[:, train]
+                    for i, m in enumerate(units[unit]):
+                        if m not in partial:
+                            continue
+                        a, b = G.gradients(margin[i], y)
+                        if partial[m] is None:
+                            slot, slots, some = np.zeros(len(a), np.int64), 1, slice(None)
+                        else:
+                            tree, open_nodes = partial[m]
+                            at = tree.node[tree.leaves(c)]
+                            slot = np.searchsorted(open_nodes, at)
+                            some = (slot < len(open_nodes)) & (open_nodes[np.minimum(slot, len(open_nodes) - 1)] == at)
+                            slot, slots = slot[some], len(open_nodes)
+                        h = G.histogram(c[:, some], slot, a[some], b[some], slots, width)
+                        held[m] = held[m] + h if m in held else h
+            for m, h in held.items():
+                nodes = [1] if partial[m] is None else partial[m][1].tolist()
+                yield pd.DataFrame({"model": m, "node": nodes, "hist": [x.astype(np.int64).tobytes() for x in h]})
+
+        def split(pdf: pd.DataFrame) -> pd.DataFrame:
+            rule = shared.value[2][int(pdf["model"].iloc[0])]
+            total = sum(np.frombuffer(h, np.int64) for h in pdf["hist"]).astype(float)
+            hist = total.reshape(1, -1, width, 2)
+            s = G.best_splits(hist, rule)
+            a, b = hist[0, 0].sum(axis=0)
+            return pd.DataFrame({"model": pdf["model"].iloc[:1], "node": pdf["node"].iloc[:1], "gain": s.gain, "feature": s.feature,
+                                 "code": s.code, "missing_left": s.missing_left, "a": a, "b": b, "a_left": s.a_left, "b_left": s.b_left})
+
+        out = self.state.mapInPandas(sums, _HIST).groupBy("model", "node").applyInPandas(split, _SPLIT).toPandas()
+        return {m: g for m, g in out.groupby("model")}
+
+    def _advance(self, new: dict[int, list[G.Tree]], write: bool) -> None:
+        """Add the new trees to the margins and to the models."""
+        shared = self.spark.sparkContext.broadcast((new, self.units))
+
+        def add(it):
+            new, units = shared.value
+            for pdf in it:
+                out = []
+                for unit, n, codes, margins in zip(pdf["unit"], pdf["n"], pdf["codes"], pdf["margins"]):
+                    c = np.frombuffer(codes, np.uint8).reshape(-1, n)
+                    m = np.frombuffer(margins).reshape(-1, n).copy()
+                    for i, model in enumerate(units[unit]):
+                        for tree in new.get(model, ()):
+                            m[i] += tree.value[tree.leaves(c)]
+                    out.append(m.tobytes())
+                yield pdf.assign(margins=out)
+
+        state = self.state.mapInPandas(add, _STATE)
+        if write:
+            self.state = materialize(state, "model/state")
+            for df in self.held:
+                df.unpersist()
+            self.held = []
+        else:
+            self.state = state.persist()
+            self.held.append(self.state)
+        for m, trees in new.items():
+            self.trees[m] += trees
+
+    def _judge(self, active: list[int]) -> dict[int, float | None]:
+        """Validation AUC of the active models from counts per score that the tasks have added up."""
+        units = {u: [(i, m) for i, m in enumerate(ms) if m in active] for u, ms in self.units.items()}
+
+        def counts(it):
+            for pdf in it:
+                for unit, n, labels, parts, margins in zip(*(pdf[c] for c in ("unit", "n", "labels", "parts", "margins"))):
+                    judged = np.frombuffer(parts, np.uint8) == JUDGED
+                    y = np.frombuffer(labels, np.uint8)[judged]
+                    margin = np.frombuffer(margins).reshape(-1, n)[:, judged]
+                    for i, m in units[unit]:
+                        value, at = np.unique(margin[i], return_inverse=True)
+                        pos = np.bincount(at, y, minlength=len(value)).astype(np.int64)
+                        yield pd.DataFrame({"model": np.int32(m), "score": value, "pos": pos,
+                                            "neg": np.bincount(at, minlength=len(value)) - pos})
+
+        scored = self.state.mapInPandas(counts, "model int, score double, pos long, neg long").groupBy("model", "score").agg(
+            F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        got = {r["model"]: r["auc"] for r in grouped_auc_of_counts(scored, "model").collect()}
+        return {m: got.get(m) for m in active}
+
+
+def _unfinished(front: G.Frontier) -> G.Tree:
+    """The settled nodes and the open ones as leaves."""
+    n = len(front.node)
+    extra = (front.node, np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n, bool), np.zeros(n), front.a, front.b)
+    cols = [np.concatenate(x) for x in zip(*front.done, extra)]
+    order = np.argsort(cols[0], kind="stable")
+    node, feature, code, missing_left, gain, _, b = (c[order] for c in cols)
+    return G.Tree(node, feature, code, missing_left, gain, np.zeros(len(node)), b)

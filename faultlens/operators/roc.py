@@ -161,26 +161,28 @@ def auc_value(scored: DataFrame, score: str = "score", label: str = "label") ->
     return float(roc_auc(scored, score, label).first()["auc"])
 
 
-# Slices of the score's range in grouped_auc.
-SCORE_BUCKETS = 1024
+def grouped_auc(scored: DataFrame, key: str, label: str = "label") -> DataFrame:
+    """(key, rows, positives, auc) from (key, label, score), all groups in one job."""
+    return grouped_auc_of_counts(scored.groupBy(key, "score").agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")), key)
 
 
-def grouped_auc(scored: DataFrame, key: str, label: str = "label") -> DataFrame:
-    """(key, rows, positives, auc) from (key, label, score in 0..1), all groups in one job.
+def grouped_auc_of_counts(counts: DataFrame, key: str) -> DataFrame:
+    """(key, rows, positives, auc) from (key, score, pos, neg), one row per key and score.
 
-    Rows are counted by group and score.  Running positives are summed inside a score
-    bucket (a fixed slice of the score's range), and the buckets above add their totals, so no
-    task holds a whole group.  The AUC is the exact rank sum; null without both classes.
+    Scores are dealt to ranges drawn from the data (:func:`with_ranges`, over all groups).  Running
+    positives are summed inside a range, and the ranges above add their totals, so no task holds a whole
+    group however its scores lie.  The AUC is the exact rank sum; null without both classes.
     """
-    counts = scored.groupBy(key, "score").agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    counts = counts.withColumn("bucket", F.floor(F.col("score") * SCORE_BUCKETS))
-    totals = counts.groupBy(key, "bucket").agg(F.sum("pos").alias("bucket_pos"))
-    above = Window.partitionBy(key).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(key, "bucket", F.coalesce(F.sum("bucket_pos").over(above), F.lit(0)).alias("above"))
-    inside = Window.partitionBy(key, "bucket").orderBy(F.desc("score")) \
+    counts = materialize(with_ranges(counts.select(key, "score", "pos", "neg")), "roc/grouped")
+    totals = counts.groupBy(key, "_b").agg(F.sum("pos").alias("range_pos"))
+    above = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(key, "_b", F.coalesce(F.sum("range_pos").over(above), F.lit(0)).alias("above"))
+    inside = Window.partitionBy(key, "_b").orderBy(F.desc("score")) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("inside", F.sum("pos").over(inside)).join(totals, [key, "bucket"])
+    ranked = counts.withColumn("inside", F.sum("pos").over(inside)).alias("c").join(
+        totals.alias("t"), F.col(f"c.{key}").eqNullSafe(F.col(f"t.{key}")) & (F.col("c._b") == F.col("t._b"))) \
+        .select(f"c.{key}", "pos", "neg", "above", "inside")
     area = F.sum((F.col("neg") * (2 * (F.col("above") + F.col("inside")) - F.col("pos"))).cast("decimal(38,0)"))
     out = ranked.groupBy(key).agg(
         F.sum(F.col("pos") + F.col("neg")).alias("rows"), F.sum("pos").alias("positives"),

@@ -14,8 +14,7 @@ from faultlens.operators import roc as R
 from faultlens.operators import tuning as TU
 from faultlens.sources.sinks import materialize
 
-# The model names a report is selected by (the boosted model is
-# Spark ML's GBTClassifier; the name is kept so existing selections still work).
+# The model names a report is selected by.
 MODEL_NAMES = {M.BOOSTED: "XGBoost", M.FOREST: "Random_Forest"}
 
 
@@ -38,20 +37,18 @@ class ModelReport:
     tables: dict = field(default_factory=dict)
 
 
-# Partitions of the training rows.  A parameter, not a measure of the data or the cluster: the
-# partitions seed the trees' sampling, so another number gives another (equally good) model.
+# Partitions of the training rows; trees do not depend on it.
 TRAIN_PARTITIONS = 8
 
 
 def split_table(table: DataFrame, feature_cols, ratio: float, seed: int,
                 partitions: int = TRAIN_PARTITIONS, validation_ratio: float = 0.0) -> DataFrame:
-    """Model matrix + holdout flag, hash-partitioned on the asset into ``partitions``
-    partitions and sorted in them, so that equal rows and parameters give equal models."""
+    """Model matrix + holdout flag, hash-partitioned on the asset into ``partitions`` partitions."""
     cols = [S.ASSET, S.LABEL] + list(feature_cols)
     flags = ["holdout"] + (["validation"] if validation_ratio > 0 else [])
     out = M.holdout_split(FT.model_matrix(table, feature_cols), ratio, seed,
                           validation_ratio=validation_ratio).select(*cols, *flags)
-    return out.repartition(partitions, S.ASSET).sortWithinPartitions(*cols)
+    return out.repartition(partitions, S.ASSET)
 
 
 def written_matrix(table: DataFrame, feature_cols, sc) -> DataFrame:
@@ -86,9 +83,9 @@ def screen_features(spark: SparkSession, table: DataFrame, feature_cols, sc) ->
 
 def train_and_report(spark: SparkSession, table: DataFrame, feature_cols, sc, mode: str = "auto",
                      kinds=(M.BOOSTED, M.FOREST), n_trials: int = 10, ranges: dict | None = None,
-                     attribution: bool = True, parallelism: int = 2) -> dict[str, ModelReport]:
-    """Both models: tuned (``auto``) or with the scenario's parameters
-    (``custom``), each evaluated on the holdout, with attributions."""
+                     attribution: bool = True) -> dict[str, ModelReport]:
+    """Both models: tuned (``auto``, with its own patience ``M.AUTO_PATIENCE``) or with the scenario's
+    parameters (``custom``), each evaluated on the holdout, with attributions."""
     from faultlens.operators import attribution as A
     table = written_matrix(table, feature_cols, sc)
     positives, negatives = FT.require_two_classes(table)
@@ -97,12 +94,11 @@ def train_and_report(spark: SparkSession, table: DataFrame, feature_cols, sc, mo
     out = {}
     try:
         for kind in kinds:
-            base = M.ModelSpec(kind, sc.max_depth, sc.max_iterations, sc.seed,
-                               early_stopping=sc.early_stopping)
+            base = M.ModelSpec(kind, sc.max_depth, sc.max_iterations, sc.seed, early_stopping=sc.early_stopping)
             trials = None
             if mode == "auto":
-                res = TU.tune(spark, split, feature_cols, base, n_trials,
-                              (ranges or {}).get(kind), parallelism)
+                res = TU.tune(spark, split, feature_cols, base.with_params(early_stopping=M.AUTO_PATIENCE), n_trials,
+                              (ranges or {}).get(kind))
                 fitted, trials = TU.refit_best(split, feature_cols, res), res.trials
             elif mode == "custom":
                 fitted = M.fit(split, feature_cols, base)

@@ -1,58 +1,36 @@
-"""Attribution of unused features and in tree blocks, search ranges, runner choices, shared folder."""
+"""Period AUC, score ranges, telemetry layout, shared folder."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from faultlens import schemas as S
-from faultlens.operators import attribution as A
-from faultlens.operators import boosting as BO
-from faultlens.operators import models as M
+from faultlens.operators import growth as G
 from faultlens.operators import roc as R
-from faultlens.operators import tuning as TU
 from faultlens.plans import scenarios as SC
-from faultlens.plans.training import split_table
 from faultlens.session import shared_dir
 from faultlens.sources import testmap as T
 from fixture_paths import SF0001
 
-COLS = ["l_discount_max", "l_discount_min", "l_tax_max"]
-
-
-def test_summary_of_constant_value_or_attribution(spark):
-    rows = [(i, "unused", float(i), 0.0, 0.5) for i in range(5)] + [(i, "flat", 1.0, float(i), 0.5) for i in range(5)] \
-        + [(i, "used", float(i), 2.0 * i, 0.5) for i in range(5)]
-    got = {r["feature"]: r["value_phi_corr"] for r in A.attribution_summary(
-        spark.createDataFrame(rows, "asset long, feature string, value double, phi double, base_value double")).collect()}
-    assert got["unused"] is None and got["flat"] is None and got["used"] == pytest.approx(1.0)
-
-
-@pytest.mark.parametrize("spec", [M.ModelSpec(M.FOREST, 4, 5), M.ModelSpec(M.BOOSTED, 3, 4, early_stopping=0)])
-def test_attribution_in_blocks_equals_one_block(spark, spec):
-    split = split_table(T.model_matrix_source(spark, SF0001), COLS, 0.2, 42).persist()
-    fitted = M.fit(split, COLS, spec)
-    some = split.filter("holdout")
-    key = ["asset", "feature"]
-    one = A.feature_attribution(spark, fitted, some).toPandas().sort_values(key).reset_index(drop=True)
-    many = A.feature_attribution(spark, fitted, some, block_nodes=20).toPandas().sort_values(key).reset_index(drop=True)
-    assert len(one) == len(many) == some.count() * len(COLS)
-    assert (one["phi"] - many["phi"]).abs().max() < 1e-9 and (one["base_value"] - many["base_value"]).abs().max() < 1e-9
-    split.unpersist()
-
-
-def test_blocks_keep_every_tree():
-    assert A.tree_blocks([(0, 5), (1, 6), (2, 50), (3, 1)], 10) == [[0], [1], [2], [3]]
-    assert A.tree_blocks([(0, 5), (1, 5), (2, 5)], 10) == [[0, 1], [2]]
-
-
-def test_forest_depths_are_drawn_not_clamped():
-    depths = [p["max_depth"] for p in TU.sample_params(M.FOREST, 3000, 1)]
-    assert max(depths) == M.MAX_TREE_DEPTH and depths.count(30) < 2 * depths.count(29)
-
 
 def test_period_auc_without_both_classes(spark):
-    rows = [("a", 1, 0.9), ("a", 0, 0.1), ("a", 0, 0.9), ("b", 1, 0.3)]
+    rows = [("a", 1, 0.9), ("a", 0, 0.1), ("a", 0, 0.9), ("b", 1, 0.3), (None, 1, 0.3), (None, 0, 0.2)]
     got = {r["period"]: r for r in SC.period_auc(spark.createDataFrame(rows, f"period string, {S.LABEL} int, score double")).collect()}
     assert got["a"]["auc"] == pytest.approx(0.75) and got["b"]["auc"] is None and got["b"]["assets"] == 1
+    assert got[None]["auc"] == 1.0
+
+
+def test_grouped_auc_of_crowded_scores(spark):
+    """Scores within a hair of zero spread over ranges drawn from the data; each group's AUC is exact."""
+    rng = np.random.default_rng(2)
+    rows = [(g, int(y), float(x) * 1e-12) for g in range(3) for y, x in zip(rng.integers(0, 2, 4000), rng.random(4000).round(3))]
+    df = spark.createDataFrame(rows, "g int, label int, score double")
+    got = {r["g"]: r["auc"] for r in R.grouped_auc(df, "g").collect()}
+    for g in range(3):
+        y, x = (np.array([r[i] for r in rows if r[0] == g], float) for i in (1, 2))
+        assert got[g] == pytest.approx(G.exact_auc(x, y), abs=1e-12)
+    ranges = R.with_ranges(df.groupBy("g", "score").agg(F.count("*").alias("n")), 8).groupBy("_b").count().collect()
+    assert len(ranges) == 8 and max(r["count"] for r in ranges) < 3 * min(r["count"] for r in ranges)
 
 
 def test_layout_writes_few_files(spark, tmp_path):
@@ -79,36 +57,3 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session(), "x")
-
-
-def test_best_round_by_patience():
-    assert BO.best_round([0.5, 0.7, 0.6, 0.65, 0.9], 3) == (5, 5, False)
-    assert BO.best_round([0.5, 0.7, 0.6, 0.65, 0.9], 2) == (2, 4, True)
-    assert BO.best_round([0.5, 0.5, 0.5], 2) == (1, 3, True)
-
-
-def test_patience_keeps_the_best_round(spark):
-    split = split_table(T.model_matrix_source(spark, SF0001), COLS, 0.2, 42).persist()
-    judged = split.filter("holdout")
-    full = M.fit(split, COLS, M.ModelSpec(M.BOOSTED, 3, 14, early_stopping=0))
-    aucs = BO.staged_auc(spark, full, judged)
-    assert BO.staged_scores(spark, full, judged, block_nodes=20).exceptAll(
-        BO.staged_scores(spark, full, judged)).isEmpty()
-    trees = [t.toDebugString.split("\n", 1)[1] for t in full.model.trees]
-    for patience in (2, 20):
-        best, last, _ = BO.best_round(aucs, patience)
-        got = M.fit(split, COLS, M.ModelSpec(M.BOOSTED, 3, 14, early_stopping=patience))
-        assert got.n_trees == best and got.grown_trees == last <= 14
-        counts = sum(r["importance"] for r in M.split_count_importance(spark, got).collect())
-        assert counts == sum(t.numNodes // 2 for t in full.model.trees[:last])
-        assert [t.toDebugString.split("\n", 1)[1] for t in got.model.trees] == trees[:best]
-        assert R.auc_value(got.score(judged)) == pytest.approx(aucs[best - 1], abs=1e-12)
-    split.unpersist()
-
-
-def test_saved_model_scores_alike(spark, tmp_path):
-    split = split_table(T.model_matrix_source(spark, SF0001), COLS, 0.2, 42)
-    spec = M.ModelSpec(M.FOREST, 4, 5)
-    fitted = M.fit(split, COLS, spec)
-    again = M.load_model(M.save_model(fitted, str(tmp_path / "model")), spec, COLS)
-    assert again.score(split).exceptAll(fitted.score(split)).isEmpty()
