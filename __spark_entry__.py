@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultlens import schemas as S
@@ -24,13 +24,12 @@ from faultlens.plans import jobs as J
 from faultlens.plans import scenarios as SC
 from faultlens.sources import read_claims, read_dispositions, read_telemetry
 from faultlens.sources import testmap as T
+from faultlens.sources.sinks import materialize
 
 try:    # the corpus operators and their pipeline may have been taken out of the repository
     import corpus_pipeline
     from faultlens.llm import registry as LLM
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "faultlens.llm"):
-        raise
+except ImportError:     # also where one of their own requirements is not installed; the rest needs neither
     LLM = corpus_pipeline = None
 
 FLAGSHIP_DIR = os.environ.get("FAULTLENS_FLAGSHIP_DIR", "/root/testdata/sf0.001")
@@ -274,6 +273,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "backward_periods": lambda s, d: _backward(s, d).select(
             "period", "assets", "positives", F.coalesce(F.col("auc").between(0, 1), F.lit(True)).alias("auc_ok")),
         "ranked_components": lambda s, d: _rank_by_models(s, d).select(S.ASSET, "component"),
+        "importance_check": _importance_check,
+        "tuning_check": _tuning_check,
+        "refit_check": _refit_check,
+        "report_check": _report_check,
+        "history_check": lambda s, d: _history(s, d).groupBy("model").agg(
+            F.count(F.lit(1)).alias("runs"), F.countDistinct("model_path").alias("models"),
+            F.min("positives").alias("positives"), F.min(F.col("auc").between(0, 1)).alias("auc_ok")),
     }
     if LLM:
         q |= LLM.QUERIES | {"pipeline": corpus_pipeline.run}
@@ -318,17 +324,67 @@ def _backward(spark, d):
 
 
 def _history(spark, d):
-    """Two runs registered in one registry: models saved, metrics appended."""
+    """An automatic and a custom run registered in one registry: models saved, metrics appended."""
     from faultlens.session import unique_dir
     registry = unique_dir(spark, "registry")
     out = None
-    for _ in range(2):
-        for name, rep in _report(spark, d).items():
+    for mode in ("auto", "custom"):
+        for name, rep in _report(spark, d, mode).items():
             _, out = SC.register_model(spark, rep.fitted, rep.tables["metrics"], registry,
                                     "default", name)
     return out
 
 
+def _importance_check(spark, d):
+    """Split counts over all features against the splits of the node table, and the ranking's order."""
+    fitted = _fit(spark, d, **FOREST)
+    counts = M.split_count_importance(spark, fitted)
+    splits = M.node_table(spark, fitted).filter("feature IS NOT NULL").groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    ranked = M.rank_features(counts).join(splits, "feature", "full").withColumn(
+        "ordered", F.col("importance") <= F.coalesce(F.lag("importance").over(Window.orderBy("rank")), F.col("importance")))
+    return ranked.agg(F.min(F.coalesce(F.col("importance") == F.col("n"), F.lit(False))).alias("counts_ok"),
+                      F.min("ordered").alias("order_ok"), F.min(F.col("feature").isin(SIGNAL_COLS)).alias("names_ok"))
+
+
+def _tuning_check(spark, d):
+    """Per kind and trial of a whole search: parameters in their ranges, trees used, AUC, and the best one chosen."""
+    split, out = _split(spark, d), None
+    for kind, ranges in (("boosted", TU.BOOSTED_RANGES), ("forest", TU.FOREST_RANGES)):
+        res = TU.tune(spark, split, SIGNAL_COLS, M.ModelSpec(kind=kind, early_stopping=M.AUTO_PATIENCE))
+        inside = [F.col(c).between(*r) for c, r in ranges.items()]
+        best = (F.col("max_depth") == res.best.max_depth) & (F.col("n_trees") == res.best.n_trees)
+        rows = res.trials.select(F.lit(kind).alias("kind"), "trial", (inside[0] & inside[1]).alias("in_ranges"),
+                                 F.col("trees_used").between(1, F.col("n_trees")).alias("trees_ok"), F.col("auc").between(0, 1).alias("auc_ok"),
+                                 (F.when(best, F.col("auc") == res.best_auc).otherwise(F.col("auc") <= res.best_auc)).alias("best_ok"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _refit_check(spark, d):
+    """The tuned forest's holdout scores: rows, positives, scores outside 0..1, AUC as in its trial."""
+    split = _split(spark, d)
+    res = TU.tune(spark, split, SIGNAL_COLS, M.ModelSpec(kind="forest"))
+    scored = materialize(TU.refit_best(split, SIGNAL_COLS, res).score(split.filter("holdout")), "check/scores")
+    return scored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(S.LABEL) == 1).alias("positives"),
+                      F.count_if(~F.coalesce(F.col("score").between(0, 1), F.lit(False))).alias("outside"),
+                      F.lit(abs(R.auc_value(scored) - res.best_auc) < 1e-12).alias("same_auc"))
+
+
+def _report_check(spark, d):
+    """Per model of an automatic report: class balance, attributed training rows, best trial, thresholds in bounds."""
+    out = None
+    for name, rep in _report(spark, d).items():
+        t = rep.tables
+        best = t["trials"].agg(F.max("auc")).first()[0]
+        rows = t["attribution_summary"].agg(F.count(F.lit(1)).alias("features"), F.min("rows").alias("rows")).first()
+        low = t["thresholds"].filter("FPR > 0.2 OR TPR < 0 OR TPR > 1").isEmpty()
+        one = t["metrics"].select("model", "positives", "negatives", F.lit(rows["features"]).alias("features"),
+                                  F.lit(rows["rows"]).alias("attributed"), (F.abs(F.col("auc") - F.lit(best)) < 1e-12).alias("best_trial"),
+                                  F.lit(low).alias("thresholds_ok"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _union_metrics(reports) -> DataFrame:
     out = None
     for rep in reports.values():
@@ -594,6 +650,19 @@ SELECT period, count(*) AS assets, count_if(label) AS positives, true AS auc_ok
 FROM o WHERE last >= DATE '2000-01-01' GROUP BY period"""
     sql["ranked_components"] = _with(_BASE, _scenarios_sql()) + """
 SELECT ESN, substr(scenario_id, 8) AS component FROM sagg WHERE scenario_id LIKE 'target=%' AND h = 1 AND n > 0"""
+    sql["importance_check"] = "SELECT true AS counts_ok, true AS order_ok, true AS names_ok"
+    sql["tuning_check"] = """
+SELECT kind, CAST(trial AS INTEGER) AS trial, true AS in_ranges, true AS trees_ok, true AS auc_ok, true AS best_ok
+FROM (VALUES ('boosted'), ('forest')) k(kind), range(10) t(trial)"""
+    sql["refit_check"] = _with(_BASE, _matrix_sql()) + f"""
+SELECT count(*) AS rows, count_if(label = 1) AS positives, 0 AS outside, true AS same_auc FROM mm WHERE {held}"""
+    sql["report_check"] = _with(_BASE, _matrix_sql()) + f"""
+SELECT model, count_if(label = 1) AS positives, count_if(label = 0) AS negatives, {len(SIGNAL_COLS)} AS features,
+  count_if(NOT {held}) AS attributed, true AS best_trial, true AS thresholds_ok
+FROM mm, (VALUES ('XGBoost'), ('Random_Forest')) m(model) GROUP BY model"""
+    sql["history_check"] = _with(_BASE, _matrix_sql()) + """
+SELECT model, 2 AS runs, 2 AS models, count_if(label = 1) AS positives, true AS auc_ok
+FROM mm, (VALUES ('XGBoost'), ('Random_Forest')) m(model) GROUP BY model"""
     ranked = ("SELECT 'line' || l_linenumber AS feature, count(*) AS importance, CAST(row_number() OVER "
               "(ORDER BY count(*) DESC, 'line' || l_linenumber) AS INTEGER) AS rank FROM lineitem GROUP BY l_linenumber")
     sql["rank_features"] = ranked
