@@ -6,7 +6,8 @@ connected components (computed over the whole edge table), and a component with
 allowed member is allowed, else one with a blocked member is blocked.  A URL's own rule always
 stands, so an explicit allow is never undone by a block that an alias carries.
 
-Two URLs are the same node if host and path agree (scheme, query and fragment are ignored).
+Two URLs are the same node if host and path agree, the path without ``.`` and ``..`` segments
+(scheme, query and fragment are ignored).
 """
 
 from __future__ import annotations
@@ -62,28 +63,54 @@ def rule_and_verdict(rules: tuple[Rule, ...], host: Column, path: Column) -> tup
     return text, verdict
 
 
-def _absolute(link: Column, host: Column, path: Column) -> Column:
-    """A link as found on a page, with the page's host and folder where it lacks them."""
+def _plain(path: Column) -> Column:
+    """The path without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc)
+                       .when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
+                       .otherwise(F.array_append(acc, x)))
+    last = F.element_at(parts, -1)
+    return F.when(path.contains("/."), F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))) \
+        .otherwise(path)
+
+
+def _resolved(link: Column, url: Column) -> Column:
+    """A page's link as an absolute URL; null if it leads nowhere else (another scheme, or the page itself)."""
+    host, path = host_of(url), path_of(url)
     folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
-    return (F.when(link.contains("://"), link)
+    return (F.when(link.rlike(r"(?i)^https?://"), link)
+            .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
             .when(link.startswith("//"), F.concat(F.lit("x:"), link))
             .when(link.startswith("/"), F.concat(F.lit("x://"), host, link))
+            .when(link.rlike("^[?#]") | (link == ""), F.lit(None))
             .otherwise(F.concat(F.lit("x://"), host, F.when(folder == "", F.lit("/")).otherwise(folder), link)))
 
 
+# What holds no markup: comments, scripts, styles and texts.
+_HIDDEN = r"(?is)<!--.*?(?:-->|$)|<(script|style|title|textarea|xmp|template)\b.*?(?:</\1\s*>|$)"
+_TAG = r"(?is)<(?:link|meta)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's attribute, trimmed, with its ampersands decoded; empty if it has none."""
+    raw = F.regexp_extract(tag, rf"(?is)^<\w+(?:[^>\"'=]++=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']++)|[^>\"'=\s]++(?=[\s>/])|[\s/])*?"
+                                r"[\s/\"']" + name + r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
+    value = F.regexp_replace(raw, r"(?s)^[\"'](.*)[\"']$", "$1")
+    return F.trim(F.regexp_replace(value, "(?i)&(?:amp|#38|#x26);", "&"))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst) URLs of each page's canonical links and meta refreshes."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    """(src, dst) URLs of each page's canonical links and meta refreshes; those inside comments, scripts
+    and other hidden text do not count, nor do links to the page itself or by other schemes than http and https."""
+    shown = pages.where(F.col("html").rlike(r"(?i)canonical|refresh") & F.col("url").contains("://")) \
+        .select("url", F.regexp_replace("html", _HIDDEN, " ").alias("shown"))
+    tags = shown.select("url", F.explode(F.regexp_extract_all("shown", F.lit(_TAG), F.lit(0))).alias("tag"))
     tag = F.col("tag")
-    canonical = F.when(tag.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?\s*canonical\b"),
-                       F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
-    refresh = F.when(tag.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"),
-                     F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
-    found = pages.where(F.col("html").rlike(r"(?i)canonical|refresh") & F.col("url").contains("://")) \
-        .select("url", F.explode(tags).alias("tag")).select("url", F.coalesce(canonical, refresh).alias("link"))
-    url = F.col("url")
-    return found.where("link <> ''").select(
-        url.alias("src"), _absolute(F.replace("link", F.lit("&amp;"), F.lit("&")), host_of(url), path_of(url)).alias("dst"))
+    rel = F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+    refresh = F.lower(_attribute(tag, "http-equiv")) == "refresh"
+    target = F.trim(F.regexp_extract(_attribute(tag, "content"), r"(?is)^[\s\d.]*[;,]\s*url\s*=\s*[\"']?([^\"']*)", 1))
+    link = F.when(tag.rlike("(?i)^<link") & rel, _attribute(tag, "href")).when(tag.rlike("(?i)^<meta") & refresh, target)
+    return tags.select(F.col("url").alias("src"), _resolved(link, F.col("url")).alias("dst")).where("dst is not null")
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -98,7 +125,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
     edges = page_links(pages)
     if redirects is not None:
         edges = edges.unionByName(redirects.select("src", "dst").where("src is not null and dst is not null"))
-    node = lambda c: F.concat(host_of(F.col(c)), path_of(F.col(c)))
+    node = lambda c: F.concat(host_of(F.col(c)), _plain(path_of(F.col(c))))
     labels, label_path = connected_components(
         edges.select(node("src").alias("a"), node("dst").alias("b")).where("a <> '' and b <> ''"))
     # A node's host ends at its first slash.
@@ -112,7 +139,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
     discard(spark, label_path, fate_path)
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     text, verdict = rule_and_verdict(rules, F.col("host"), F.col("path"))
-    judged = judged.withColumn("rule", text).withColumn("own", verdict).withColumn("node", F.concat("host", "path"))
+    judged = judged.withColumn("rule", text).withColumn("own", verdict).withColumn("node", F.concat("host", _plain(F.col("path"))))
     return judged.join(by_node, "node", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("own", "fate", F.lit("allow")).alias("verdict"), "component")
 
@@ -122,14 +149,23 @@ def allowed(pages: DataFrame, **options) -> DataFrame:
     return judge(pages, **options).where("verdict = 'allow'").select("page_id")
 
 
-# The same in SQL, for tables whose pages carry no redirects or canonical links to follow beyond
-# one component walk; edges are found with the same patterns.
-def oracle(rules: tuple[Rule, ...] = RULES) -> str:
+def oracle(rules: tuple[Rule, ...] = RULES, edges: str | None = None) -> str:
+    """The same in SQL.  ``edges`` is a query of (src, dst) URLs; the default is that no page has any (the
+    given tables hold no canonical links and no refreshes)."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    low = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
-    parts = r"'^(?s:.*?)://([^/?#]*)([^?#]*)'"
-    host = lambda c: f"coalesce({low(f'regexp_extract({c}, {parts}, 1)')}, '')"
-    path = lambda c: f"coalesce(regexp_extract({c}, {parts}, 2), '')"
+    # The text after the first ://, cut at its first slash, question mark or hash.
+    rest = "substr(url, instr(url, '://') + 3)"
+    known = "coalesce(instr(url, '://'), 0) > 0"
+
+    def split(c: str, table: str) -> str:
+        return f"""SELECT *, CASE WHEN {known} THEN translate(regexp_replace(r, '[/?#].*$', '', 's'), '{_UPPER}', '{_LOWER}') ELSE '' END AS host,
+          CASE WHEN {known} THEN regexp_replace(substr(r, length(regexp_replace(r, '[/?#].*$', '', 's')) + 1), '[?#].*$', '', 's') ELSE '' END AS path
+          FROM (SELECT *, {rest} AS r FROM (SELECT *, {c} AS url FROM {table}))"""
+
+    def plain(p: str) -> str:
+        return (f"(CASE WHEN contains({p}, '/.') THEN list_reduce(string_split({p}, '/'), lambda a, x: CASE x WHEN '.' THEN a "
+                f"WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END) || "
+                f"CASE WHEN regexp_matches({p}, '/\\.{{1,2}}$') THEN '/' ELSE '' END ELSE {p} END)")
 
     def case(h: str, p: str, verdict: bool) -> str:
         out = ""
@@ -139,38 +175,21 @@ def oracle(rules: tuple[Rule, ...] = RULES) -> str:
                     f"starts_with({p}, {q(r.path)}) THEN {q(value)}")
         return f"CASE{out} END"
 
+    edges = edges or "SELECT '' AS src, '' AS dst WHERE false"
     return f"""
-WITH RECURSIVE page AS (
-  SELECT page_id, url, html, {host('url')} AS host, {path('url')} AS path FROM pages),
-tag AS (
-  SELECT url, host, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag
-  FROM page WHERE contains(url, '://')),
-link AS (
-  SELECT host, path, CASE
-    WHEN regexp_matches(tag, '(?is)^<link\\b.*\\brel\\s*=\\s*["'']?\\s*canonical\\b')
-      THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?is)^<meta\\b.*\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh\\b')
-      THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1) END AS raw
-  FROM tag),
-dst AS (
-  SELECT host || path AS a, CASE
-    WHEN contains(l, '://') THEN l
-    WHEN starts_with(l, '//') THEN 'x:' || l
-    WHEN starts_with(l, '/') THEN 'x://' || host || l
-    ELSE 'x://' || host || CASE WHEN regexp_extract(path, '^(?s:(.*/))', 1) = '' THEN '/'
-                           ELSE regexp_extract(path, '^(?s:(.*/))', 1) END || l END AS target
-  FROM (SELECT host, path, replace(raw, '&amp;', '&') AS l FROM link WHERE raw <> '')),
-edge AS (SELECT a, {host('target')} || {path('target')} AS b FROM dst),
-both_ways AS (SELECT a, b FROM edge WHERE a <> '' AND b <> '' AND a <> b
-              UNION SELECT b, a FROM edge WHERE a <> '' AND b <> '' AND a <> b),
-reach AS (SELECT a AS node, a AS other FROM both_ways
-          UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
-own AS (SELECT node, other, regexp_extract(other, '^(?s:([^/]*)(.*))$', 1) AS h,
-               regexp_extract(other, '^(?s:([^/]*)(.*))$', 2) AS p FROM reach),
+WITH RECURSIVE edge_urls AS ({edges}),
+page AS ({split('page_url', '(SELECT page_id, url AS page_url FROM pages)')}),
+a AS (SELECT src, dst, host || {plain('path')} AS node FROM ({split('src', 'edge_urls')})),
+b AS (SELECT src, dst, host || {plain('path')} AS node FROM ({split('dst', 'edge_urls')})),
+pairs AS (SELECT a.node AS x, b.node AS y FROM a JOIN b ON a.src = b.src AND a.dst = b.dst WHERE a.node <> '' AND b.node <> ''),
+both_ways AS (SELECT x, y FROM pairs WHERE x <> y UNION SELECT y, x FROM pairs WHERE x <> y),
+reach AS (SELECT x AS node, x AS other FROM both_ways
+          UNION SELECT r.node, e.y FROM reach r JOIN both_ways e ON r.other = e.x),
+own AS (SELECT node, other, split_part(other, '/', 1) AS h, substr(other, length(split_part(other, '/', 1)) + 1) AS p FROM reach),
 fate AS (SELECT node, min(other) AS component,
                 CASE WHEN count(*) FILTER (WHERE v = 'allow') > 0 THEN 'allow'
                      WHEN count(*) FILTER (WHERE v = 'block') > 0 THEN 'block' ELSE 'allow' END AS fate
          FROM (SELECT node, other, {case('h', 'p', True)} AS v FROM own) GROUP BY node)
 SELECT page_id, host, path, {case('host', 'path', False)} AS rule,
        coalesce({case('host', 'path', True)}, fate, 'allow') AS verdict, component
-FROM page LEFT JOIN fate ON host || path = node"""
+FROM page LEFT JOIN fate ON host || {plain('path')} = node"""
