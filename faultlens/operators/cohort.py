@@ -17,8 +17,7 @@ from faultlens import schemas as S
 from faultlens.functions import fault_code_match, group_match
 
 # A claims side above this many rows, or above this many bytes of data, is not
-# broadcast to the telemetry scan; the join then shuffles both sides (AQE splits
-# skewed asset keys).
+# broadcast to the telemetry scan; the join then shuffles both sides by asset and day.
 DEFAULT_BROADCAST_ROWS = 2_000_000
 DEFAULT_BROADCAST_BYTES = 256 << 20
 
@@ -170,22 +169,65 @@ def telemetry_window_join(claims: DataFrame, telemetry: DataFrame, window_days:
 
     Window test (kept exactly): ``failure >= occurrence`` and
     ``datediff(failure, occurrence) <= window_days`` (calendar days).
-
-    Plan: one equi-join on the asset with the window as residual predicate.
-    The claim side is broadcast only when its measured row count is at most
-    ``broadcast_rows`` and its measured data size at most
-    ``DEFAULT_BROADCAST_BYTES`` (a proven bound), so the telemetry side is
-    never shuffled; above that both sides shuffle on the asset and AQE
-    handles skew.
     """
     stats = stats or claim_stats(claims)
     tel = telemetry.filter(_time_bounds(telemetry, stats, window_days))
-    side = claims
-    if stats.broadcastable(broadcast_rows):
-        side = F.broadcast(claims)
+    return window_join(claims, tel, F.lit(window_days), window_days, stats, broadcast_rows)
+
+
+def window_join(claims: DataFrame, tel: DataFrame, window, most: int, stats: ClaimStats,
+                broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``window`` is the claim's window in days (a column), at most ``most``.
+
+    The claim side is broadcast only when its measured row count is at most ``broadcast_rows`` and its
+    measured data size at most ``DEFAULT_BROADCAST_BYTES`` (a proven bound); the telemetry is then never
+    shuffled and the window is a residual predicate of the equi-join on the asset.
+
+    Above that it is a range join by buckets of days: a claim is spread over the buckets of its window, readings
+    outside any of these are dropped by a Bloom filter of (asset, bucket) before they are shuffled, and both
+    sides meet on (asset, bucket), so a hot asset is split by time (and a hot bucket by AQE).
+    """
     fail, occ = F.col(S.FAILURE_DATE), F.col(S.OCCURRENCE)
-    return (side.join(tel, on=S.ASSET, how="inner")
-                .filter((fail >= occ) & (F.datediff(fail, occ) <= F.lit(window_days))))
+    inside = (fail >= occ) & (F.datediff(fail, occ) <= window)
+    if stats.broadcastable(broadcast_rows):
+        return F.broadcast(claims).join(tel, on=S.ASSET, how="inner").filter(inside)
+    width = max(1, (most + 1) // BUCKETS_PER_WINDOW)
+    bucket = lambda day: F.floor(F.unix_date(day) / width).cast("int")      # noqa: E731
+    day = F.to_date(fail)
+    side = claims.withColumn("_bucket", F.explode(F.sequence(bucket(F.date_sub(day, window)), bucket(day))))
+    tel = tel.withColumn("_bucket", bucket(F.to_date(occ)))
+    if claims.schema[S.ASSET].dataType == tel.schema[S.ASSET].dataType:      # else equal keys may hash apart
+        tel = bloom_filtered(tel, side, [S.ASSET, "_bucket"], stats.rows * (BUCKETS_PER_WINDOW + 2))
+    return side.join(tel, on=[S.ASSET, "_bucket"], how="inner").filter(inside).drop("_bucket")
+
+
+# Buckets of days that a claim's window is cut into, about.
+BUCKETS_PER_WINDOW = 8
+# Bloom filter: bits per key, bits set per key, and words of 64 bits at most (they are broadcast).
+BLOOM_BITS, BLOOM_HASHES, BLOOM_WORDS = 16, 5, 1 << 21
+
+
+def bloom_filtered(rows: DataFrame, keys: DataFrame, columns: list[str], n_keys: int) -> DataFrame:
+    """``rows`` without most of those whose ``columns`` equal none of ``keys`` (all that do stay).
+
+    A blocked Bloom filter as a table: a key sets its bits in one 64-bit word; words are OR-ed by a
+    partial aggregate and broadcast, at most ``BLOOM_WORDS`` rows whatever the number of keys (beyond
+    ``n_keys`` x ``BLOOM_BITS`` bits it drops less).  Everything stays in the JVM.
+    """
+    words = min(BLOOM_WORDS, max(1, -(-n_keys * BLOOM_BITS // 64)))
+
+    def probe(df: DataFrame) -> DataFrame:
+        h = F.xxhash64(*columns)
+        bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 6 * i), F.lit(64)).cast("int"))
+                for i in range(1, BLOOM_HASHES + 1)]
+        mask = bits[0]
+        for x in bits[1:]:
+            mask = mask.bitwiseOR(x)
+        return df.withColumn("_word", F.pmod(F.shiftrightunsigned(h, 36), F.lit(words))).withColumn("_mask", mask)
+
+    table = probe(keys.select(*columns)).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    hit = probe(rows).join(F.broadcast(table), "_word")
+    return hit.filter(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask")).select(*rows.columns)
 
 
 def asset_key_set(rows: DataFrame, codes) -> DataFrame:

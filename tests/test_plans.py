@@ -96,6 +96,35 @@ def test_shuffle_join_path_equals_broadcast_path(spark):
     assert sorted(ft) == sorted(J.feature_table_from_sources(cl, dp, tel, sc).collect())
 
 
+def test_range_join_by_days(spark):
+    """Above the broadcast bound: days and a Bloom filter in the plan, equal rows for odd windows, types and hot assets."""
+    import datetime as dt
+    import random
+
+    from pyspark.sql import functions as F
+    rng = random.Random(4)
+    day = lambda: dt.date(2024, 1, 1) + dt.timedelta(days=rng.randint(0, 60))     # noqa: E731
+    claims = spark.createDataFrame([(i, rng.choice([7, 7, 7, i, None]), rng.choice([day(), day(), None])) for i in range(60)],
+                                   "Claim_number long, ESN long, Failure_date date")
+    rows = [(rng.choice([7, 7, rng.randint(0, 70), None]), rng.choice([dt.datetime.combine(day(), dt.time(rng.randint(0, 23), 59)),
+             dt.datetime.combine(day(), dt.time()), None])) for _ in range(3000)]
+    for asset, fail_type in (("long", "date"), ("int", "date"), ("long", "timestamp")):
+        tel = spark.createDataFrame([(None if a is None else int(a), t, "x") for a, t in rows], f"ESN {asset}, Occurrence_time timestamp, v string")
+        cl = claims.withColumn("Failure_date", F.col("Failure_date").cast(fail_type))
+        for days in (0, 7, 30, 100):
+            want = C.telemetry_window_join(cl, tel, days, 1000)
+            got = C.telemetry_window_join(cl, tel, days, None)
+            assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+            assert got.count() > 0
+            plan = _plan(got)
+            assert "_bucket" in plan and ("bit_or" in plan) == (asset == "long")
+    # The filter keeps every row that has a partner, and few others.
+    keys = spark.range(0, 5000).select((F.col("id") * 7).alias("k"))
+    probe = spark.range(0, 200_000).select(F.col("id").alias("k"))
+    left = C.bloom_filtered(probe, keys, ["k"], 5000)
+    assert keys.filter("k < 200000").exceptAll(left).isEmpty() and left.count() < 5000 + 0.02 * 200_000
+
+
 def _rounded(rows):
     return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
 
