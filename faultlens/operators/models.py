@@ -27,6 +27,7 @@ from faultlens.operators import boosting as BO
 from faultlens.operators import ensemble as EN
 from faultlens.operators import forest as FO
 from faultlens.operators import growth as G
+from faultlens.sources.sinks import read_table, write_table
 
 BOOSTED = "boosted"
 FOREST = "forest"
@@ -240,17 +241,17 @@ def save_model(fitted: FittedModel, path: str) -> str:
     overwriting an earlier version."""
     path = path.rstrip("/")
     spark = fitted.trees.sparkSession
-    fitted.trees.write.mode("overwrite").parquet(f"{path}/trees")
+    write_table(fitted.trees, f"{path}/trees")
     meta = {"spec": asdict(fitted.spec), "bins": asdict(fitted.bins), "n_trees": fitted.n_trees,
             "grown_trees": fitted.grown_trees, "aucs": fitted.aucs}
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
+    write_table(spark.createDataFrame([(json.dumps(meta),)], "meta string"), f"{path}/meta")
     return path
 
 
 def load_model(spark: SparkSession, path: str) -> FittedModel:
     path = path.rstrip("/")
-    meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
+    meta = json.loads(read_table(spark, f"{path}/meta").first()["meta"])
     b = meta["bins"]
     bins = B.Bins(tuple(b["columns"]), tuple(map(tuple, b["edges"])), b["max_bins"])
-    return FittedModel(ModelSpec(**meta["spec"]), list(bins.columns), bins, spark.read.parquet(f"{path}/trees"),
+    return FittedModel(ModelSpec(**meta["spec"]), list(bins.columns), bins, read_table(spark, f"{path}/trees"),
                        meta["n_trees"], meta["grown_trees"], meta["aucs"])

@@ -26,7 +26,7 @@ from faultlens.plans import jobs
 from faultlens.plans.training import screen_features, train_and_report
 from faultlens.session import scratch_scope
 from faultlens.sources import read_claims, read_dispositions, read_telemetry, scan_feature_table
-from faultlens.sources.sinks import write_report_tables, write_table
+from faultlens.sources.sinks import read_table, write_report_tables, write_table
 
 SCENARIO_KEYS = ("candidates", "targets", "fault_codes", "features", "platforms", "emissions",
                  "window_days", "split_ratio", "validation_ratio", "seed", "early_stopping",
@@ -51,14 +51,14 @@ def _run(args: dict, spark) -> dict:
         tel = read_telemetry(spark, args["telemetry"], sc.features, fmt)
         plan = jobs.plan_cohort(claims, disp, tel, sc)
         write_table(plan.rows, f"{out}/cohort")
-        write_table(jobs.build_feature_table(spark.read.parquet(f"{out}/cohort"), sc), f"{out}/features")
-        table = spark.read.parquet(f"{out}/features")
+        write_table(jobs.build_feature_table(read_table(spark, f"{out}/cohort"), sc), f"{out}/features")
+        table = read_table(spark, f"{out}/features")
     table = FT.check_not_empty(table, "feature table")
     chosen = list(args.get("selected_features") or [])
     if not chosen:
         _, ranking, _ = screen_features(spark, table, jobs.feature_names(sc), sc)
         write_table(ranking, f"{out}/ranking")
-        ranking = spark.read.parquet(f"{out}/ranking")
+        ranking = read_table(spark, f"{out}/ranking")
         chosen = [r.feature for r in ranking.filter(F.col("rank") <= int(args.get("top_k", 10)))
                   .orderBy("rank").collect()]
     reports = train_and_report(spark, table, chosen, sc, mode=args.get("mode", "auto"),

@@ -7,10 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
 
+# Scratch tables made in the current scope; two jobs of one session in different threads have their own.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("faultlens_scratch", default=None)
+
+
 def make_session(master: str | None = None, app: str = "faultlens",
                  shuffle_partitions: int | None = None,
                  extra: dict[str, str] | None = None) -> SparkSession:
@@ -67,7 +72,7 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
 def unique_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh sub-folder of :func:`shared_dir` (one per write)."""
     path = shared_dir(spark, *parts, uuid.uuid4().hex[:12])
-    made = getattr(spark.sparkContext, "_faultlens_scratch", None)
+    made = _SCRATCH.get()
     if made is not None:
         made.append(path)
     return path
@@ -80,14 +85,13 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     For jobs that write their results elsewhere: a lazy result of the block
     must not be read after it.
     """
-    sc = spark.sparkContext
-    outer = getattr(sc, "_faultlens_scratch", None)
-    made = sc._faultlens_scratch = []
+    made: list[str] = []
+    token = _SCRATCH.set(made)
     try:
         yield
     finally:
-        sc._faultlens_scratch = outer
-        conf = sc._jsc.hadoopConfiguration()
+        _SCRATCH.reset(token)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
         for p in made:
             path = spark._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)

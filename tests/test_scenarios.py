@@ -64,6 +64,29 @@ def test_component_scores_rank_every_asset(spark):
     assert ranked.filter((F.col("score") < 0) | (F.col("score") > 1)).isEmpty()
 
 
+def test_models_of_all_scenarios_take_the_jobs_of_one(spark):
+    """Joint growth: no more Spark jobs for eight scenarios than for two, and each model is its own scenario's."""
+    from test_models import jobs_of
+    base = T.model_matrix_source(spark, SF001)
+    cols = ["l_discount_max", "l_tax_max"]
+    rows = base.filter("ESN % 8 = 0").select("ESN", "label", *cols)
+
+    def scores(n):
+        multi = None
+        for i in range(n):
+            one = rows.withColumn("scenario_id", F.lit(f"s{i}")).withColumn("label", (F.col("label") + i) % 2)
+            multi = one if multi is None else multi.unionByName(one)
+        comps = {f"s{i}": f"c{i}" for i in range(n)} | {"none": "never"}
+        got, unknown = SC.component_scores(spark, multi, cols, comps, M.ModelSpec(M.FOREST, 3, 4))
+        return {(r["ESN"], r["component"]): r["score"] for r in got.collect()}, unknown
+
+    (few, jobs_few), (many, jobs_many) = jobs_of(spark, lambda: scores(2)), jobs_of(spark, lambda: scores(8))
+    assert jobs_many <= jobs_few + 3
+    assert len(few[0]) == 2 * rows.count() and len(many[0]) == 8 * rows.count() and many[1] == ["none"]
+    for (asset, comp), s in many[0].items():      # labels are turned in every second scenario
+        assert abs(s - (many[0][asset, "c0"] if int(comp[1:]) % 2 == 0 else 1 - many[0][asset, "c0"])) < 1e-9
+
+
 def test_multi_scenario_all_grouped_uses_union_prefilter(spark):
     cl, dp, tel = T.claims(spark, SF001), T.dispositions(spark, SF001), T.telemetry(spark, SF001)
     scs = [T.scenario(platforms=("P0",), emissions=("E0",), scenario_id="a"),
