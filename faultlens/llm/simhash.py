@@ -30,8 +30,10 @@ from faultlens.llm.components import connected_components
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
-SAMPLE = 65_536             # classes that shape the routing tree; bounds what the driver holds
-SHARD_ROWS = 4_096          # home classes a shard aims at
+SAMPLE = 262_144            # classes that shape the routing tree; bounds what the driver holds
+SHARD_ROWS = 32_768         # home classes a shard holds at most, about
+MIN_SAMPLE_LEAF = 16        # but at least so many of the sample
+HOT_ROWS, MAX_HOT = 1_000, 10_000   # rows from which a fingerprint is joined by broadcast; fingerprints that can be so large
 LEAF_ROWS = 64
 PENDING = 1 << 21           # links kept in memory before they are merged
 
@@ -73,43 +75,66 @@ def _distance(f: np.ndarray, v: np.uint64) -> np.ndarray:
 
 
 class Router:
-    """Vantage-point tree over a sample; its leaves number the shards."""
+    """Vantage-point tree over a sample; its leaves number the shards.
 
-    def __init__(self, sample: np.ndarray, depth: int):
+    A node's radius is the one with the fewest sample rows within reach of it, among those that leave at
+    least a quarter on each side.  A side is split on until it holds at most ``leaf_rows`` of the sample.
+    """
+
+    def __init__(self, sample: np.ndarray, leaf_rows: float, reach: int = MAX_BITS):
         self.nodes: list[tuple[int, int, int, int]] = []    # vantage, radius, inside, outside; a leaf is ~number
-        self.leaves = 0
-        self.root = self._grow(np.unique(sample), depth, np.random.default_rng(11))
+        self.leaves, self.reach = 0, reach
+        self.root = self._grow(np.unique(sample), max(MIN_SAMPLE_LEAF, leaf_rows), np.random.default_rng(11))
 
-    def _grow(self, f: np.ndarray, depth: int, rng: np.random.Generator) -> int:
-        if depth > 0 and len(f) >= 16:
+    def _grow(self, f: np.ndarray, leaf_rows: float, rng: np.random.Generator) -> int:
+        if len(f) > leaf_rows:
             v = f[rng.integers(len(f))]
             d = _distance(f, v)
-            radius = min(int(np.median(d)), int(d.max()) - 1)   # the vantage itself is inside, the farthest outside
+            radius = self._radius(d)
             at = len(self.nodes)
             self.nodes.append((0, 0, 0, 0))
-            self.nodes[at] = (int(v), radius, self._grow(f[d <= radius], depth - 1, rng),
-                              self._grow(f[d > radius], depth - 1, rng))
+            self.nodes[at] = (int(v), radius, self._grow(f[d <= radius], leaf_rows, rng),
+                              self._grow(f[d > radius], leaf_rows, rng))
             return at
         self.leaves += 1
         return ~(self.leaves - 1)
 
-    def route(self, f: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of every leaf that holds something within ``reach`` of a row (0: the home leaf)."""
-        rows, leaves, stack = [], [], [(self.root, np.arange(len(f)))]
+    def _radius(self, d: np.ndarray) -> int:
+        """The vantage itself is inside, the farthest outside."""
+        low, mid, high = (int(x) for x in np.quantile(d, [0.25, 0.5, 0.75]))
+        count = np.bincount(d, minlength=65 + self.reach)
+        below = np.cumsum(count)
+        span = range(max(low, 0), min(high, int(d.max()) - 1) + 1)
+        near = {r: int(below[r + self.reach] - (below[r - self.reach] if r >= self.reach else 0)) for r in span}
+        return min(near, key=lambda r: (near[r], abs(r - mid))) if near else int(d.max()) - 1
+
+    def route(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, home): each row's home leaf, and leaves to which it goes as a query.
+
+        Of two rows within reach that part at a node, the inner one goes outside as a query, and
+        follows there wherever the other may be; the outer one stays, so each pair meets once.
+        """
+        rows, leaves, homes = [], [], []
+        stack = [(self.root, np.arange(len(f)), True)]
         while stack:
-            at, part = stack.pop()
+            at, part, home = stack.pop()
+            if not len(part):
+                continue
             if at < 0:
                 rows.append(part)
                 leaves.append(np.full(len(part), ~at, dtype=np.int32))
+                homes.append(np.full(len(part), home))
                 continue
             v, radius, inside, outside = self.nodes[at]
             d = _distance(f[part], np.uint64(v))
-            for node, sub in ((inside, part[d - reach <= radius]), (outside, part[d + reach > radius])):
-                if len(sub):
-                    stack.append((node, sub))
+            if home:
+                stack += [(inside, part[d <= radius], True), (outside, part[d > radius], True),
+                          (outside, part[(d <= radius) & (d + self.reach > radius)], False)]
+            else:
+                stack += [(inside, part[d - self.reach <= radius], False), (outside, part[d + self.reach > radius], False)]
         if not rows:
-            return np.empty(0, np.int64), np.empty(0, np.int32)
-        return np.concatenate(rows), np.concatenate(leaves)
+            return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
+        return np.concatenate(rows), np.concatenate(leaves), np.concatenate(homes)
 
 
 class Forest:
@@ -192,23 +217,20 @@ def link_classes(classes: DataFrame, max_bits: int = MAX_BITS, shard_rows: int =
     connected components are those of all pairs within ``max_bits``."""
     spark = session(classes)
     n = classes.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_rows))))
     draw = F.pmod(F.xxhash64(F.lit("simhash"), "fp"), F.lit(1 << 30))
     share = min(1.0, sample / max(1, n))
     some = classes.where(draw < F.lit(int(share * (1 << 30)))).select("fp").limit(2 * sample)
-    router = Router(np.array([r[0] for r in some.collect()], dtype=np.int64).view(np.uint64), depth)
+    drawn = np.array([r[0] for r in some.collect()], dtype=np.int64).view(np.uint64)
+    router = Router(drawn, shard_rows * len(drawn) / max(1, n), max_bits)
     shared = spark.sparkContext.broadcast(router)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value
         for batch in batches:
             f = batch.column(0).to_numpy().view(np.uint64)
-            home = np.empty(len(f), dtype=np.int32)
-            row, leaf = r.route(f, 0)
-            home[row] = leaf
-            row, leaf = r.route(f, max_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(f[row].view(np.int64)),
-                                              pa.array(home[row] == leaf)], names=["leaf", "fp", "home"])
+            row, leaf, home = r.route(f)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(f[row].view(np.int64)), pa.array(home)],
+                                             names=["leaf", "fp", "home"])
 
     return (classes.select("fp").mapInArrow(spread, "leaf int, fp long, home boolean")
             .groupBy("leaf").applyInPandas(_shard_links(max_bits), "a long, b long"))
@@ -225,16 +247,24 @@ def group_near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bit
     """
     spark = session(docs)
     marked, _ = stored(fingerprints(docs.drop("component_id"), shingle), "simhash_docs")
-    classes, class_path = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash_classes")
+    classes, class_path = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")),
+                                 "simhash_classes")
     groups, group_path = connected_components(link_classes(classes, max_bits))
     named = classes.join(groups, classes["fp"] == groups["node"], "left") \
-        .select("fp", "least", F.coalesce("component", "fp").alias("component"))
+        .select("fp", "least", "copies", F.coalesce("component", "fp").alias("component"))
     named, named_path = stored(named, "simhash_named")
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     lowest, lowest_path = stored(lowest, "simhash_lowest")
-    table, _ = stored(named.join(lowest, "component").select("fp", "component_id"), "simhash_table")
+    table, _ = stored(named.join(lowest, "component").select("fp", "component_id", "copies"), "simhash_table")
     discard(spark, class_path, group_path, named_path, lowest_path)
-    return marked.join(table, "fp")
+    # Fingerprints of many copies, at most MAX_HOT by their least number, meet their rows without a shuffle.
+    total = table.agg(F.sum("copies")).first()[0] or 0
+    many = F.col("copies") > max(HOT_ROWS, total // MAX_HOT)
+    hot = F.broadcast(table.where(many).drop("copies"))
+    rest = marked.join(F.broadcast(table.where(many).select("fp")), "fp", "left_anti")
+    columns = [*marked.columns, "component_id"]
+    return marked.join(hot, "fp").select(columns).unionByName(
+        rest.join(table.where(~many).drop("copies"), "fp").select(columns))
 
 
 def one_per_group(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:

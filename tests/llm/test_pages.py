@@ -47,6 +47,49 @@ def test_connected_components(shared):
     assert components.connected_components(shared.createDataFrame([], "a long, b long"))[0].count() == 0
 
 
+def _turns(names, size):
+    """Slot -> shard by taking turns: each shard has its whole preference list written out."""
+    lists = []
+    for name in names:
+        d = hashlib.sha256(name.encode()).digest()
+        first, skip = int.from_bytes(d[:8], "little") % size, int.from_bytes(d[8:16], "little") % (size - 1) + 1
+        lists.append([(first + j * skip) % size for j in range(size)])
+        assert len(set(lists[-1])) == size
+    owner = {}
+    while len(owner) < size:
+        for i, wanted in enumerate(lists):
+            free = next((s for s in wanted if s not in owner), None)
+            if free is not None:
+                owner[free] = i
+    return [owner[s] for s in range(size)]
+
+
+def test_sharding_equals_taking_turns(shared):
+    for n, size in ((1, 2), (5, 5), (7, 101), (12, 211)):
+        names = [f"n{i}" for i in range(n)]
+        assert sharding.lookup_table(names, size).tolist() == _turns(names, size)
+    docs = [(1, "a"), (None, "é"), (2, None), (1, "again"), (-5, "")]
+    rows = sharding.place(shared.createDataFrame(docs, "doc_id long, text string"), "doc_id", [f"n{i}" for i in range(7)], 101).collect()
+    table = _turns([f"n{i}" for i in range(7)], 101)
+    for r in rows:
+        text = "" if r["doc_id"] is None else str(r["doc_id"])
+        slot = int(hashlib.md5(text.encode()).hexdigest()[:15], 16) % 101
+        assert (r["slot"], r["shard"]) == (slot, table[slot])
+    assert len(rows) == len(docs)
+
+
+def test_sharding_query_over_the_whole_table(shared):
+    from faultlens.llm import registry
+    path = "/root/testdata/sf0.001"
+    owner = sharding.lookup_table([f"shard-{i:05d}" for i in range(sharding.N_SHARDS)])
+    texts = {r["doc_id"]: r["text"] for r in shared.read.parquet(f"{path}/documents.parquet").collect()}
+    got = registry.QUERIES["op3_sharding"](shared, path).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        slot = int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE
+        assert (r["slot"], r["shard"], r["n_bytes"]) == (slot, owner[slot], len((texts[r["doc_id"]] or "").encode()))
+
+
 def test_url_rules_and_aliases(shared):
     link = '<link href="{}" rel=canonical>'
     rows = [(1, "http://a.net/x", link.format("https://Example.org/es/1")), (2, "http://b.net/y?q", '<meta http-equiv="refresh" content="0; url=/z">'),

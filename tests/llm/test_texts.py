@@ -191,12 +191,70 @@ def test_vantage_point_search_finds_every_pair():
     for _ in range(8):
         label = np.array([label[near[i]].min() for i in range(len(f))])
     assert (simhash.link(f, np.arange(len(f)), np.arange(len(f)), 2) == label).all()
-    router = simhash.Router(f, 5)
-    home = np.empty(len(f), dtype=int)
-    row, leaf = router.route(f, 0)
-    home[row] = leaf
-    reached = set(zip(*(x.tolist() for x in router.route(f, 2)), strict=True))
-    assert all((a, home[b]) in reached for a, b in zip(*np.nonzero(near), strict=True))
+    router = simhash.Router(f, 40)
+    row, leaf, home = router.route(f)
+    assert router.leaves > 8 and sorted(row[home].tolist()) == list(range(len(f)))
+    at = dict(zip(row[home].tolist(), leaf[home].tolist(), strict=True))
+    reached = set(zip(row.tolist(), leaf.tolist(), strict=True))
+    # Of every pair one is at the other's home.
+    assert all((a, at[b]) in reached or (b, at[a]) in reached for a, b in zip(*np.nonzero(near), strict=True))
+
+
+def test_routing_sends_few_copies():
+    """Random fingerprints, the worst case for boundaries: below four rows a class at a million classes."""
+    f = np.random.default_rng(1).integers(0, 2 ** 63, 1_000_000, dtype=np.uint64) * np.uint64(2)
+    sample = f[:simhash.SAMPLE]
+    router = simhash.Router(sample, simhash.SHARD_ROWS * len(sample) / len(f), 2)
+    row, leaf, home = router.route(f[::50])
+    sizes = np.bincount(leaf[home], minlength=router.leaves) * 50
+    assert len(row) < 4 * len(f[::50]) and sizes.max() < 2 * simhash.SHARD_ROWS and router.leaves > 40
+
+
+def test_fingerprints_of_many_copies_are_joined_apart(shared, monkeypatch):
+    texts = [f"some text number {i % 7} of the copies" for i in range(60)] + ["one more that is like no other text here"] + [None] * 5
+    docs = frame(shared, [(i if i % 9 else None, t) for i, t in enumerate(texts)])
+    key = lambda r: tuple(map(str, r))      # noqa: E731
+    want = sorted(simhash.group_near_duplicates(docs).collect(), key=key)
+    monkeypatch.setattr(simhash, "HOT_ROWS", 5)
+    monkeypatch.setattr(simhash, "MAX_HOT", 3)
+    assert sorted(simhash.group_near_duplicates(docs).collect(), key=key) == want and len(want) == len(texts)
+
+
+def test_leader_weights_equal_a_plain_loop():
+    """Follow-the-regularised-leader, coordinate by coordinate in plain Python."""
+    rng = np.random.default_rng(4)
+    rows, labels, buckets, langs = [], [], 12, 3
+    for i in range(30):
+        at = np.sort(rng.choice(buckets, 4, replace=False))
+        x = rng.random(4)
+        rows.append((at, x / np.linalg.norm(x)))
+        labels.append(i % langs)
+    got, bias = langid.fit_ftrl(rows, np.array(labels), buckets, langs)
+    z = [[0.0] * langs for _ in range(buckets + 1)]
+    n = [[0.0] * langs for _ in range(buckets + 1)]
+
+    def weight(j, k):
+        l1 = 0.0 if j == buckets else langid.L1 * len(rows)
+        if abs(z[j][k]) <= l1:
+            return 0.0
+        step = (langid.BETA + n[j][k] ** 0.5) / langid.ALPHA + langid.L2 * len(rows)
+        return -(z[j][k] - (l1 if z[j][k] > 0 else -l1)) / step
+
+    order = np.random.default_rng(7)
+    for _ in range(langid.EPOCHS):
+        for i in order.permutation(len(rows)):
+            terms = [*zip(rows[i][0].tolist(), rows[i][1].tolist()), (buckets, 1.0)]
+            w = {(j, k): weight(j, k) for j, _ in terms for k in range(langs)}
+            scores = [sum(x * w[j, k] for j, x in terms) for k in range(langs)]
+            e = [np.exp(s - max(scores)) for s in scores]
+            p = [v / sum(e) for v in e]
+            for k in range(langs):
+                for j, x in terms:
+                    g = x * (p[k] - (k == labels[i]))
+                    z[j][k] += g - ((n[j][k] + g * g) ** 0.5 - n[j][k] ** 0.5) / langid.ALPHA * w[j, k]
+                    n[j][k] += g * g
+    want = np.array([[weight(j, k) for k in range(langs)] for j in range(buckets + 1)])
+    assert np.allclose(got, want[:-1], atol=1e-6) and np.allclose(bias, want[-1]) and (want[:-1] == 0).any()
 
 
 def test_language_held_out_accuracy_and_odd_rows(shared):
