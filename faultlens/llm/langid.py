@@ -27,11 +27,15 @@ SAMPLE_PER_LANG = 400       # documented bound: expected training texts per lang
 MAX_LANGS = 1_000           # bounds the model's size: BUCKETS x MAX_LANGS weights
 UNDETERMINED = "und"
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 2e-3, 1e-3
-NEAR_CHANCE = 1.1           # a document is rejected if its best language is below this times an even share
+NEAR_CHANCE = 1.1           # a document is rejected if its best language is below this times an even share ...
+SEEN_SHARE = 0.002          # ... or if too few n-grams of its letters are in buckets that this share of the training documents have:
+LEAST_EVIDENCE = 0.9        # less than this share of them,
+EVIDENCE_SLACK = 1.5        # with so many standard errors (one over the root of their number) to spare, so short texts stay
 CHUNK_CHARS = 1 << 18       # long texts are counted in pieces of this size, so memory stays flat
 _TRAIN = "bucket int, df long, doc_id long, lang string, part int, at binary, x binary"
 _TRAIN_NAMES = [c.split()[0] for c in _TRAIN.split(", ")]
 _LETTER = regex.compile(r"\p{L}")
+_NO_LETTERS = regex.compile(r"[^\p{L}\p{M}']+")
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
 
@@ -69,6 +73,7 @@ class Model:
     weights: np.ndarray     # float32[buckets, langs]
     bias: np.ndarray        # float64[langs]
     temperature: float
+    seen: np.ndarray | None = None      # bool[buckets]: buckets that enough training documents have
 
     def features(self, counts: np.ndarray) -> np.ndarray:
         x = counts * self.idf
@@ -86,6 +91,14 @@ class Model:
         best = int(np.argmax(p))
         return self.langs[best], float(p[best])
 
+    def evidence(self, text: str | None) -> float:
+        """Share of the n-grams of the text's letters that training has seen, and the slack that their number allows."""
+        if self.seen is None or not has_letter(text):
+            return 0.0
+        counts = gram_counts(" " + _NO_LETTERS.sub(" ", text).strip() + " ", len(self.idf))
+        n = float(counts.sum())
+        return float(counts[self.seen].sum()) / n + EVIDENCE_SLACK / n ** 0.5
+
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
@@ -201,17 +214,18 @@ def train(docs: DataFrame, buckets: int = BUCKETS, sample_per_lang: int = SAMPLE
     out = (rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "part", "sampled")
            .mapInArrow(tidy(run), _TRAIN)
            .groupBy("bucket", "doc_id", "lang", "part", "at", "x").agg(F.sum("df").alias("df")).collect())
-    idf, n_docs = np.zeros(buckets, dtype=np.float32), 0
+    idf, df, n_docs = np.zeros(buckets, dtype=np.float32), np.zeros(buckets), 0
     for r in out:
         if r["bucket"] == buckets:
             n_docs = r["df"]
     for r in out:
         if r["bucket"] is not None and r["bucket"] < buckets:
             idf[r["bucket"]] = np.log((1 + n_docs) / (1 + r["df"])) + 1
+            df[r["bucket"]] = r["df"]
     langs = sorted({r["lang"] for r in out if r["at"] is not None})
     sample = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["part"], bytes(r["at"]), bytes(r["x"]))
                      for r in out if r["at"] is not None))
-    model = Model(langs, idf, np.zeros((buckets, len(langs)), np.float32), np.zeros(len(langs)), 1.0)
+    model = Model(langs, idf, np.zeros((buckets, len(langs)), np.float32), np.zeros(len(langs)), 1.0, df >= max(1, SEEN_SHARE * n_docs))
     fit, held = [], []
     for _, _, lang, part, at, x in sample:
         at, x = np.frombuffer(at, "<u4").astype(np.int64), np.frombuffer(x, "<f4") * idf[np.frombuffer(at, "<u4")]
@@ -224,8 +238,8 @@ def train(docs: DataFrame, buckets: int = BUCKETS, sample_per_lang: int = SAMPLE
     return model
 
 
-def predict_language(docs: DataFrame, model: Model) -> DataFrame:
-    """doc (struct of the input row), lang_pred, score.
+def predict_language(docs: DataFrame, model: Model, evidence: bool = False) -> DataFrame:
+    """doc (struct of the input row), lang_pred, score; with ``evidence`` that of :meth:`Model.evidence` too.
 
     One output row per input row; only the text is looked at.  A text that is null or has no
     letter, or any text under a model without languages, gives ``und`` with score 0.
@@ -238,20 +252,34 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = [m.predict(t.as_py()) for t in batch.column(0).field("text")]
+            texts = [t.as_py() for t in batch.column(0).field("text")]
+            found = [m.predict(t) for t in texts]
+            more = [pa.array([m.evidence(t) for t in texts], pa.float64())] if evidence else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.string()),
-                 pa.array([f[1] for f in found], pa.float64())], names=["doc", "lang_pred", "score"])
+                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), *more],
+                names=["doc", "lang_pred", "score", "evidence"][:3 + evidence])
 
     rows = docs.select(F.struct("*").alias("doc"))
     return rows.mapInArrow(tidy(run), T.StructType([rows.schema["doc"], *T.StructType.fromDDL(
-        "lang_pred string, score double").fields]))
+        "lang_pred string, score double" + ", evidence double" * evidence).fields]))
 
 
-def with_language(docs: DataFrame, model: Model, min_score: float | None = None) -> DataFrame:
-    """The documents whose language is known with at least ``min_score`` (default: clearly above an even
-    share of all languages, so that short but ordinary texts stay); their own columns."""
+def judged_languages(docs: DataFrame, model: Model, min_score: float | None = None) -> DataFrame:
+    """:func:`predict_language` and ``why``: null for a document that stays, else why its language is not known.
+
+    ``no letters``; ``unlike training``: the evidence is below ``LEAST_EVIDENCE``, as in a language that is not
+    among the learned ones or in random letters; ``near chance``: the best
+    score is below ``min_score`` (default: clearly above an even share of all languages, so that short but ordinary
+    texts stay).
+    """
     if min_score is None:
         min_score = NEAR_CHANCE / max(2, len(model.langs))
-    return predict_language(docs, model).where((F.col("lang_pred") != UNDETERMINED)
-                                               & (F.col("score") >= min_score)).select("doc.*")
+    why = (F.when(F.col("lang_pred") == UNDETERMINED, "no letters")
+           .when(F.col("evidence") < LEAST_EVIDENCE, "unlike training")
+           .when(F.col("score") < min_score, "near chance"))
+    return predict_language(docs, model, evidence=True).withColumn("why", why)
+
+
+def with_language(docs: DataFrame, model: Model, min_score: float | None = None) -> DataFrame:
+    """The documents whose language is known (:func:`judged_languages`); their own columns."""
+    return judged_languages(docs, model, min_score).where("why is null").select("doc.*")

@@ -13,7 +13,7 @@ from faultlens.llm import langid, registry
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SCRATCH_NAMES = ["row", "doc", "spans", "fp", "kid", "th", "runs", "open", "ids", "kept", "removed", "lang_pred", "score",
-                 "component_id", "row_hash", "keep_id", "bucket", "item_ids", "n_words"]
+                 "component_id", "row_hash", "keep_id", "bucket", "item_ids", "n_words", "copies", "evidence", "why"]
 
 
 def sha(b):
@@ -100,7 +100,8 @@ def test_pipeline_equals_brute_force(shared, tables):
     docs = shared.read.parquet(f"{tables}/documents.parquet")
     model, rows = langid.train(docs), read(shared, tables)
     least = langid.NEAR_CHANCE / max(2, len(model.langs))
-    rows = [r for r in rows if (p := model.predict(r[1]))[0] != "und" and p[1] >= least]
+    rows = [r for r in rows if (p := model.predict(r[1]))[0] != "und" and p[1] >= least
+            and model.evidence(r[1]) >= langid.LEAST_EVIDENCE]
     first = components([r[:2] for r in rows])
     rows = [r for r in rows if first[r[0]][1] == r[0]]
     seen, cut = set(), []
@@ -122,6 +123,13 @@ def test_pipeline_equals_brute_force(shared, tables):
     assert 9000 not in want and 9002 not in want and 9003 not in want and 9006 not in want and 9007 in want
 
 
+def test_pipeline_of_an_empty_table(shared, tables, tmp_path):
+    shared.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    shared.read.parquet(f"{tables}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(shared, str(tmp_path))
+    assert out.count() == 0 and out.columns[:4] == ["doc_id", "lang", "source", "n_tokens"]
+
+
 def test_stages_take_odd_rows_and_clashing_columns(shared, tables):
     """Null ids, repeated rows, and columns that the operators use inside; then no rows at all."""
     base = [(1, "the house of the river and the people who live there"), (1, "the house of the river and the people who live there"),

@@ -220,8 +220,9 @@ def test_fingerprints_of_many_copies_are_joined_apart(shared, monkeypatch):
     assert sorted(simhash.group_near_duplicates(docs).collect(), key=key) == want and len(want) == len(texts)
 
 
-def test_leader_weights_equal_a_plain_loop():
+def test_leader_weights_equal_a_plain_loop(monkeypatch):
     """Follow-the-regularised-leader, coordinate by coordinate in plain Python."""
+    monkeypatch.setattr(langid, "L1", 0.05)     # so that some weights are zero on these few rows
     rng = np.random.default_rng(4)
     rows, labels, buckets, langs = [], [], 12, 3
     for i in range(30):
@@ -273,6 +274,25 @@ def test_language_held_out_accuracy_and_odd_rows(shared):
     assert langid.predict_language(frame(shared, []), model).count() == 0
 
 
+def test_language_is_known_by_evidence(shared):
+    """Random letters and unlearned scripts go, whatever their score; the training documents stay."""
+    docs = shared.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs)
+    rng = random.Random(2)
+    letters = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))        # noqa: E731
+    odd = [(i, letters("bcdfghjklmnpqrstvwxz   ", 300)) for i in range(20)] + [(100 + i, letters("абвгдежзиклмнопрст  ", 80)) for i in range(20)]
+    odd += [(200 + i, letters("あいうえおかきくけこさしすせそ", 60)) for i in range(20)] + [(300, "123"), (301, None)]
+    why = [r["why"] for r in langid.judged_languages(frame(shared, odd), model).collect()]
+    assert why.count("unlike training") >= 58 and why[-2:] == ["no letters"] * 2
+    plain = [(i, t) for i, t in enumerate(["The token = 9004e046e75240f42eecdbd3dffbc7f3d75db0ff", "the <|endoftext|> of and", "OK.", "Haus"])]
+    assert [r["why"] for r in langid.judged_languages(frame(shared, plain), model).collect()].count("unlike training") == 0
+    kept = langid.judged_languages(docs, model).groupBy("why").count().collect()
+    counts = {r["why"]: r["count"] for r in kept}
+    lost = docs.count() - counts[None]
+    assert lost == counts.get("no letters", 0) + counts.get("unlike training", 0) + counts.get("near chance", 0) and lost <= 3
+    assert langid.with_language(docs, model).columns == docs.columns
+
+
 def test_suffix_shards_follow_the_bytes_of_the_open_pieces(shared, monkeypatch):
     run = "".join(chr(97 + i * i % 23) + str(i) for i in range(80))
     docs = shared.createDataFrame([(i, f"{i} head {'xyz'[i % 3] * i} " + run + f" tail {i * 7919}") for i in range(12)], "doc_id long, text string")
