@@ -18,7 +18,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; texts without letters and undecided ones go."""
+    """Documents whose language is recognised; texts without letters, unlike all that was learned, or undecided go."""
     return langid.with_language(docs, langid.train(docs))
 
 
