@@ -7,11 +7,16 @@ occurrence vector (the same count on every page) form an equivalence class.  The
 and never a list of pages.  Classes on most pages of the host are valid; nested by their
 paths they are the host's template, the remaining positions are its slots.
 
-Pass 2 reads every page against its host's template.  The article is a slot: the element
-marked as article or main content if there is one, else the element of the template
-with the most text that is not template text.  Inside it, blocks of menus, adverts,
-notices, forms, comments and the like are left out.  Text of the template is left out where the
-article is not marked; inside a marked article nothing goes only because it repeats.
+Containers that share a place are told apart by their order, so two unnamed ones are two tokens.
+
+Pass 2 reads every page against its host's template.  The article is a slot of the template: the
+innermost container that is once on every page and holds most of the host's text.  Marks of the page
+(article and main elements, roles) only fit the slot's edges to the article: one that encloses the slot widens it, ones
+inside it that hold most of its text narrow it.  Without a template, or where the page lacks the slot, the marks
+decide, and without these the largest container.  Inside the article, blocks of menus, adverts, notices, forms,
+comments and the like are left out.  Text of the template is left out where the
+article is not marked; inside a marked article nothing goes only because it repeats.  An article that lies loose
+in the body is what is not in the template's other, small containers there.
 """
 
 from __future__ import annotations
@@ -62,6 +67,11 @@ _CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": froz
 _STOP = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]),
          "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]),
          "option": frozenset(["select"])}
+# Containers: what can be a slot for a whole article.
+_SLOTS = frozenset("article main div section td body html".split())
+_ORDERED = _SLOTS | frozenset("nav aside header footer form ul ol table blockquote".split())    # siblings are told apart by order,
+MAX_ORDER = 9               # up to so many
+SIDE_SHARE = 0.2            # of the loose article's text that another container in the body holds less of
 _HEADER = 1     # what an element is: page header; other boilerplate; main content; comments
 _BOILER, _CONTENT, _COMMENTS, _NAMED = 2, 4, 8, 16     # _NAMED: boilerplate by a word of class or id only
 _PURE, _ADVERT = 32, 64     # class and id hold no other words; an advert by such a word
@@ -76,11 +86,20 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Element:
-    __slots__ = ("tag", "path", "kind", "parent", "linked")
+    __slots__ = ("tag", "path", "kind", "parent", "linked", "order")
 
     def __init__(self, tag: str, path: str, kind: int, parent: Element | None):
         self.tag, self.path, self.kind, self.parent = tag, path, kind, parent
         self.linked = 0     # characters of its own text that are links
+        self.order: dict[str, int] | None = None    # children by name so far
+
+    def name(self, child: str, tag: str) -> str:
+        """A child's part of the path: with its order among the containers of that name, from the second on."""
+        if tag not in _ORDERED:
+            return child
+        self.order = self.order or {}
+        n = self.order[child] = min(self.order.get(child, 0) + 1, MAX_ORDER)
+        return child if n == 1 else f"{child}~{n}"
 
 
 def _attributes(raw: str) -> tuple[str, int]:
@@ -218,7 +237,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         if tag == "body":
             e = up_to(frozenset(["head"]), frozenset())
             at = e.parent if e is not None else at
-        at = Element(tag, f"{at.path}/{tag}{name}", kind, at)
+        at = Element(tag, f"{at.path}/{at.name(tag + name, tag)}", kind, at)
         elements.append(at)
     flush()
     return elements, blocks
@@ -228,19 +247,31 @@ def text_token(path: str, text: str) -> str:
     return f"{path}#{xxhash.xxh64_hexdigest(text.encode())}"
 
 
-def page_tokens(page: str) -> Counter:
+def page_tokens(page: str) -> tuple[Counter, Counter]:
+    """(occurrences of every token, characters of text in every container that no mark excludes)."""
     elements, blocks = parse(page)
-    return Counter([e.path for e in elements]) + Counter([text_token(e.path, t) for e, t in blocks])
+    chars: Counter = Counter()
+    for b, t in blocks:
+        if not _left_out(b, None):
+            e = b
+            while e is not None:
+                if e.tag in _SLOTS:
+                    chars[e.path] += len(t)
+                e = e.parent
+    return Counter([e.path for e in elements]) + Counter([text_token(e.path, t) for e, t in blocks]), chars
 
 
-TEMPLATE = ("host string, n_pages long, classes array<struct<tokens:array<string>,pages:long,per_page:double,parent:int>>")
+TEMPLATE = ("host string, n_pages long, classes array<struct<tokens:array<string>,chars:array<long>,pages:long,"
+            "per_page:double,parent:int>>")
 
 
-def _nest(host: str, n_pages: int, rows: list[tuple[str, int, int, int]]) -> dict:
+def _nest(host: str, n_pages: int, rows: list[tuple[str, int, int, int, int]]) -> dict:
     """Order a host's valid tokens into classes and link each class to the one that encloses it."""
     groups: dict[tuple[int, int, int], list[str]] = {}
-    for token, pages, total, vector in rows:
+    held = {}
+    for token, pages, total, vector, chars in rows:
         groups.setdefault((vector, pages, total), []).append(token)
+        held[token] = chars
     classes = sorted(((sorted(tokens), pages, total) for (_, pages, total), tokens in groups.items()),
                      key=lambda c: (min(t.count("/") for t in c[0]), c[0]))
     class_of = {t: i for i, c in enumerate(classes) for t in c[0]}
@@ -251,15 +282,15 @@ def _nest(host: str, n_pages: int, rows: list[tuple[str, int, int, int]]) -> dic
             path = path.rpartition("/")[0]
             found = class_of.get(path, i)
             parent = found if found != i else -1
-        out.append({"tokens": tokens, "pages": pages, "per_page": total / pages, "parent": parent})
+        out.append({"tokens": tokens, "chars": [held[t] for t in tokens], "pages": pages, "per_page": total / pages, "parent": parent})
     return {"host": host, "n_pages": n_pages, "classes": out}
 
 
 def deduce_templates(pages: DataFrame, min_share: float = MIN_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """host, n_pages, classes: each host's template, from all its distinct pages (page_id, url, html).
 
-    A class holds the tokens with one occurrence vector; ``parent`` is the index of the class
-    that encloses it (-1: none).  Hosts with fewer than ``min_pages`` distinct pages have no template.
+    A class holds the tokens with one occurrence vector, with the characters of text that containers among
+    them held on all pages; ``parent`` is the index of the class that encloses it (-1: none).  Hosts with fewer than ``min_pages`` distinct pages have no template.
     """
     session(pages)
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -272,34 +303,37 @@ def deduce_templates(pages: DataFrame, min_share: float = MIN_SHARE, min_pages:
         for batch in batches:
             sums: dict[tuple[str, str], list[int]] = {}
             for host, page, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = page_tokens(page)
+                tokens, chars = page_tokens(page)
                 tokens[""] = 1      # counts the host's pages
                 for token, n in tokens.items():
-                    s = sums.setdefault((host, token), [0, 0, 0])
+                    s = sums.setdefault((host, token), [0, 0, 0, 0])
                     s[0] += 1
                     s[1] += n
+                    s[3] += chars.get(token, 0)
                     s[2] = (s[2] + key * (2 * n + 1)) & 0xFFFFFFFFFFFFFFFF
             keys = list(sums)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
                  pa.array([sums[k][0] for k in keys], pa.int64()), pa.array([sums[k][1] for k in keys], pa.int64()),
-                 pa.array(np.array([sums[k][2] for k in keys], dtype=np.uint64).view(np.int64) >> 2)],
-                names=["host", "token", "pages", "total", "vector"])
+                 pa.array(np.array([sums[k][2] for k in keys], dtype=np.uint64).view(np.int64) >> 2),
+                 pa.array([sums[k][3] for k in keys], pa.int64())],
+                names=["host", "token", "pages", "total", "vector", "chars"])
 
     # The vectors lose two bits so that their sum has room; it only has to be the same for the same counts.
-    stats = (rows.mapInArrow(run, "host string, token string, pages long, total long, vector long")
+    stats = (rows.mapInArrow(run, "host string, token string, pages long, total long, vector long, chars long")
              .groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"),
-                                           F.sum(F.pmod("vector", F.lit((1 << 43) - 57))).alias("vector")))
+                                           F.sum(F.pmod("vector", F.lit((1 << 43) - 57))).alias("vector"),
+                                           F.sum("chars").alias("chars")))
     stats, path = stored(stats.where(F.col("pages") >= min_pages), "html_tokens")
     hosts, host_path = stored(stats.where("token = ''").select("host", F.col("pages").alias("n_pages")), "html_hosts")
     valid = (stats.where("token <> ''").join(hosts, "host").where(F.col("pages") >= F.col("n_pages") * min_share)
-             .select("host", "n_pages", "token", "pages", "total", "vector"))
+             .select("host", "n_pages", "token", "pages", "total", "vector", "chars"))
 
     def nest(pdf):
         import pandas as pd
         first = pdf.iloc[0]
         return pd.DataFrame([_nest(first["host"], int(first["n_pages"]), list(
-            zip(pdf["token"], pdf["pages"].astype(int), pdf["total"].astype(int), pdf["vector"].astype(int), strict=True)))])
+            zip(pdf["token"], *(pdf[c].astype(int) for c in ("pages", "total", "vector", "chars")), strict=True)))])
 
     # A host has few valid tokens, however many pages: each is on most of them.
     out, _ = stored(valid.groupBy("host").applyInPandas(nest, TEMPLATE), "html_templates")
@@ -314,6 +348,13 @@ class Template:
         classes = row["classes"] if row else []
         self.once = {t for c in classes if c["per_page"] == 1 for t in c["tokens"]}
         self.text = {t for c in classes for t in c["tokens"] if "#" in t}
+        held = {t: n for c in classes if c["per_page"] == 1 for t, n in zip(c["tokens"], c["chars"]) if n}
+        most = max(held.values(), default=0)
+        # Containers with more than half of the text enclose each other; the innermost is the article's slot.
+        self.slot = max((t for t, n in held.items() if 2 * n > most), key=lambda t: (t.count("/"), t), default=None)
+        self.sides = set()      # small containers beside an article that lies loose in the body
+        if self.slot and self.slot.rpartition("/")[2].partition(".")[0] in ("body", "html"):
+            self.sides = {t for t, n in held.items() if t.startswith(self.slot + "/") and n < SIDE_SHARE * held[self.slot]}
 
 
 def _left_out(e: Element, until: Element | None) -> bool:
@@ -374,12 +415,32 @@ def extract(page: str | None, template: Template) -> str:
     # The innermost kind of mark counts: articles within a main element, else the main element.
     articles = [e for e in marked if e.tag == "article"] or marked
     tops = [e for e in articles if not any(o is not e and _inside(e, o) for o in articles)]
+    slot = next((e for e in elements if e.path == template.slot and not _left_out(e, None)), None)
+    if slot is not None:
+        around = [e for e in tops if _inside(slot, e)]
+        within = [e for e in tops if e is not slot and _inside(e, slot)]
+        tops = around or (within if 2 * _chars(blocks, within) >= _chars(blocks, [slot]) else [])
     if tops:
         keep = [(b, t, next((o for o in tops if _inside(b, o)), None)) for b, t in blocks]
         return "\n".join(t for b, t, o in keep if o is not None and not _left_out(b, o))
     keep = [(b, t) for b, t in blocks if not _left_out(b, None) and text_token(b.path, t) not in template.text]
-    slot = _largest_slot([(b, t) for b, t in keep], elements, template)
-    return "\n".join(t for b, t in keep if slot is None or _inside(b, slot))
+    if slot is not None:
+        return "\n".join(t for b, t in keep if _inside(b, slot) and not _aside(b, slot, template))
+    largest = _largest_slot([(b, t) for b, t in keep], elements, template)
+    return "\n".join(t for b, t in keep if largest is None or _inside(b, largest))
+
+
+def _chars(blocks: list[tuple[Element, str]], within: list[Element]) -> int:
+    return sum(len(t) for b, t in blocks if any(_inside(b, e) for e in within))
+
+
+def _aside(e: Element | None, slot: Element, template: Template) -> bool:
+    """Whether the block lies in one of the template's small containers beside a loose article."""
+    while template.sides and e is not None and e is not slot:
+        if e.path in template.sides:
+            return True
+        e = e.parent
+    return False
 
 
 def _largest_slot(blocks: list[tuple[Element, str]], elements: list[Element], template: Template) -> Element | None:

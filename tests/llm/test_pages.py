@@ -227,10 +227,74 @@ def test_html_slots_of_the_template_come_before_names(shared):
     page = "<body><div class=top>Site</div><div class=x><p>the story {0} of a day</p><div class=body><p>{0} inset of the page, with more words</p></div></div></body>"
     pages = shared.createDataFrame([(i, f"http://s.net/{i}", page.format(i)) for i in range(5)], "page_id long, url string, html string")
     template = htmltext.deduce_templates(pages).first().asDict(recursive=True)
-    template["classes"] = [c | {"tokens": [t for t in c["tokens"] if "div.body" not in t]} for c in template["classes"]]
+    kept = lambda c: [(t, n) for t, n in zip(c["tokens"], c["chars"]) if "div.body" not in t]      # noqa: E731
+    template["classes"] = [c | {"tokens": [t for t, _ in kept(c)], "chars": [n for _, n in kept(c)]} for c in template["classes"]]
     assert htmltext.extract(page.format(3), htmltext.Template(template)) == "the story 3 of a day\n3 inset of the page, with more words"
 
 
+def _stripped(html, article="div"):
+    """The page without class and id attributes, its article element a nameless one or gone."""
+    import re
+    html = re.sub(r"""(?i)\s(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", html)
+    return re.sub(r"(?i)<(/?)article\b[^>]*>", rf"<\1{article}>" if article else "", html)
+
+
+@pytest.mark.parametrize("article", ["div", ""])
+def test_html_template_finds_articles_that_nothing_marks(shared, article):
+    """Without marks the template alone decides: the same text on nearly all pages, and much less without it."""
+    pages = [tuple(r) for r in shared.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html").collect()]
+    none = htmltext.Template(None)
+    want = {i: htmltext.extract(h, none) for i, _, h in pages}      # marked pages need no template
+    bare = shared.createDataFrame([(i, u, _stripped(h or "", article)) for i, u, h in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(bare).collect()}
+    same = sum(got[i] == want[i] for i in want) / len(want)
+    plain = sum(htmltext.extract(_stripped(h or "", article), none) == want[i] for i, _, h in pages) / len(want)
+    assert same >= 0.95 and plain < same - (0 if article else 0.1), (same, plain)
+
+
+def test_html_template_agrees_with_the_marks_of_the_given_pages(shared):
+    pages = shared.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(pages).collect()}
+    none = htmltext.Template(None)
+    assert all(got[r["page_id"]] == htmltext.extract(r["html"], none) for r in pages.collect())
+
+
+def _brute_template(pages):
+    """Tokens on at least 90 % of the distinct pages of one host, by their whole occurrence vectors."""
+    distinct = sorted(set(pages))
+    tokens = [htmltext.page_tokens(p)[0] for p in distinct]
+    groups = {}
+    for t in set().union(*tokens):
+        vector = tuple(c[t] for c in tokens)
+        if sum(v > 0 for v in vector) >= htmltext.MIN_SHARE * len(distinct):
+            groups.setdefault(vector, set()).add(t)
+    return sorted((sorted(g), sum(v > 0 for v in vector), sum(vector)) for vector, g in groups.items())
+
+
+def test_html_classes_equal_whole_occurrence_vectors(shared):
+    rng = np.random.default_rng(6)
+    rows = []
+    for host in ("a.net", "b.net"):
+        for i in range(25):
+            parts = "".join(f"<p>text {rng.integers(4)}</p>" for _ in range(rng.integers(1, 4)))
+            extra = "<div class=note>now and then</div>" if rng.random() < 0.95 else ""
+            rows.append((i, f"http://{host}/{i % 20}", f"<body><nav><ul><li>{host}</ul></nav>{extra}<div><h1>t{i % 12}</h1>{parts}</div><div>end</div></body>"))
+    pages = shared.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for r in htmltext.deduce_templates(pages).collect():
+        mine = [h for _, u, h in rows if f"//{r['host']}/" in u]
+        got = sorted((sorted(c["tokens"]), c["pages"], round(c["per_page"] * c["pages"])) for c in r["classes"])
+        assert got == _brute_template(mine) and r["n_pages"] == len(set(mine))
+
+
+def test_html_marks_fit_the_slot_to_the_article(shared):
+    page = "<body><div class=head>Site</div><div class=wrap><article><h1>Title {0}</h1><div class=text><p>the long story {0} of this day</p></div></article><article class=teaser><p>read {0}</p></article></div></body>"
+    rows = [(i, f"http://m.net/{i}", page.format(i)) for i in range(6)]
+    rows += [(100 + i, f"http://n.net/{i}", f"<body><div class=main><p>the story number {i} is long</p><article><p>see {i}</p></article></div></body>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(shared.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3\nthe long story 3 of this day"            # the mark around the slot keeps the title
+    assert got[103] == "the story number 3 is long\nsee 3"             # a small marked part does not stand for the slot
+
+
 def test_html_copies_count_once_and_repeated_article_text_stays(shared):
     page = "<body><div>Site</div><article><h1>One</h1><p>story of a day</p></article></body>"
     plain = "<body><div class=x><p>plain story</p></div></body>"
