@@ -5,8 +5,8 @@ comes from a hash of its key, a node's features from a hash of its path number.
 is the top of the deeper one, fewer trees are a prefix, and one growth serves every trial of a search.
 
 Growth starts level by level: tasks add up histograms keyed by (tree, node) as in boosting.  A
-node with at most ``task_rows`` rows is finished where its rows meet, as one group of a job; a small
-training table is at once one such group per tree.
+node with at most ``task_rows`` rows is finished where its rows meet, as one group of a job.  A
+training table of at most so many rows is sent once to each group of trees, which grows them whole.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from faultlens.sources.sinks import materialize
 
 # Trees whose top levels are grown together over a large table; bounds the histograms of a level.
 TREES_PER_PASS = 16
+# Whole trees that one task grows from a small table's rows, which it gets once.
+TREES_PER_TASK = 16
 RULE = G.Gini()
 
 
@@ -75,8 +77,7 @@ def fit_forests(chunks: DataFrame, plans: list[Plan], width: int, n_features: in
     ship_package(chunks.sparkSession)
     rows = unit_rows(chunks)
     small = [p for p in plans if rows.get(p.unit, 0) <= task_rows]
-    whole = {(p.model, t): (p, None) for p in small for t in range(len(p.depths))}
-    parts = [_finish(chunks, whole, width, n_features).drop("root")] if small else []
+    parts = [_whole(chunks, small, width, n_features)] if small else []
     for p in plans:
         if p in small:
             continue
@@ -90,6 +91,34 @@ def fit_forests(chunks: DataFrame, plans: list[Plan], width: int, n_features: in
     return materialize(out, "model/trees")
 
 
+# ---------------------------------------------------------------------------------- small tables, whole trees
+
+def _whole(chunks: DataFrame, plans: list[Plan], width: int, n_features: int) -> DataFrame:
+    """Trees grown from all rows of their unit: a group of a job per ``TREES_PER_TASK`` trees."""
+    spark = chunks.sparkSession
+    batches = [(p.model, p.unit, first) for p in plans for first in range(0, len(p.depths), TREES_PER_TASK)]
+    shared = spark.sparkContext.broadcast({p.model: p for p in plans})
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        plan, first = shared.value[int(pdf["model"].iloc[0])], int(pdf["first"].iloc[0])
+        parts = [_train(*x) for x in zip(*(pdf[c] for c in ("labels", "parts", "keys", "codes", "n")))]
+        codes = np.concatenate([p[0] for p in parts], axis=1)
+        keys, y = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        rows: list[dict] = []
+        if not len(y):
+            return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in TREES.split(", ")])
+        for t in range(first, min(first + TREES_PER_TASK, len(plan.depths))):
+            a, b = _weighted(plan, t, keys, y)
+            drawn = b > 0
+            tree = G.grow(codes[:, drawn], a[drawn], b[drawn], plan.depths[t], width, RULE, _chooser(plan, t, n_features))
+            rows.append({"model": plan.model, "tree": t, **tree.columns(), "auc": None})
+        return pd.DataFrame(rows)
+
+    own = spark.createDataFrame(batches, "model int, unit string, first int")
+    n = min(4 * len(batches), 4096)
+    return chunks.join(own, "unit").repartition(n, "model", "first").groupBy("model", "first").applyInPandas(fit, TREES)
+
+
 # ---------------------------------------------------------------------------------- top levels of large tables
 
 def _open_rows(tree: G.Tree | None, nodes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +208,8 @@ def _with(front: G.Frontier, more: list[tuple]) -> G.Frontier:
 _ROWS = "model int, tree int, root long, keys binary, labels binary, codes binary, n int"
 
 
-def _finish(chunks: DataFrame, trees: dict[tuple[int, int], tuple[Plan, G.Frontier | None]], width: int, n_features: int) -> DataFrame:
-    """Subtrees (rows of the trees table with their root) of every open node of the given trees (all of a tree: None)."""
+def _finish(chunks: DataFrame, trees: dict[tuple[int, int], tuple[Plan, G.Frontier]], width: int, n_features: int) -> DataFrame:
+    """Subtrees (rows of the trees table with their root) of every open node of the given trees."""
     from faultlens.operators.boosting import _unfinished
     spark = chunks.sparkSession
     schema = TREES + ", root long"
@@ -188,7 +217,7 @@ def _finish(chunks: DataFrame, trees: dict[tuple[int, int], tuple[Plan, G.Fronti
         return spark.createDataFrame([], schema)
     units: dict[str, list] = {}
     for (model, t), (plan, f) in trees.items():
-        units.setdefault(plan.unit, []).append((model, t, None if f is None else (_unfinished(f), f.node)))
+        units.setdefault(plan.unit, []).append((model, t, (_unfinished(f), f.node)))
     plans = {model: plan for (model, _), (plan, _) in trees.items()}
     shared = spark.sparkContext.broadcast((units, plans))
 
@@ -200,9 +229,8 @@ def _finish(chunks: DataFrame, trees: dict[tuple[int, int], tuple[Plan, G.Fronti
                 if not len(y):
                     continue
                 out = []
-                for model, t, state in units.get(unit, ()):
+                for model, t, (tree, nodes) in units.get(unit, ()):
                     drawn = G.bootstrap(k, plans[model].seed, t) > 0
-                    tree, nodes = state or (None, np.array([1]))
                     some, slot = _open_rows(tree, nodes, c[:, drawn])
                     rows = np.flatnonzero(drawn)[some]
                     order = np.argsort(slot, kind="stable")
