@@ -25,8 +25,17 @@ REDUCED_ROWS = 1 << 22      # names that are ordered in memory; a longer string
 _FAR = 255                  # no common prefix met yet
 
 
+def spill_folder() -> str | None:
+    """Where Spark puts this task's own spills (the executor's local folders); None outside a task."""
+    named = os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or ""
+    return next((d for d in named.split(",") if d and os.path.isdir(d)), None)
+
+
 class Workspace:
-    """Arrays that go to files of a temporary folder when large; the folder goes with the workspace."""
+    """Arrays that go to files of a temporary folder when large; the folder goes with the workspace.
+
+    The files are a task's own spill, like Spark's: no other task reads them, and a task that is run again starts anew.
+    """
 
     def __init__(self, memory_rows: int = MEMORY_ROWS, reduced_rows: int = REDUCED_ROWS):
         self.memory_rows, self.reduced_rows = memory_rows, reduced_rows
@@ -35,7 +44,7 @@ class Workspace:
 
     def path(self) -> str:
         if self.folder is None:
-            self.folder = tempfile.TemporaryDirectory(prefix="induced-")
+            self.folder = tempfile.TemporaryDirectory(prefix="induced-", dir=spill_folder())
         self.files += 1
         return os.path.join(self.folder.name, str(self.files))
 

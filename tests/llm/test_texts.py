@@ -293,6 +293,16 @@ def test_language_is_known_by_evidence(shared):
     assert langid.with_language(docs, model).columns == docs.columns
 
 
+def test_spill_goes_to_the_folders_of_spark(shared, tmp_path, monkeypatch):
+    here = shared.sparkContext.parallelize([0], 1).map(lambda _: induced.spill_folder()).first()
+    assert here and "spark" in here
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", f"/no/such/folder,{tmp_path}")
+    with induced.Workspace(memory_rows=4) as space:
+        space.array(100, np.int64)[:] = 7
+        assert len(list(tmp_path.iterdir())) == 1
+    assert not list(tmp_path.iterdir())
+
+
 def test_suffix_shards_follow_the_bytes_of_the_open_pieces(shared, monkeypatch):
     run = "".join(chr(97 + i * i % 23) + str(i) for i in range(80))
     docs = shared.createDataFrame([(i, f"{i} head {'xyz'[i % 3] * i} " + run + f" tail {i * 7919}") for i in range(12)], "doc_id long, text string")
