@@ -36,7 +36,7 @@ class Rule:
 
 
 # The rules of the registered query.
-RULES = (Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "allow"),
+RULES = (Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"),
          Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block"))
 
 
