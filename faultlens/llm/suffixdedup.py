@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultlens.llm.common import discard, give_back, session, stored, tidy
+from faultlens.llm.common import discard, give_back, session, shuffles_dropped, stored, tidy
 from faultlens.llm.induced import Workspace, suffix_array
 
 LENGTH = 100
@@ -484,7 +484,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     if not GRAM <= length < 255:
         raise ValueError(f"length must be from {GRAM} to 254")
-    spark = session(docs)
+    with shuffles_dropped(session(docs)):
+        keyed, per_doc = _removed_runs(docs, length)
+    joined = keyed.join(per_doc.hint("shuffle_hash"), ["kid", "th"], "left").select("doc", "runs")
+    return joined.mapInArrow(tidy(_apply), T.StructType([joined.schema["doc"], *T.StructType.fromDDL(
+        "removed array<struct<begin:int,end:int>>, kept binary").fields]))
+
+
+def _removed_runs(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """The documents by (kid, th), and the written removed runs of those that have some."""
+    spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = SPREAD * partitions
     # Only repeated ids need the text's hash to tell their rows apart.
@@ -517,9 +526,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     per_doc, _ = stored(gone.groupBy("kid", "th").agg(F.collect_list(F.struct("begin", "end")).alias("runs")),
                         "suffix_runs")
     discard(spark, found_path, cut_path, sorted_path)
-    joined = keyed.join(per_doc.hint("shuffle_hash"), ["kid", "th"], "left").select("doc", "runs")
-    return joined.mapInArrow(tidy(_apply), T.StructType([joined.schema["doc"], *T.StructType.fromDDL(
-        "removed array<struct<begin:int,end:int>>, kept binary").fields]))
+    return keyed, per_doc
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -313,3 +313,18 @@ def test_suffix_shards_follow_the_bytes_of_the_open_pieces(shared, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in suffixdedup.without_repeats(docs).collect()} == want
     assert run in want[0] and all(run not in want[i] for i in range(1, 12))
     assert counts[1] > counts[0] == suffixdedup.SPREAD * int(shared.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_suffix_dedup_leaves_no_shuffle_files(shared):
+    from pathlib import Path
+
+    folders = shared._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    there = lambda: {f for d in folders for f in Path(d.toString()).rglob("shuffle_*.data")}     # noqa: E731
+    before = there()
+    same = " ".join(f"word{i}" for i in range(60))
+    docs = frame(shared, [(i, f"{i} {same} {i}") for i in range(40)])
+    out = suffixdedup.remove_repeats(docs)      # the steps before the last one are done
+    left = {f for f in there() - before if f.exists()}
+    assert not left
+    assert shared.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert sum(len(r["removed"]) > 0 for r in out.select("removed").collect()) == 39
