@@ -72,3 +72,29 @@ def test_shallow_trees_of_a_large_table_share_their_passes_and_need_no_rows():
     # The rows of one task are bounded by their bytes.
     for n in (1, 7, 88):
         assert BO.rows_per_task(n) * (n + BO.ROW_BYTES) <= BO.TASK_BYTES
+
+
+def test_counts_grow_the_trees_that_whole_levels_give():
+    rng = np.random.default_rng(7)
+    codes = rng.integers(0, 9, (5, 3000)).astype(np.uint8)
+    y = ((codes[0] > 4) ^ (rng.random(3000) < 0.2)).astype(float)
+    w = G.bootstrap(rng.integers(-2**62, 2**62, 3000), 3, 1)
+    choose = lambda nodes: G.feature_subsets(nodes, 5, 2, 3, 1)     # noqa: E731
+    for depth in (0, 1, 4, 12):
+        tree = G._grow_counts(codes, y * w, w, depth, 10, G.Gini(), choose, 1, 0)
+        front, at = G.Frontier(G.Gini(), float((y * w).sum()), float(w.sum())), np.zeros(3000, np.int64)
+        while len(front.node):
+            if front.depth >= depth:
+                front.close()
+                break
+            front.close(~front.rule.open(front.a, front.b))
+            if not len(front.node):
+                break
+            at = tree.node[tree.leaves(codes, front.depth)]
+            slot = np.searchsorted(front.node, at)
+            some = (slot < len(front.node)) & (front.node[np.minimum(slot, len(front.node) - 1)] == at)
+            subset = choose(front.node)
+            hist = G.histogram(codes[:, some], slot[some], (y * w)[some], w[some], len(front.node), 10, subset)
+            front.split(G.best_splits(hist, G.Gini(), subset))
+        for a, b in zip(tree.columns().values(), front.tree().columns().values()):
+            assert np.array_equal(a, b)

@@ -335,3 +335,26 @@ def test_forests_of_several_tables_stay_apart(spark, small):
     for x, y in zip(trees_of(a), trees_of(b)):
         assert x.node == y.node and x.value == pytest.approx([1 - v for v in y.value])
     assert FO.features_per_node("sqrt", 10) == 3
+
+
+def test_judged_rows_of_several_chunks_meet_the_trees_together(spark, monkeypatch):
+    """Few chunks of judged rows: each group of chunks gets all trees."""
+    from faultlens.operators import ensemble as EN
+    from faultlens.operators import tuning as TU
+    seen, whole = [], EN.sums_over_trees
+
+    def watched(packed, *args, **kw):
+        seen.append([r["n"] for r in packed.select("n").collect()])
+        return whole(packed, *args, **kw)
+
+    monkeypatch.setattr(EN, "sums_over_trees", watched)
+    monkeypatch.setattr(B, "CHUNK_ROWS", 100)
+    rows = spark.range(4000).selectExpr("id AS ESN", "double(id % 17) AS x", "int(id % 17 > 8 AND id % 3 > 0) AS label")
+    split = M.holdout_split(rows.withColumnRenamed("label", S.LABEL).withColumnRenamed("ESN", S.ASSET), 0.2, 42).repartition(2, S.ASSET)
+    bins, chunks = M.coded(split, ["x"], M.ModelSpec("forest"))
+    chunks = chunks.coalesce(2)
+    specs = [M.ModelSpec("forest", d, n) for d, n in ((2, 3), (4, 2))]
+    aucs = TU.cut_aucs(chunks, TU.grow_for(chunks, bins, specs), specs)
+    assert sum(seen[0]) == split.filter("holdout").count()
+    assert len(seen[0]) <= 2 + sum(seen[0]) // 100 < chunks.count()
+    assert all(0.5 < a <= 1 for a in aucs)
