@@ -85,3 +85,13 @@ def test_rounds_that_cannot_stop_a_fit_are_judged_together():
     assert unjudged([0.5, 0.7, 0.6], early_stopping=5) == 4         # the best, round 2, is 5 rounds old in round 7
     assert unjudged([0.5] * 98, early_stopping=100) == 3            # stops in round 101: no round more
     assert unjudged([0.5] * 98, n_trees=99) == 1 and unjudged([], n_trees=9, early_stopping=0) == 9
+
+
+def test_a_task_reads_few_chunks_at_once(spark):
+    from faultlens.operators import binning
+    df = spark.range(0, 100, 1, 1)
+    batches = lambda: [r["n"] for r in df.mapInPandas(lambda it: (p.iloc[:1].assign(n=len(p))[["n"]] for p in it), "n int").collect()]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with binning.chunk_batches(spark):
+        assert max(batches()) <= binning.BATCH_CHUNKS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
