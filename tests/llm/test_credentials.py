@@ -136,3 +136,87 @@ def test_query_over_the_whole_table(shared):
         assert r["base_sha256"] == hashlib.sha256(",".join(lines).encode()).hexdigest()
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[0] == k for s in base) for k in C.KINDS)
         assert set(lines) <= set(r["spans"].split(",")) | {""}
+
+
+def plain_states(strings):
+    """The merging over a prefix tree that is built whole, state by state."""
+    tree, c = [[0, 0, {}]], C.math.sqrt(0.5 * C.math.log(2 / C.CONFIDENCE))
+    for s in sorted(strings):
+        at = 0
+        tree[0][0] += 1
+        for ch in s:
+            if ch not in tree[at][2]:
+                tree.append([0, 0, {}])
+                tree[at][2][ch] = [len(tree) - 1, 0]
+            tree[at][2][ch][1] += 1
+            at = tree[at][2][ch][0]
+            tree[at][0] += 1
+        tree[at][1] += 1
+
+    def share(a, s):
+        return tree[a][2].get(s, [0, 0])[1] / tree[a][0]
+
+    def alike(a, b):
+        bound = c * (tree[a][0] ** -0.5 + tree[b][0] ** -0.5)
+        if a == b or bound >= 1:
+            return True
+        symbols = tree[a][2].keys() | tree[b][2].keys()
+        return abs(tree[a][1] / tree[a][0] - tree[b][1] / tree[b][0]) <= bound and all(abs(share(a, s) - share(b, s)) <= bound for s in symbols) \
+            and all(alike(tree[a][2][s][0], tree[b][2][s][0]) for s in tree[a][2].keys() & tree[b][2].keys())
+
+    def fold(a, b):
+        tree[a][0] += tree[b][0]
+        tree[a][1] += tree[b][1]
+        for s, (y, k) in tree[b][2].items():
+            arc = tree[a][2].setdefault(s, [y, 0])
+            arc[1] += k
+            if arc[0] != y:
+                fold(arc[0], y)
+
+    order = [0]
+    while todo := [(-tree[b][0], b, a, s) for a in order for s, (b, _) in tree[a][2].items() if b not in order]:
+        _, b, a, s = min(todo)
+        same = next((x for x in order if alike(x, b)), None)
+        if same is None:
+            order.append(b)
+        else:
+            tree[a][2][s][0] = same
+            fold(same, b)
+    return [(tree[b][0], tree[b][1], {s: (order.index(x), k) for s, (x, k) in sorted(tree[b][2].items())}) for b in order]
+
+
+def test_merging_equals_that_of_the_whole_tree():
+    rng = random.Random(5)
+    for case in range(60):
+        letters, most = rng.choice(["ab", "abcd", "0123456789abcdef", "eenirstadhulcgm"]), rng.choice([3, 8, 20])
+        strings = {"".join(rng.choice(letters) for _ in range(rng.randint(0, most))) for _ in range(rng.choice([1, 5, 60, 400]))}
+        strings |= {s + "q" * rng.randint(0, 40) for s in sorted(strings)[::3]}
+        assert C.infer(list(strings)) == plain_states(strings), case
+
+
+def test_every_string_is_learned_from(shared):
+    """More distinct credentials than any sample held, and one longer than any bound: all of them are dealt out, half to the fit."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(2500)] + ["ab" * 400]
+    frame_ = shared.createDataFrame([("hex", t) for t in texts + texts[:50]] + [("other", "x" * 20)], "label string, text string")
+    got, _ = C.dealt(frame_.repartition(5))
+    rows = got.collect()
+    assert sorted(r["text"] for r in rows if r["label"] == "hex") == sorted(texts)
+    order = sorted(texts, key=lambda t: (C._key(t), t))
+    assert {r["text"] for r in rows if r["label"] == "hex" and r["fitted"]} == set(order[::2])
+    assert [r["fitted"] for r in rows if r["label"] == "other"] == [True]
+    found = shared.createDataFrame([([("hex", t)], []) for t in texts] + [([], [("en" * 9 + "abcd"[i % 4] * (i % 7),)]) for i in range(40)],
+                                   "found array<struct<kind:string,text:string>>, runs array<struct<text:string>>")
+    assert C.learn(found).models["hex"].states == C.Automaton(C.infer(order[::2])).states
+
+
+def test_scores_of_a_rank(shared):
+    rng = random.Random(8)
+    groups = {("hex", True): [rng.choice([-1.5, 0.0, 2.25, rng.uniform(-9, 9)]) for _ in range(300)], ("hex", False): [rng.uniform(-1e-3, 1e3) for _ in range(77)],
+              ("assign", True): [0.25]}
+    rows = [(k, o, int(x)) for (k, o), v in groups.items() for x in C._ordered(C.np.array(v, float))]
+    scores = shared.createDataFrame(rows, "kind string, own boolean, key long").repartition(3)
+    for share in (0.0, 0.02, 0.5, 0.999):
+        ranks = {g: int(share * len(v)) for g, v in groups.items()}
+        assert C.of_rank(scores, ranks) == {g: sorted(v)[ranks[g]] for g, v in groups.items()}
+    assert C.of_rank(scores, {}) == {}
