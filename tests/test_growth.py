@@ -98,3 +98,32 @@ def test_counts_grow_the_trees_that_whole_levels_give():
             front.split(G.best_splits(hist, G.Gini(), subset))
         for a, b in zip(tree.columns().values(), front.tree().columns().values()):
             assert np.array_equal(a, b)
+
+
+def test_deep_forests_in_bounded_passes(spark, monkeypatch):
+    """A deep forest whose rows are dealt and judged in many small passes is the one that is grown and judged at once."""
+    from faultlens.operators import ensemble as EN
+    from faultlens.operators import forest as FO
+    from faultlens.operators import models as M
+    from faultlens.operators import tuning as TU
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 4)).round(1)
+    y = (x[:, 0] * x[:, 1] + rng.normal(size=3000) * 0.5 > 0).astype(int)
+    split = spark.createDataFrame([(str(i), int(b), *map(float, r), i % 5 == 0) for i, (r, b) in enumerate(zip(x, y))],
+                                  "ESN string, label int, a double, b double, c double, d double, holdout boolean").repartition(4)
+    specs = [M.ModelSpec("forest", 9, 12), M.ModelSpec("forest", 20, 7)]
+    bins, chunks = M.coded(split, list("abcd"), specs[0])
+    rows = lambda f: sorted((r["tree"], *map(tuple, r[2:9])) for r in f.trees.collect())      # noqa: E731
+    whole = TU.grow_for(chunks, bins, specs, 300)
+    scores = {r["ESN"]: r["score"] for r in whole.score(split).collect()}
+    aucs = TU.cut_aucs(chunks, whole, specs)
+    asked = []
+    monkeypatch.setattr(FO, "DEAL_BYTES", 30_000)
+    monkeypatch.setattr(EN, "SHUFFLE_BYTES", 0)
+    monkeypatch.setattr(EN, "PASS_NODES", 1000)
+    monkeypatch.setattr(FO, "_finish", lambda *a, f=FO._finish: asked.append(len(a[1])) or f(*a))
+    cut = TU.grow_for(chunks, bins, specs, 300)
+    assert len(asked) >= 4 and max(asked) < 12 and rows(cut) == rows(whole)
+    assert TU.cut_aucs(chunks, cut, specs) == pytest.approx(aucs, abs=1e-12)
+    got = {r["ESN"]: r["score"] for r in cut.score(split).collect()}
+    assert got.keys() == scores.keys() and all(abs(got[k] - scores[k]) < 1e-12 for k in scores)
