@@ -95,3 +95,33 @@ def test_a_task_reads_few_chunks_at_once(spark):
     with binning.chunk_batches(spark):
         assert max(batches()) <= binning.BATCH_CHUNKS
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_states_of_a_large_fit_go_and_rounds_are_judged_in_parts(spark, monkeypatch):
+    """Rounds judged few at a time have the same AUCs; nothing of the fit stays cached or written but its trees."""
+    from pathlib import Path
+    from faultlens.operators import models as M
+    from faultlens.session import shared_dir
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 3)).round(1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=2000) > 0).astype(int)
+    split = spark.createDataFrame([(str(i), int(b), *map(float, r), i % 4 == 0) for i, (r, b) in enumerate(zip(x, y))],
+                                  "ESN string, label int, a double, b double, c double, holdout boolean").repartition(4)
+    specs = [M.ModelSpec("boosted", d, n, early_stopping=p) for d, n, p in ((3, 5, 0), (2, 3, 2))]
+    bins, chunks = M.coded(split, list("abc"), specs[0])
+    models = {i: ("", s) for i, s in enumerate(specs)}
+    whole = M.fit_chunks(chunks, bins, models, 10**6)
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    parts = []
+    monkeypatch.setattr(BO, "WRITE_ROUNDS", 2)
+    monkeypatch.setattr(BO, "JUDGE_BYTES", 1)
+    monkeypatch.setattr(BO._Levels, "_judge_some", lambda self, s, new, pairs, f=BO._Levels._judge_some: parts.append(pairs) or f(self, s, new, pairs))
+    got = M.fit_chunks(chunks, bins, models, 100)
+    assert all(len(p) == 1 for p in parts) and len(parts) >= len(got[0].aucs)
+    for a, b in zip(got, whole):
+        assert a.aucs == pytest.approx(b.aucs, abs=1e-12) and a.n_trees == b.n_trees
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+    left = Path(shared_dir(spark, "model/state").removeprefix("file:"))
+    assert not left.exists() or not list(left.iterdir())
+    more = M.more_rounds(got[1].__class__(**{**got[1].__dict__, "spec": specs[1].with_params(early_stopping=0)}), split, 4, 100)
+    assert len(more.aucs) == 4 and more.aucs[:len(got[1].aucs)] == pytest.approx(got[1].aucs, abs=1e-12)
