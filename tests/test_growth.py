@@ -1,5 +1,7 @@
 """The fast forms of the tree arithmetic against the plain ones, and the shape of fits of large tables."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -106,6 +108,7 @@ def test_deep_forests_in_bounded_passes(spark, monkeypatch):
     from faultlens.operators import forest as FO
     from faultlens.operators import models as M
     from faultlens.operators import tuning as TU
+    from faultlens.session import shared_dir
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 4)).round(1)
     y = (x[:, 0] * x[:, 1] + rng.normal(size=3000) * 0.5 > 0).astype(int)
@@ -124,6 +127,8 @@ def test_deep_forests_in_bounded_passes(spark, monkeypatch):
     monkeypatch.setattr(FO, "_finish", lambda *a, f=FO._finish: asked.append(len(a[1])) or f(*a))
     cut = TU.grow_for(chunks, bins, specs, 300)
     assert len(asked) >= 4 and max(asked) < 12 and rows(cut) == rows(whole)
+    sums = Path(shared_dir(spark, "model/sums").removeprefix("file:"))
     assert TU.cut_aucs(chunks, cut, specs) == pytest.approx(aucs, abs=1e-12)
+    assert sums.exists() and not list(sums.iterdir())
     got = {r["ESN"]: r["score"] for r in cut.score(split).collect()}
     assert got.keys() == scores.keys() and all(abs(got[k] - scores[k]) < 1e-12 for k in scores)

@@ -112,6 +112,8 @@ def test_states_of_a_large_fit_go_and_rounds_are_judged_in_parts(spark, monkeypa
     models = {i: ("", s) for i, s in enumerate(specs)}
     whole = M.fit_chunks(chunks, bins, models, 10**6)
     cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    judged = Path(shared_dir(spark, "roc/grouped").removeprefix("file:"))
+    before = list(judged.iterdir()) if judged.exists() else []
     parts = []
     monkeypatch.setattr(BO, "WRITE_ROUNDS", 2)
     monkeypatch.setattr(BO, "JUDGE_BYTES", 1)
@@ -121,7 +123,7 @@ def test_states_of_a_large_fit_go_and_rounds_are_judged_in_parts(spark, monkeypa
     for a, b in zip(got, whole):
         assert a.aucs == pytest.approx(b.aucs, abs=1e-12) and a.n_trees == b.n_trees
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
-    left = Path(shared_dir(spark, "model/state").removeprefix("file:"))
-    assert not left.exists() or not list(left.iterdir())
+    folders = [Path(shared_dir(spark, x).removeprefix("file:")) for x in ("model/state", "roc/grouped")]
+    assert [list(f.iterdir()) if f.exists() else [] for f in folders] == [[], before]
     more = M.more_rounds(got[1].__class__(**{**got[1].__dict__, "spec": specs[1].with_params(early_stopping=0)}), split, 4, 100)
     assert len(more.aucs) == 4 and more.aucs[:len(got[1].aucs)] == pytest.approx(got[1].aucs, abs=1e-12)
